@@ -57,6 +57,9 @@ def has_text(text: Column) -> Column:
 # --------------------------------------------------------------------------
 
 _ENTITY = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_ENTITY_TABLE = json.dumps(html5)
+# Names that also count without a semicolon, at the start of a longer word.
+_LEGACY = "^(" + "|".join(sorted((n for n in html5 if ";" not in n), key=len, reverse=True)) + ")"
 _FREQUENT = ["amp;", "lt;", "gt;", "quot;", "apos;", "nbsp;", "copy;", "middot;", "hellip;"]
 # Numeric references 128..159 mean Windows-1252 characters.
 _WINDOWS_1252 = "".join(bytes([c]).decode("cp1252", errors="ignore") or chr(c) for c in range(0x80, 0xA0))
@@ -88,9 +91,7 @@ def _numeric_reference(entity: Column) -> Column:
 
 def unescape_entities(text: Column) -> Column:
     """Decode named and numeric HTML entities; anything unknown stays as it is."""
-    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
-    legacy = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
-    legacy_pattern = f"^({'|'.join(legacy)})"
+    names = F.from_json(F.lit(_ENTITY_TABLE), "map<string,string>")
 
     def named(entity: Column) -> Column:
         value = F.when(entity == "", None)
@@ -107,7 +108,7 @@ def unescape_entities(text: Column) -> Column:
                     rest,
                 ),
                 bind(
-                    F.regexp_extract(entity, legacy_pattern, 1),
+                    F.regexp_extract(entity, _LEGACY, 1),
                     lambda prefix: F.when(
                         prefix != "",
                         F.concat(
@@ -149,9 +150,10 @@ def sentence_boundary(abbreviations: Sequence[str] = DEFAULT_ABBREVIATIONS) -> s
     not taken after a listed abbreviation, after a single initial, or when an
     ellipsis runs on in lower case.
     """
-    guards = r"(?<!\b[A-HJ-Z]\.)"
+    start = r"(?<![\p{L}\p{N}])"
+    guards = rf"(?<!{start}[A-HJ-Z]\.)"
     if abbreviations:
-        guards += rf"(?<!\b(?:{'|'.join(re.escape(a) for a in abbreviations)})\.)"
+        guards += rf"(?<!{start}(?:{'|'.join(re.escape(a) for a in abbreviations)})\.)"
     gap = f"[{SPACE}]++"
     return (
         rf"(?<=[.!?][\"'”’)\]]{{0,3}}){guards}"

@@ -27,7 +27,12 @@ def lookup_join(
 
     Hot keys meet a broadcast of just their table rows; all other keys take the
     ordinary join, where Spark picks the strategy from measured sizes.  NULL keys
-    never match and stay out of the shuffle.
+    never match and stay out of the shuffle.  ``rows`` is read up to three times, so
+    pass a stored table rather than a long computation.
+
+    Plain joins to a scanned table do not need this: adaptive execution splits their
+    skewed partitions.  It cannot do so when ``table`` comes out of an aggregation on
+    the same key, which is what this function is for.
     """
     if hot is None:
         hot = hot_keys(rows, key, hot_rows)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from facetry.functions.terms import DEFAULT_RULES, TagRules, aspect_terms, is_valid_term, lower_title_start
 from facetry.functions.text import strip, tokens
 from facetry.functions.wordlists import MAX_TERM_WORDS, MIN_TERM_LENGTH
-from facetry.operators.joins import HOT_ROWS, lookup_join
 
 
 def explode_mentions(sentences: DataFrame, terms: Column, name: str = "aspect") -> DataFrame:
@@ -33,31 +32,32 @@ def noun_phrase_mentions(
 
 def tag_tokens(
     sentences: DataFrame, tags: DataFrame, keys: Sequence[str], text_col: str = "sentence",
-    rules: TagRules = DEFAULT_RULES, hot_rows: int = HOT_ROWS,
+    rules: TagRules = DEFAULT_RULES,
 ) -> DataFrame:
     """``keys, pos, token, tag`` with tags from a table ``(token, tag)`` of any size.
 
-    Tokens the table lacks fall back to the rules.
+    Tokens the table lacks fall back to the rules.  Spark broadcasts a small table and
+    splits the partitions of frequent tokens of a large one.
     """
     split = tokens(lower_title_start(strip(F.col(text_col))))
     rows = sentences.select(*keys, F.posexplode_outer(split).alias("pos", "token")).filter(
         F.col("pos").isNotNull()
     )
-    tagged = lookup_join(rows, tags.select("token", "tag"), "token", "left", hot_rows=hot_rows)
+    tagged = rows.join(tags.select("token", "tag"), "token", "left")
     return tagged.select(*keys, "pos", "token", F.coalesce("tag", rules(F.col("token"))).alias("tag"))
 
 
 def mentions_by_table(
     sentences: DataFrame, tags: DataFrame, keys: Sequence[str], text_col: str = "sentence",
     rules: TagRules = DEFAULT_RULES,
-    min_length: int = MIN_TERM_LENGTH, max_words: int = MAX_TERM_WORDS, hot_rows: int = HOT_ROWS,
+    min_length: int = MIN_TERM_LENGTH, max_words: int = MAX_TERM_WORDS,
 ) -> DataFrame:
     """``keys, term_pos, aspect`` from noun runs over table tags.
 
     ``keys`` identify a sentence, so a window group is the nouns of one text row.
     The windows and the aggregation share one exchange on the keys.
     """
-    nouns = tag_tokens(sentences, tags, keys, text_col, rules, hot_rows).filter(
+    nouns = tag_tokens(sentences, tags, keys, text_col, rules).filter(
         F.col("tag").startswith("NN")
     )
     order = Window.partitionBy(*keys).orderBy("pos")

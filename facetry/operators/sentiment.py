@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.functions.polarity import (
@@ -28,7 +28,6 @@ from facetry.functions.wordlists import (
     NEGATIVE_FROM,
     POSITIVE_FROM,
 )
-from facetry.operators.joins import HOT_ROWS, lookup_join
 
 
 def add_sentiment(
@@ -67,48 +66,54 @@ def compound_by_table(
     keys: Sequence[str],
     text_col: str = "text",
     lexicon: Lexicon = DEFAULT_LEXICON,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``keys`` + ``compound`` with word valences from a table ``(token, valence)`` of any size.
 
     ``keys`` identify a row.  Every word row carries its three predecessors, taken
-    from the word array in place, so context needs no window.  Words meet the
-    table in joins whose frequent words are split off; scores are added up per row
-    before they are shuffled.  ``lexicon`` supplies the small word lists only.
+    from the word array in place.  One join finds the words of the table; Spark
+    broadcasts a small table and splits the partitions of frequent words of a large
+    one.  Only words found go on, and the window and the sum share one exchange on
+    ``keys``, so a group is the scored words of a single text.  ``lexicon`` supplies
+    the small word lists only.
     """
-    reach = len(BOOST_DECAY)
-    arrays = rows.select(*keys, F.col(text_col).alias("_text"), words(F.col(text_col)).alias("_w"))
-    low = F.transform("_w", F.lower)
-    lowered = arrays.withColumn("_low", low)
-    flags = lowered.select(
-        *keys, "_w", "_low",
+    steps = range(1, len(BOOST_DECAY) + 1)
+    arrays = rows.select(*keys, words(F.col(text_col)).alias("_w"))
+    arrays = arrays.withColumn("_low", F.transform("_w", F.lower))
+    flagged = arrays.select(
+        "*",
         (F.exists("_w", is_capitals) & F.exists("_w", lambda t: ~is_capitals(t))).alias("_mixed"),
-        F.array_position(F.transform("_low", lambda t: t.isin(*lexicon.contrasts)), F.lit(True)).alias("_turn"),
+        F.array_position(
+            F.transform("_low", lambda t: t.isin(*lexicon.contrasts)), F.lit(True)
+        ).alias("_turn"),
+        F.posexplode_outer("_low").alias("_pos", "token"),
+    ).filter(F.col("_pos").isNotNull())
+    spread = flagged.select(
+        *keys, "_mixed", "_turn", "_pos", "token", F.get("_w", F.col("_pos")).alias("_word"),
+        *[F.get("_low", F.col("_pos") - d).alias(f"_low{d}") for d in steps],
+        *[F.get("_w", F.col("_pos") - d).alias(f"_word{d}") for d in steps],
     )
-    positions = flags.select(
-        "*", F.posexplode_outer("_low").alias("_pos", "_token")
-    ).filter(F.col("_pos").isNotNull() & ~F.col("_token").isin(*lexicon.boosters))
-    hits = positions.select(
-        *keys, "_mixed", "_turn", "_pos", "_token",
-        F.get("_w", F.col("_pos")).alias("_word"),
-        *[F.get("_low", F.col("_pos") - d).alias(f"_low{d}") for d in range(1, reach + 1)],
-        *[F.get("_w", F.col("_pos") - d).alias(f"_word{d}") for d in range(1, reach + 1)],
-    )
-    table = valences.select(F.col("token").alias("_token"), F.col("valence").cast("double").alias("_valence"))
-    scored = lookup_join(hits, table, "_token", "inner", hot_rows=hot_rows)
-    for d in range(1, reach + 1):
-        known = valences.select(F.col("token").alias(f"_low{d}"), F.lit(True).alias(f"_known{d}"))
-        scored = lookup_join(scored, known, f"_low{d}", "left", hot_rows=hot_rows)
+    found = spread.join(valences.select("token", F.col("valence").cast("double").alias("_valence")), "token")
+
+    order = Window.partitionBy(*keys).orderBy("_pos")
+    found = found.withColumns({f"_at{d}": F.lag("_pos", d).over(order) for d in steps})
+
+    def known(distance: int) -> Column:
+        before = F.col("_pos") - distance
+        hit = F.lit(False)
+        for d in range(1, distance + 1):
+            hit = hit | F.coalesce(F.col(f"_at{d}") == before, F.lit(False))
+        return hit
+
+    scored = found.filter(~F.col("token").isin(*lexicon.boosters))
     start = F.col("_valence")
     value = start + F.when(
         F.col("_mixed") & is_capitals(F.col("_word")),
         F.when(start > 0, CAPS_BOOST).otherwise(-CAPS_BOOST),
     ).otherwise(0.0)
-    for d in range(1, reach + 1):
+    for d in steps:
         scored = scored.withColumn(f"_value{d}", with_context(
             value if d == 1 else F.col(f"_value{d - 1}"),
-            F.col(f"_low{d}"), F.col(f"_word{d}"), F.col(f"_known{d}").isNotNull(),
-            F.col("_mixed"), d, lexicon,
+            F.col(f"_low{d}"), F.col(f"_word{d}"), known(d), F.col("_mixed"), d, lexicon,
         ))
     at, turn = F.col("_pos") + 1, F.col("_turn")
     side = (
@@ -116,7 +121,7 @@ def compound_by_table(
         .otherwise(AFTER_CONTRAST)
     )
     totals = scored.groupBy(*keys).agg(
-        F.sum(to_micro(F.col(f"_value{reach}") * side)).alias("_total")
+        F.sum(to_micro(F.col(f"_value{len(steps)}") * side)).alias("_total")
     )
     texts = rows.select(*keys, emphasis(F.coalesce(F.col(text_col), F.lit(""))).alias("_extra"))
     total = F.coalesce(F.col("_total"), F.lit(0)) / F.lit(MICRO)

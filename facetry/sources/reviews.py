@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from facetry.operators.prepare import canonicalize
 
@@ -32,13 +33,18 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], null_values: str =
 def load_reviews(
     source: DataFrame | str, spark: SparkSession | None = None,
     columns: Mapping[str, str] | None = None, ids: str = "consecutive",
-    date_formats: Sequence[str] = (),
+    date_formats: Sequence[str] = (), id_type: str = "bigint",
 ) -> DataFrame:
-    """Canonical reviews from a CSV path or a frame."""
+    """Canonical reviews from a CSV path or a frame.
+
+    CSV values are text, so ``id_type`` states what the ids are; an id that does not
+    fit is an error.  A frame keeps its own id type.
+    """
     if isinstance(source, DataFrame):
         return canonicalize(source, columns, ids, date_formats)
     session = spark or SparkSession.active()
-    return canonicalize(read_csv(session, source), columns, ids, date_formats, pin=False)
+    rows = canonicalize(read_csv(session, source), columns, ids, date_formats, pin=False)
+    return rows.withColumn("review_id", F.col("review_id").cast(id_type))
 
 
 def spread(rows: DataFrame) -> DataFrame:
