@@ -141,6 +141,10 @@ def squash(total: Column, extra: Column) -> Column:
 
 def compound(text: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
     """Compound score of a text in [-1, 1]; blank or NULL gives 0.0."""
+    return bind(F.coalesce(text, F.lit("")), lambda t: _compound(t, lexicon))
+
+
+def _compound(text: Column, lexicon: Lexicon) -> Column:
 
     def score(w: Column, low: Column, hits: Column) -> Column:
         mixed_case = F.exists(w, is_capitals) & F.exists(w, lambda t: ~is_capitals(t))
@@ -192,7 +196,7 @@ def compound(text: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
             lambda low: bind(hit_positions(low), lambda hits: score(w, low, hits)),
         ),
     )
-    return bind(total / F.lit(MICRO), lambda t: squash(t, emphasis(F.coalesce(text, F.lit("")))))
+    return bind(total / F.lit(MICRO), lambda t: bind(emphasis(text), lambda extra: squash(t, extra)))
 
 
 def label_sentiment(
@@ -226,7 +230,7 @@ def class_scores(logits: Column, labels: Sequence[str] = CLASS_ORDER) -> Column:
 
     def softmax(x: Column) -> Column:
         return bind(
-            F.transform(x, lambda v: F.exp(v.cast("double") - F.array_max(x).cast("double"))),
+            F.transform(x, lambda v: F.exp(v - F.array_max(x))),
             lambda e: bind(
                 F.aggregate(e, F.lit(0.0), lambda a, v: a + v),
                 lambda s: F.transform(e, lambda v: v / s),
@@ -235,7 +239,7 @@ def class_scores(logits: Column, labels: Sequence[str] = CLASS_ORDER) -> Column:
 
     names = F.array(*[F.lit(name) for name in labels])
     return bind(
-        softmax(logits),
+        bind(logits.cast("array<double>"), softmax),
         lambda p: F.struct(
             F.get(names, (F.array_position(p, F.array_max(p)) - 1).cast("int")).alias("label"),
             (probability(p, "positive") - probability(p, "negative")).alias("score"),

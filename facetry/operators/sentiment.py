@@ -19,7 +19,7 @@ from facetry.functions.polarity import (
     to_micro,
     with_context,
 )
-from facetry.functions.text import words
+from facetry.functions.text import bind, words
 from facetry.functions.wordlists import (
     AFTER_CONTRAST,
     BEFORE_CONTRAST,
@@ -77,21 +77,34 @@ def compound_by_table(
     the small word lists only.
     """
     steps = range(1, len(BOOST_DECAY) + 1)
-    arrays = rows.select(*keys, words(F.col(text_col)).alias("_w"))
-    arrays = arrays.withColumn("_low", F.transform("_w", F.lower))
-    flagged = arrays.select(
-        "*",
-        (F.exists("_w", is_capitals) & F.exists("_w", lambda t: ~is_capitals(t))).alias("_mixed"),
-        F.array_position(
-            F.transform("_low", lambda t: t.isin(*lexicon.contrasts)), F.lit(True)
-        ).alias("_turn"),
-        F.posexplode_outer("_low").alias("_pos", "token"),
-    ).filter(F.col("_pos").isNotNull())
-    spread = flagged.select(
-        *keys, "_mixed", "_turn", "_pos", "token", F.get("_w", F.col("_pos")).alias("_word"),
-        *[F.get("_low", F.col("_pos") - d).alias(f"_low{d}") for d in steps],
-        *[F.get("_w", F.col("_pos") - d).alias(f"_word{d}") for d in steps],
-    )
+    kinds = ["low", "word"]
+
+    def in_context(w: Column, low: Column) -> Column:
+        """Every word with its predecessors, so that no word row carries the whole text."""
+        def entry(token: Column, i: Column) -> Column:
+            before = [
+                F.get(array, i - d).alias(f"_{kind}{d}")
+                for kind, array in zip(kinds, (low, w)) for d in steps
+            ]
+            return F.struct(
+                i.alias("_pos"), token.alias("token"), F.get(w, i).alias("_word"), *before
+            )
+
+        return F.struct(
+            (F.exists(w, is_capitals) & F.exists(w, lambda t: ~is_capitals(t))).alias("_mixed"),
+            F.array_position(
+                F.transform(low, lambda t: t.isin(*lexicon.contrasts)), F.lit(True)
+            ).alias("_turn"),
+            F.transform(low, entry).alias("_entries"),
+        )
+
+    arrays = bind(words(F.col(text_col)), lambda w: bind(F.transform(w, F.lower), lambda low: in_context(w, low)))
+    prepared = rows.select(*keys, arrays.alias("_text"))
+    entries = prepared.select(
+        *keys, F.col("_text._mixed").alias("_mixed"), F.col("_text._turn").alias("_turn"),
+        F.explode_outer("_text._entries").alias("_entry"),
+    ).filter(F.col("_entry").isNotNull())
+    spread = entries.select(*keys, "_mixed", "_turn", "_entry.*")
     found = spread.join(valences.select("token", F.col("valence").cast("double").alias("_valence")), "token")
 
     order = Window.partitionBy(*keys).orderBy("_pos")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from facetry.functions.polarity import Lexicon, class_scores, label_sentiment, normalize_label
 from facetry.functions.spans import bio_labels, decode_terms, token_offsets
 from facetry.functions.terms import aspect_terms
-from facetry.functions.text import clean_text, tokens
+from facetry.functions.text import bind, tokens
 from facetry.functions.themes import normalize_term
 from facetry.operators import evaluation, mentions, prepare, sentiment, summary, themes, training
 from facetry.operators.models import extractor_hook, scorer_hook
@@ -476,32 +476,36 @@ def nested_gold(spark, sf_dir) -> DataFrame:
     """
     rows = sentences(spark, sf_dir)
     flat = F.regexp_replace("sentence", r"\s+", " ")
-    cut = rows.select(
-        F.col("lang").alias("dataset"), F.concat_ws("-", "doc_id", "sentence_id").alias("sentence_id"),
-        flat.alias("text"), token_offsets(flat).alias("_tokens"),
-    )
-    spans = F.filter(
-        F.transform(
-            "_tokens",
-            lambda t, i: F.when(
-                t["end"] - t["start"] >= 8,
-                F.struct(
-                    (t["start"] + 1).alias("start"),
-                    F.coalesce(F.get("_tokens", i + 1)["end"], t["end"]).alias("end"),
+    names = F.array(*[F.lit(p) for p in ["positive", "negative", "neutral", "conflict"]])
+
+    def spans(toks: Column) -> Column:
+        return F.filter(
+            F.transform(
+                toks,
+                lambda t, i: F.when(
+                    t["end"] - t["start"] >= 8,
+                    F.struct(
+                        (t["start"] + 1).alias("start"),
+                        F.coalesce(F.get(toks, i + 1)["end"], t["end"]).alias("end"),
+                    ),
                 ),
             ),
-        ),
-        lambda s: s.isNotNull(),
-    )
-    names = F.array(*[F.lit(p) for p in ["positive", "negative", "neutral", "conflict"]])
-    terms = F.transform(
-        "_spans",
-        lambda s, i: F.struct(
-            F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("term"),
-            F.get(names, (s["start"] + i) % 4).alias("polarity"), s["start"].alias("start"), s["end"].alias("end"),
-        ),
+            lambda s: s.isNotNull(),
+        )
+
+    def terms(text: Column) -> Column:
+        return F.transform(
+            bind(token_offsets(text), spans),
+            lambda s, i: F.struct(
+                F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("term"),
+                F.get(names, (s["start"] + i) % 4).alias("polarity"), s["start"].alias("start"), s["end"].alias("end"),
+            ),
+        )
+
+    return rows.select(
+        F.col("lang").alias("dataset"), F.concat_ws("-", "doc_id", "sentence_id").alias("sentence_id"),
+        flat.alias("text"), bind(flat, terms).alias("terms"),
     )
-    return cut.withColumn("_spans", spans).select("dataset", "sentence_id", "text", terms.alias("terms"))
 
 
 def gold_xml(spark, sf_dir):
