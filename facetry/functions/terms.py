@@ -109,7 +109,7 @@ def noun_runs(sentence: Column, is_noun: Callable[[Column], Column] = DEFAULT_RU
     linear time without a nested regex.
     """
     kept = F.transform(
-        tokens(lower_title_start(strip(sentence))), lambda t: F.when(is_noun(t), t).otherwise(MARK)
+        tokens(bind(strip(sentence), lower_title_start)), lambda t: F.when(is_noun(t), t).otherwise(MARK)
     )
     runs = F.split(F.lower(F.array_join(kept, " ")), MARK)
     return F.filter(F.transform(runs, lambda r: F.trim(r)), lambda r: r != "")

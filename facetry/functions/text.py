@@ -21,6 +21,11 @@ from facetry.functions.wordlists import DEFAULT_ABBREVIATIONS
 SPACE_CHARS = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 SPACE = r"\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+# The same without the blank, and runs that are not already one blank: most text has
+# single blanks only, and leaving those alone saves most of the work.
+OTHER_SPACE = SPACE.replace(r"\s", r"\t\n\f\r")
+SPACE_RUN = f"(?: [{SPACE}]|[{OTHER_SPACE}])[{SPACE}]*+"
+
 # The patterns that decide what counts as markup, URL and word.
 TAG_PATTERN = r"<[^>]+>"
 URL_PATTERN = rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+"
@@ -140,7 +145,7 @@ def clean_text(text: Column) -> Column:
     out = unescape_entities(F.coalesce(text.cast("string"), F.lit("")))
     out = F.regexp_replace(out, TAG_PATTERN, " ")
     out = F.regexp_replace(out, URL_PATTERN, " ")
-    return F.trim(F.regexp_replace(out, f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(out, SPACE_RUN, " "))
 
 
 def sentence_boundary(abbreviations: Sequence[str] = DEFAULT_ABBREVIATIONS) -> str:
@@ -173,11 +178,12 @@ def words(text: Column) -> Column:
     A word of two characters or fewer after stripping keeps its punctuation, so
     emoticons such as ``:)`` survive for the sentiment lexicon.
     """
-    pieces = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE}]+", " "), " ")
-    bare = lambda w: F.btrim(w, F.lit(PUNCTUATION))
+    pieces = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{OTHER_SPACE}]", " "), " ")
     return F.transform(
         F.filter(pieces, lambda w: w != ""),
-        lambda w: F.when(F.length(bare(w)) > 2, bare(w)).otherwise(w),
+        lambda w: bind(
+            F.btrim(w, F.lit(PUNCTUATION)), lambda bare: F.when(F.length(bare) > 2, bare).otherwise(w)
+        ),
     )
 
 

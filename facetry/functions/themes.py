@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from facetry.functions.text import SPACE, bind, strip
+from facetry.functions.text import SPACE_RUN, bind, strip
 from facetry.functions.wordlists import THEME_KEYWORDS
 
 # A theme dictionary is written into the plan up to this many keywords; larger
@@ -30,7 +30,7 @@ def singular(word: Column) -> Column:
 
 def normalize_term(term: Column) -> Column:
     """Lower-case, strip, collapse spaces, make the last word singular."""
-    text = F.regexp_replace(strip(F.lower(term.cast("string"))), f"[{SPACE}]+", " ")
+    text = F.regexp_replace(strip(F.lower(term.cast("string"))), SPACE_RUN, " ")
 
     def last_singular(t: Column) -> Column:
         last = F.substring_index(t, " ", -1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.functions.terms import DEFAULT_RULES, TagRules, aspect_terms, is_valid_term, lower_title_start
-from facetry.functions.text import strip, tokens
+from facetry.functions.text import bind, strip, tokens
 from facetry.functions.wordlists import MAX_TERM_WORDS, MIN_TERM_LENGTH
 
 
@@ -39,7 +39,7 @@ def tag_tokens(
     Tokens the table lacks fall back to the rules.  Spark broadcasts a small table and
     splits the partitions of frequent tokens of a large one.
     """
-    split = tokens(lower_title_start(strip(F.col(text_col))))
+    split = tokens(bind(strip(F.col(text_col)), lower_title_start))
     rows = sentences.select(*keys, F.posexplode_outer(split).alias("pos", "token")).filter(
         F.col("pos").isNotNull()
     )

@@ -18,6 +18,7 @@ from facetry.operators.models import extractor_hook, scorer_hook
 from facetry.operators.sentences import explode_sentences
 from facetry.operators.spans import first_overlaps
 from facetry.plans import evaluate, pipeline
+from facetry.session import ship_package
 from facetry.sources import gold, results, reviews
 from facetry.streaming.mentions import weekly_trend
 
@@ -630,6 +631,7 @@ def word_count_model():
 
 
 def model_hook(spark, sf_dir):
+    ship_package(spark)
     rows = sentences(spark, sf_dir)
     extract = extractor_hook("longest-word", longest_words_model)
     score = scorer_hook("word-count", word_count_model)

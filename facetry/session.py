@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -40,3 +42,16 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="facetry-checkpoint-")
     context.setCheckpointDir(folder)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the workers, which model hooks need.
+
+    Not needed where the package is installed on every machine.
+    """
+    root = os.path.dirname(os.path.abspath(__file__))
+    if any("facetry-package" in name for name in spark.sparkContext.listFiles):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="facetry-"), "facetry-package")
+    path = shutil.make_archive(archive, "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(path)
