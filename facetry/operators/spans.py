@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,17 +22,20 @@ def first_overlaps(
     are cut into cells of fixed width and joined on (keys, cell), so only neighbours
     meet and one long text spreads over many tasks.
     """
-    def cells(rows, start, end):
-        reach = F.sequence(F.floor(F.col(start) / cell), F.floor((F.col(end) - 1) / cell))
-        return rows.filter(F.col(start) < F.col(end)).withColumn("_cell", F.explode(reach))
-
-    left = cells(tokens.select(*keys, "pos", "start", "end"), "start", "end")
-    right = cells(
-        spans.select(*keys, "idx", F.col("start").alias("_from"), F.col("end").alias("_to")),
-        "_from", "_to",
+    def cells(start, end):
+        first, last = F.floor(F.col(start) / cell), F.floor((F.col(end) - 1) / cell)
+        return F.explode_outer(F.when(F.col(start) < F.col(end), F.sequence(first, last)))
+
+    # An empty token keeps one row with a NULL cell, which meets nothing.
+    left = tokens.select(*keys, "pos", "start", "end", cells("start", "end").alias("_cell")).alias("t")
+    right = spans.select(
+        *keys, "idx", F.col("start").alias("_from"), F.col("end").alias("_to"),
+        cells("start", "end").alias("_cell"),
+    ).filter(F.col("_cell").isNotNull()).alias("s")
+    same = [F.col(f"t.{c}") == F.col(f"s.{c}") for c in [*keys, "_cell"]]
+    overlap = (F.col("t.start") < F.col("s._to")) & (F.col("t.end") > F.col("s._from"))
+    hits = left.join(right, reduce(and_, [*same, overlap]), "left")
+    # A token that spans several cells, or meets several spans, comes together again.
+    return hits.groupBy(*[F.col(f"t.{c}").alias(c) for c in [*keys, "pos", "start", "end"]]).agg(
+        F.min("s.idx").alias("span_idx")
     )
-    hits = left.join(right, [*keys, "_cell"]).filter(
-        (F.col("start") < F.col("_to")) & (F.col("end") > F.col("_from"))
-    )
-    owners = hits.groupBy(*keys, "pos").agg(F.min("idx").alias("span_idx"))
-    return tokens.join(owners, [*keys, "pos"], "left")

@@ -593,7 +593,10 @@ def extraction_matrix(spark, sf_dir):
 
 
 def classifier_dev_scores(spark, sf_dir):
-    examples = pair_rows(spark, sf_dir)
+    # Fitting reads its table many times, so the table is stored first.
+    folder = scratch(spark)
+    pair_rows(spark, sf_dir).write.parquet(folder + "/pairs")
+    examples = spark.read.parquet(folder + "/pairs")
     model = training.fit_polarity(examples, features=1 << 12, max_iter=5)
     dev = training.predict_polarity(model, examples.filter(F.col("fold") == "dev"))
     return evaluation.sentiment_scores(dev, ["dataset"], observed_only=True)
