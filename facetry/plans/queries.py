@@ -229,8 +229,8 @@ def saved_counts(spark, sf_dir):
 # -- themes -----------------------------------------------------------------
 
 def document_words(spark, sf_dir):
-    pieces = documents(spark, sf_dir).select(F.explode(tokens(F.col("text"))).alias("term"))
-    return pieces.distinct()
+    pieces = documents(spark, sf_dir).select(F.explode_outer(tokens(F.col("text"))).alias("term"))
+    return pieces.filter(F.col("term").isNotNull()).distinct()
 
 
 def normalized_terms(spark, sf_dir):
@@ -545,12 +545,12 @@ def bio_decode(spark, sf_dir):
 
 def token_overlaps(spark, sf_dir):
     rows = bio_rows(spark, sf_dir)
-    toks = rows.select("sentence_id", F.posexplode("tokens").alias("pos", "t")).select(
-        "sentence_id", "pos", "t.start", "t.end"
-    )
-    spans = rows.select("sentence_id", F.posexplode("spans").alias("idx", "s")).select(
-        "sentence_id", "idx", "s.start", "s.end"
-    )
+
+    def positions(array, pos):
+        out = rows.select("sentence_id", F.posexplode_outer(array).alias(pos, "_x"))
+        return out.filter(F.col(pos).isNotNull()).select("sentence_id", pos, "_x.start", "_x.end")
+
+    toks, spans = positions("tokens", "pos"), positions("spans", "idx")
     return first_overlaps(toks, spans, ["sentence_id"])
 
 
@@ -578,12 +578,10 @@ def pair_examples(spark, sf_dir):
 
 def sentiment_matrix(spark, sf_dir):
     """Gold pairs against the lexicon and a constant, all data sets in one job."""
-    pairs = evaluate.gold_pairs(nested_gold(spark, sf_dir))
-    models = {
-        "lexicon": evaluate.lexicon_classifier(LEXICON),
-        "length": lambda sentence, aspect: F.when(F.length(aspect) % 2 == 0, "positive").otherwise("negative"),
-    }
-    return evaluate.evaluate_sentiment(pairs, models)
+    lexicon = {"lexicon": evaluate.lexicon_labels(LEXICON)}
+    pairs = evaluate.gold_pairs(nested_gold(spark, sf_dir), sentence_models=lexicon)
+    even = lambda sentence, aspect: F.when(F.length(aspect) % 2 == 0, "positive").otherwise("negative")
+    return evaluate.evaluate_sentiment(pairs, {"length": even}, lexicon)
 
 
 def extraction_matrix(spark, sf_dir):
