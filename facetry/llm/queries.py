@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.llm import (
-    decontaminate, disclosure, language, packing, revisits, suffix_trees, topk, toxicity,
+    decontaminate, disclosure, language, packing, revisits, run_index, suffix_trees, topk, toxicity,
 )
 
 
@@ -78,6 +78,11 @@ def op6_topk(spark, sf_dir):
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op7_run_index(spark, sf_dir):
+    found = run_index.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_decontaminate(spark, sf_dir):
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -89,6 +94,6 @@ def op9_packing(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_revisits, op2_suffix_trees, op3_toxicity, op4_disclosure, op5_language, op6_topk,
-        op8_decontaminate, op9_packing,
+        op7_run_index, op8_decontaminate, op9_packing,
     )
 }
