@@ -251,12 +251,12 @@ def redact(text: str, spans) -> str:
 
 
 def with_terms(docs: DataFrame) -> DataFrame:
-    """Candidate rows with their ``_terms``; rows never multiply, keys on the right are unique."""
+    """Candidate rows with their ``__disclosed``; rows never multiply, keys on the right are unique."""
     flags = flagged_documents(docs).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("terms").alias("_terms")
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("terms").alias("__disclosed")
     )
-    found = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    return candidates(docs).join(flags, found, "left").drop("_id", "_hash")
+    found = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    return candidates(docs).join(flags, found, "left").drop("__id", "__hash")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     def work(batch):
         rows = []
-        for doc, text, terms in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "_terms"))):
+        for doc, text, terms in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "__disclosed"))):
             base, spans = all_spans(text, terms)
             kinds = [k for *_, k in base]
             digest = hashlib.sha256(joined(base).encode()).hexdigest()
@@ -283,21 +283,21 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         "doc_id", *(zero.alias(f"n_{k}") for k in KINDS), F.sha2(F.lit("").cast("binary"), 256).alias("base_sha256"),
         F.lit("").alias("spans"), zero.alias("n_terms"),
     )
-    return scan(with_terms(docs), ["doc_id", "text", "_terms"], work, schema).unionByName(rest)
+    return scan(with_terms(docs), ["doc_id", "text", "__disclosed"], work, schema).unionByName(rest)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """The same rows and columns; entities and disclosing terms are replaced in ``text``."""
-    flagged = with_terms(docs)
+    flagged, names = with_terms(docs), docs.columns
 
     def work(batch):
         texts = [
             redact(text, all_spans(text, terms)[1])
-            for text, terms in zip(batch.column("text").to_pylist(), batch.column("_terms").to_pylist())
+            for text, terms in zip(batch.column("text").to_pylist(), batch.column("__disclosed").to_pylist())
         ]
         at = batch.schema.get_field_index("text")
         out = batch.set_column(at, "text", pa.array(texts, batch.schema.field("text").type))
-        yield out.select(docs.columns)
+        yield out.select(names)
 
     rest = docs.where(~F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False)))
-    return scan(flagged, [*docs.columns, "_terms"], work, docs.schema).unionByName(rest)
+    return scan(flagged, [*docs.columns, "__disclosed"], work, docs.schema).unionByName(rest)

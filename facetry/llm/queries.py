@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.llm import (
-    decontaminate, disclosure, language, packing, revisits, run_index, suffix_trees, topk, toxicity,
+    decontaminate, disclosure, language, packing, revisits, run_index, suffix_trees, token_groups, topk, toxicity,
 )
 
 
@@ -91,9 +91,13 @@ def op9_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_token_groups(spark, sf_dir):
+    return token_groups.link_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_revisits, op2_suffix_trees, op3_toxicity, op4_disclosure, op5_language, op6_topk,
-        op7_run_index, op8_decontaminate, op9_packing,
+        op7_run_index, op8_decontaminate, op9_packing, op10_token_groups,
     )
 }
