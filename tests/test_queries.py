@@ -8,8 +8,8 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_module
-
-QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
+from facetry.plans.oracle import ORACLE
+from facetry.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +32,8 @@ def rows_of(frame: pd.DataFrame):
 
 
 def test_registry():
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(ORACLE) <= set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLE) <= set(entry_module.oracle_sql()) <= set(entry_module.queries())
     assert set(QUERIES) - set(ORACLE) == {"theme_clusters", "classifier_dev_scores"}
 
 
