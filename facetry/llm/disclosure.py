@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.llm.kernels import (
-    NOT_WORD, column_buffers, keep, positions, scan, word_hashes,
+    NOT_WORD, column_buffers, keep, positions, scan, slices, word_hashes,
 )
 
 # Fixed patterns of the contract.  A run of digits can only match from its first digit,
@@ -179,8 +179,8 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, df``: documents of the whole corpus that hold each term."""
     wanted = docs.sparkSession.sparkContext.broadcast(slot_table(terms))
 
-    def work(batch):
-        data, offsets = column_buffers(batch.column("text"))
+    def count(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = column_buffers(part.column("text"))
         starts, ends, rows = positions(offsets, data, NOT_WORD)
         hashes = word_hashes(data, starts, ends, lower=True)
         hit = wanted.value[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
@@ -189,10 +189,21 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
         hashes, rows = hashes[order], rows[order]
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-        term, n = np.unique(hashes[new], return_counts=True)
+        return np.unique(hashes[new], return_counts=True)
+
+    def merge(found: list) -> tuple[np.ndarray, np.ndarray]:
+        term, place = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
+        return term, np.bincount(place, np.concatenate([n for _, n in found]), len(term)).astype(np.int64)
+
+    def work(batches):
+        """A task's counts leave it once: a row per term, not per term and slice."""
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for batch in batches:
+            found = [merge(found + [count(part) for part in slices(batch)])]
+        term, n = found[0]
         yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
 
-    counted = scan(docs, ["text"], work, "term long, n long")
+    counted = docs.select("text").mapInArrow(work, "term long, n long")
     return counted.groupBy("term").agg(F.sum("n").alias("df"))
 
 
