@@ -45,7 +45,7 @@ from facetry.llm.kernels import (
 SHINGLE = 3
 PERCENT = 90
 SHARED = 4
-GROUP_SETS = 1024
+GROUP_SETS = 512
 GROUP_SHINGLES = 500_000
 
 SENT = "grp int, batch int, leaves binary, counts binary"
@@ -232,11 +232,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def set_links(sets: DataFrame, percent: int = PERCENT, shared: int = SHARED) -> DataFrame:
     """``set_id, copies, links, label``: classes of equal sets, their links and component."""
-    classes = keep(
-        sets.where(F.col("tokens").isNotNull()).groupBy("set_id").agg(
-            F.count("*").alias("copies"), F.first("home").alias("home"), F.first("shared").alias("shared"),
-            F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"),
-        )
+    # Not stored: the sets move once, and stay where the seats join them.
+    classes = sets.where(F.col("tokens").isNotNull()).groupBy("set_id").agg(
+        F.count("*").alias("copies"), F.first("home").alias("home"), F.first("shared").alias("shared"),
+        F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"),
     )
     sizes = classes.groupBy("home").agg(F.ceil(F.count("*") / GROUP_SETS).alias("parts"))
     homes = keep(classes.join(sizes, "home").select(
