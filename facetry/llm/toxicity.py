@@ -56,8 +56,8 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights after ``epochs`` passes; the last coordinate is the intercept."""
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+    """Features seen and their weights after ``epochs`` passes; the last coordinate is the intercept."""
     z = np.zeros(DIMENSIONS + 1)
     n = np.zeros(DIMENSIONS + 1)
 
@@ -69,14 +69,15 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> np
 
     for _ in range(epochs):
         for index, label in zip(rows, labels):
-            index = np.append(index, DIMENSIONS)
+            index = np.append(index.astype(np.int64), DIMENSIONS)
             zi, ni = z[index], n[index]
             w = weights(zi, ni)
             gradient = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * (POSITIVE if label else 1)
             grown = ni + gradient * gradient
             z[index] = zi + gradient - (np.sqrt(grown) - np.sqrt(ni)) / ALPHA * w
             n[index] = grown
-    return weights(z, n)
+    seen = np.flatnonzero(n)
+    return seen, weights(z[seen], n[seen])
 
 
 def train(
@@ -110,9 +111,9 @@ def train(
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["_order", "doc_id"], kind="stable")
-        w = ftrl([np.asarray(x, np.int64) for x in frame["features"]], frame["toxic"].to_numpy(float))
+        feature, w = ftrl(frame["features"].tolist(), frame["toxic"].to_numpy(float))
         kept = np.flatnonzero(w)
-        return pd.DataFrame({"feature": kept, "weight": w[kept]})
+        return pd.DataFrame({"feature": feature[kept], "weight": w[kept]})
 
     parts = sparse.groupBy(F.pmod(F.col("_order"), F.lit(shards)).alias("shard"))
     found = (
