@@ -30,9 +30,9 @@ from facetry.session import ship_package
 
 K = 10
 SCALE = 1024
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 8192
 QUERY_ROWS = 128
-STEP = 64
+STEP = 128
 POSSIBLE = 256
 
 
@@ -78,13 +78,13 @@ class ImpactIndex:
             acc[order[a:b]] += w * values[a:b] - least
             gain -= pending[d].pop()
             gain += pending[d][-1]
-            if i % 64 == 63 and possible.sum() > POSSIBLE:
+            if i % 64 == 63 and n > POSSIBLE:
                 live = acc[possible]
                 if len(live) > k:
                     floor = np.partition(live, len(live) - k)[len(live) - k]
                     possible &= acc + gain >= floor
-            if possible.sum() <= POSSIBLE and n > POSSIBLE:
-                break
+                if np.count_nonzero(possible) <= POSSIBLE:
+                    break
         at = np.flatnonzero(possible)
         exact = self.vectors[at] @ query
         best = np.lexsort((self.ids[at], -exact))[:k]
