@@ -18,7 +18,7 @@ from facetry.functions.wordlists import (
 )
 
 # Largest dictionary that is written into the plan; larger ones go through
-# operators.mentions.aspect_terms_by_table.
+# operators.mentions.mentions_by_table.
 MAX_INLINE_WORDS = 50_000
 
 # Title case: every run of cased letters starts upper and goes on lower.
@@ -41,7 +41,7 @@ class TagRules:
         if size > MAX_INLINE_WORDS:
             raise ValueError(
                 f"{size} words are too many to write into the plan (limit {MAX_INLINE_WORDS}); "
-                "use aspect_terms_by_table with a tag table"
+                "use mentions_by_table with a tag table"
             )
 
     def __call__(self, token: Column) -> Column:

@@ -137,6 +137,14 @@ def rating_facet(rows: DataFrame) -> DataFrame:
     )
 
 
-def first_rows(rows: DataFrame, order: Sequence[str], n: int | None) -> DataFrame:
-    """First ``n`` rows in a stated order, for smoke runs; None keeps all."""
-    return rows if n is None else rows.orderBy(*order).limit(n)
+def first_rows(
+    rows: DataFrame, order: Sequence[str], n: int | None, per: Sequence[str] = (),
+) -> DataFrame:
+    """First ``n`` rows in a stated order, for smoke runs; None keeps all.
+
+    With ``per``, the first ``n`` of each group; each task passes on ``n`` rows per group.
+    """
+    if n is None or not per:
+        return rows if n is None else rows.orderBy(*order).limit(n)
+    rank = F.row_number().over(Window.partitionBy(*per).orderBy(*order))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")

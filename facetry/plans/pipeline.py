@@ -25,6 +25,7 @@ from facetry.operators.prepare import clean_reviews
 from facetry.operators.sentences import explode_sentences
 from facetry.operators.sentiment import document_sentiment, sentence_sentiment
 from facetry.operators.themes import add_theme_column
+from facetry.sources.reviews import load_mentions
 
 
 @dataclass(frozen=True)
@@ -104,6 +105,8 @@ class Result:
         sentence_rows(reviews, self.options).write.mode("overwrite").parquet(paths["sentences"])
         sentences = spark.read.parquet(paths["sentences"])
         mentions = mention_rows(sentences, self.options)
+        if partition_by:  # else every task writes a file per value
+            mentions = mentions.hint("rebalance", *partition_by)
         mentions.write.mode("overwrite").partitionBy(*partition_by).parquet(paths["mentions"])
         return paths
 
@@ -118,4 +121,4 @@ def run(reviews: DataFrame, options: Options = Options()) -> Result:
 def load_result(spark: SparkSession, folder: str, options: Options = Options()) -> Result:
     """Tables written by ``Result.save``."""
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
-    return Result(read("reviews"), read("sentences"), read("mentions"), options)
+    return Result(read("reviews"), read("sentences"), load_mentions(spark, folder), options)

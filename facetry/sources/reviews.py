@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from facetry.operators.prepare import canonicalize
 
@@ -57,8 +58,22 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
+def read_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A saved table with its columns' own types and order.
+
+    Values of partition folders are text like "007"; without a schema Spark would read a
+    number.  The id keeps the type it was written with.
+    """
+    found = spark.read.parquet(path).schema
+    fields = [
+        found[f.name] if f.name == "review_id" and f.name in found.names else f
+        for f in StructType.fromDDL(schema) if f.name in found.names
+    ]
+    return spark.read.schema(StructType(fields)).parquet(path).select(*(f.name for f in fields))
+
+
 def load_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/mentions.parquet")
+    return read_typed(spark, f"{folder}/mentions.parquet", MENTION_SCHEMA)
 
 
 def load_scored_reviews(spark: SparkSession, folder: str) -> DataFrame:

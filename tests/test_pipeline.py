@@ -116,3 +116,26 @@ def test_streams(spark, sample_reviews, tmp_path):
     rows = spark.table("trend_out").collect()
     assert rows and all(r["period"].weekday() == 0 for r in rows)
     assert sum(r["positive"] + r["neutral"] + r["negative"] for r in rows) == batch.count()
+
+
+def test_partitioned_round_trip_keeps_types(spark, tmp_path):
+    from facetry.plans.pipeline import load_result, run
+    from facetry.sources.reviews import load_mentions
+
+    texts = [("a7", "The lamp is nice but the cable is bad.", "007"), ("b9", "A good lamp.", "010")]
+    frame = spark.createDataFrame(texts, "review_id string, text string, product string").selectExpr(
+        "review_id", "text", "cast(null as double) rating", "cast(null as timestamp) date", "product"
+    )
+    result = run(frame)
+    result.save(str(tmp_path), partition_by=["product"])
+    for back in (load_result(spark, str(tmp_path)).mentions, load_mentions(spark, str(tmp_path))):
+        assert back.dtypes == result.mentions.dtypes
+        assert sorted(map(str, back.collect())) == sorted(map(str, result.mentions.collect()))
+
+
+def test_limit_holds_for_each_data_set(spark):
+    from facetry.operators.prepare import first_rows
+
+    rows = spark.createDataFrame([("x", i) for i in range(5)] + [("y", i) for i in range(3)], "dataset string, id long")
+    kept = first_rows(rows, ["id"], 2, per=["dataset"]).collect()
+    assert sorted(map(tuple, kept)) == [("x", 0), ("x", 1), ("y", 0), ("y", 1)]
