@@ -9,8 +9,8 @@ which windows repeat.  An internal node at that depth with several leaves is a r
 its leaves are the documents whose texts hold that word sequence.
 
 Below the routing prefix a path of the tree is one 64-bit hash of the suffix's first
-``window`` words, so equality holds up to hash collisions (odds below 1e-9 for 1e5
-suffixes that are equal in nothing).  Suffixes of a batch of documents with the same
+``window`` words, so equality holds up to hash collisions (odds of any at all among n
+different windows: about n * n / 2**65).  Suffixes of a batch of documents with the same
 words are one leaf: batches are ranges of doc_id, so for a leaf it is enough to know
 whether an earlier batch has it too; order inside a batch is settled in the batch.
 
