@@ -5,40 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows than this is joined without a shuffle of its rows.
-HOT_ROWS = 2_000_000
-
-
-def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows.
-
-    The result has at most ``rows / hot_rows`` rows, half a million for a trillion
-    input rows, so broadcasting it is safe at any scale.
-    """
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
-    return counts.filter(F.col("_rows") > hot_rows).select(key)
+SALTS = 4
 
 
 def lookup_join(
-    rows: DataFrame, table: DataFrame, key: str, how: str = "left",
-    hot: DataFrame | None = None, hot_rows: int = HOT_ROWS,
+    rows: DataFrame, table: DataFrame, key: str, how: str = "left", salts: int = SALTS
 ) -> DataFrame:
     """Join rows to a table with unique keys (``how``: left, inner or left_semi).
 
-    Hot keys meet a broadcast of just their table rows; all other keys take the
-    ordinary join, where Spark picks the strategy from measured sizes.  NULL keys
-    never match and stay out of the shuffle.  ``rows`` is read up to three times, so
-    pass a stored table rather than a long computation.
-
-    Plain joins to a scanned table do not need this: adaptive execution splits their
-    skewed partitions.  It cannot do so when ``table`` comes out of an aggregation on
-    the same key, which is what this function is for.
+    Every key is dealt over ``salts`` values by a hash of the whole row, and the table is
+    repeated once per value, so each side is read once and the plan is the same at every
+    size.  A table that comes out of an aggregation on the key would otherwise be joined
+    without a shuffle of its own, and adaptive execution only splits partitions below
+    shuffles on both sides; the salt brings these shuffles back, so a key with most of
+    the rows is split further than ``salts``.  Small tables are still broadcast.
+    NULL keys match nothing and are dealt out like the rest.
     """
-    if hot is None:
-        hot = hot_keys(rows, key, hot_rows)
-    flagged = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    aside = F.col("_hot").isNotNull() | F.col(key).isNull()
-    hot_table = table.join(F.broadcast(hot), key, "left_semi")
-    heavy = flagged.filter(aside).drop("_hot").join(F.broadcast(hot_table), key, how)
-    light = flagged.filter(~aside).drop("_hot").join(table, key, how)
-    return light.unionByName(heavy)
+    deal = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if _hashable(rows, c)]), F.lit(salts)).cast("int")
+    copies = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
+    left = rows.withColumn("_salt", deal)
+    return left.join(table.withColumn("_salt", copies), [key, "_salt"], how).drop("_salt")
+
+
+def _hashable(rows: DataFrame, column: str) -> bool:
+    """Maps and variants have no hash."""
+    kind = rows.schema[column].dataType.simpleString()
+    return "map<" not in kind and "variant" not in kind

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from facetry.functions.terms import DEFAULT_RULES, TagRules, aspect_terms, is_valid_term, lower_title_start
 from facetry.functions.text import bind, strip, tokens
 from facetry.functions.wordlists import MAX_TERM_WORDS, MIN_TERM_LENGTH
+from facetry.operators.joins import lookup_join
 
 
 def explode_mentions(sentences: DataFrame, terms: Column, name: str = "aspect") -> DataFrame:
@@ -36,14 +37,14 @@ def tag_tokens(
 ) -> DataFrame:
     """``keys, pos, token, tag`` with tags from a table ``(token, tag)`` of any size.
 
-    Tokens the table lacks fall back to the rules.  Spark broadcasts a small table and
-    splits the partitions of frequent tokens of a large one.
+    Tokens the table lacks fall back to the rules.  Frequent tokens are dealt over several
+    tasks, also when the table comes out of an aggregation on the token.
     """
     split = tokens(bind(strip(F.col(text_col)), lower_title_start))
     rows = sentences.select(*keys, F.posexplode_outer(split).alias("pos", "token")).filter(
         F.col("pos").isNotNull()
     )
-    tagged = rows.join(tags.select("token", "tag"), "token", "left")
+    tagged = lookup_join(rows, tags.select("token", "tag"), "token")
     return tagged.select(*keys, "pos", "token", F.coalesce("tag", rules(F.col("token"))).alias("tag"))
 
 

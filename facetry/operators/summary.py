@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.functions.wordlists import SENTIMENTS
-from facetry.operators.joins import HOT_ROWS, lookup_join
+from facetry.operators.joins import lookup_join
 
 # First letter of a frequency code -> unit of date_trunc.
 PERIODS = {"M": "month", "W": "week", "D": "day", "Q": "quarter", "Y": "year", "A": "year"}
@@ -71,23 +71,20 @@ def representative_quotes(
 ) -> DataFrame:
     """The ``per_side`` highest (loved) and lowest (hated) rows of every group.
 
-    Each side is its own ranking, so Spark cuts every task's groups to
-    ``per_side`` rows before the shuffle and a popular group stays small.
+    The rows are read once, each for both sides; Spark cuts every task's (group, side)
+    to ``per_side`` rows before the shuffle, so a popular group stays small.
     """
     ties = [c for c in (tie_break or _ROW_ORDER) if c in mentions.columns and c != group_col]
-    known = mentions.filter(F.col(group_col).isNotNull())
-
-    def side(name, order):
-        window = Window.partitionBy(group_col).orderBy(order, *ties)
-        ranked = known.withColumn("_rank", F.row_number().over(window))
-        return ranked.filter(F.col("_rank") <= per_side).select(
-            group_col, F.lit(name).alias("side"), "aspect_sentiment", "aspect_compound",
-            "sentence", "_rank",
-        )
-
-    loved = side("loved", F.desc_nulls_last("aspect_compound"))
-    hated = side("hated", F.asc_nulls_last("aspect_compound"))
-    return loved.unionByName(hated).orderBy(group_col, F.desc("side"), "_rank").drop("_rank")
+    columns = dict.fromkeys([group_col, "aspect_sentiment", "aspect_compound", "sentence", *ties])
+    known = mentions.filter(F.col(group_col).isNotNull()).select(*columns)
+    sides = known.withColumn("side", F.explode(F.array(F.lit("loved"), F.lit("hated"))))
+    # Ascending for both sides: the loved one ranks by the negated score.
+    height = F.when(F.col("side") == "loved", -F.col("aspect_compound")).otherwise(F.col("aspect_compound"))
+    window = Window.partitionBy(group_col, "side").orderBy(F.asc_nulls_last(height), *ties)
+    kept = sides.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= per_side)
+    return kept.orderBy(group_col, F.desc("side"), "_rank").select(
+        group_col, "side", "aspect_sentiment", "aspect_compound", "sentence"
+    )
 
 
 def quotes_of_side(quotes: DataFrame, side: str, group_col: str = "aspect") -> DataFrame:
@@ -130,39 +127,41 @@ def mixed_review_count(mentions: DataFrame) -> DataFrame:
     return review_opinions(mentions).agg(F.count_if("mixed").alias("mixed_reviews"))
 
 
-def mixed_rows(mentions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Mention rows of mixed reviews; reviews with very many rows are not shuffled."""
-    opinions = review_opinions(mentions)
-    hot = opinions.filter(F.col("mentions") > hot_rows).select("review_id")
-    mixed = opinions.filter("mixed").select("review_id")
-    return lookup_join(mentions, mixed, "review_id", "left_semi", hot).select(*mentions.columns)
+def mixed_rows(mentions: DataFrame) -> DataFrame:
+    """Mention rows of mixed reviews; a review with very many rows is dealt over several tasks."""
+    mixed = review_opinions(mentions).filter("mixed").select("review_id")
+    return lookup_join(mentions, mixed, "review_id", "left_semi").select(*mentions.columns)
 
 
 def overview(reviews: DataFrame, mentions: DataFrame, approximate: bool = False) -> DataFrame:
     """One row: distinct reviews, mentions, distinct aspects, mixed reviews.
 
-    Reviews come from their own table.  Each number is one small aggregation; the
-    parts are added up as rows, so nothing is crossed.
+    Reviews come from their own table.  Mentions are read once and combined to one row per
+    (review, aspect) in each task; each row then counts for its review and for its aspect.
     """
     names = ["reviews", "mentions", "distinct_aspects", "mixed_reviews"]
-    if approximate:
-        n_reviews = reviews.agg(F.approx_count_distinct("review_id").alias("reviews"))
-        n_aspects = mentions.agg(F.approx_count_distinct("aspect").alias("distinct_aspects"))
-    else:
-        n_reviews = reviews.select("review_id").distinct().agg(F.count("review_id").alias("reviews"))
-        n_aspects = mentions.select("aspect").distinct().agg(F.count("aspect").alias("distinct_aspects"))
-    parts = [
-        n_reviews, n_aspects,
-        mentions.agg(F.count("*").alias("mentions")),
-        mixed_review_count(mentions),
-    ]
-    rows = None
-    for part in parts:
-        padded = part.select(*[
-            F.col(n).cast("bigint").alias(n) if n in part.columns else F.lit(0).cast("bigint").alias(n)
-            for n in names
-        ])
-        rows = padded if rows is None else rows.unionByName(padded)
+    count = F.approx_count_distinct if approximate else F.count
+    n_reviews = reviews if approximate else reviews.select("review_id").distinct()
+    pairs = mentions.groupBy("review_id", "aspect").agg(
+        F.count("*").alias("_n"), F.min("aspect_sentiment").alias("_low"), F.max("aspect_sentiment").alias("_high")
+    )
+    # (kind, key): the review with its rows and labels, and the aspect alone.
+    keys = pairs.select("_n", "_low", "_high", F.inline(F.array(
+        F.struct(F.lit("review").alias("_kind"), F.col("review_id").cast("string").alias("_key")),
+        F.struct(F.lit("aspect").alias("_kind"), F.col("aspect").cast("string").alias("_key")),
+    )))
+    parts = keys.groupBy("_kind", "_key").agg(
+        F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high")
+    )
+    review, known = F.col("_kind") == "review", F.col("_key").isNotNull()
+    counts = parts.agg(
+        F.lit(0).cast("bigint").alias("reviews"), F.coalesce(F.sum(F.when(review, F.col("_n"))), F.lit(0)).alias("mentions"),
+        count(F.when(~review, F.col("_key"))).alias("distinct_aspects"),
+        F.count_if(review & known & (F.col("_low") != F.col("_high"))).alias("mixed_reviews"),
+    )
+    rows = n_reviews.agg(count("review_id").alias("reviews")).select(
+        "reviews", *[F.lit(0).cast("bigint").alias(n) for n in names[1:]]
+    ).unionByName(counts)
     return rows.agg(*[F.sum(n).alias(n) for n in names])
 
 

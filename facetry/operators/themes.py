@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from facetry.functions.themes import assign_theme, normalize_term
 from facetry.functions.wordlists import THEME_KEYWORDS
-from facetry.operators.joins import HOT_ROWS, lookup_join
+from facetry.operators.joins import lookup_join
 
 
 def add_theme_column(
@@ -42,11 +42,9 @@ def match_keywords(terms: DataFrame, keywords: DataFrame) -> DataFrame:
     best = keywords.filter(F.length("keyword") > 0).groupBy("keyword").agg(
         F.min(F.struct("priority", "theme")).alias("_best")
     )
-    # A single row holding one number per keyword length.
-    lengths = best.agg(F.collect_set(F.length("keyword")).alias("_lengths"))
-    words = terms.select("norm").distinct().withColumn("_one", F.lit(1)).join(
-        F.broadcast(lengths.withColumn("_one", F.lit(1))), "_one"
-    )
+    # One array with a number per keyword length, put into the rows as a subquery.
+    lengths = best.agg(F.collect_set(F.length("keyword")).alias("_lengths")).scalar()
+    words = terms.select("norm").distinct().withColumn("_lengths", lengths)
     last = lambda n: F.length("norm") - n + 1
     substrings = F.flatten(F.transform(
         F.filter("_lengths", lambda n: last(n) >= 1),
@@ -55,24 +53,24 @@ def match_keywords(terms: DataFrame, keywords: DataFrame) -> DataFrame:
         ),
     ))
     pieces = words.select("norm", F.explode_outer(F.array_distinct(substrings)).alias("keyword"))
-    return pieces.join(best, "keyword").groupBy("norm").agg(F.min("_best")["theme"].alias("theme"))
+    return lookup_join(pieces, best, "keyword", "inner").groupBy("norm").agg(F.min("_best")["theme"].alias("theme"))
 
 
 def assign_themes_by_table(
     mentions: DataFrame, keywords: DataFrame, aspect_col: str = "aspect", theme_col: str = "theme",
-    fallback_to_term: bool = True, hot_rows: int = HOT_ROWS,
+    fallback_to_term: bool = True,
 ) -> DataFrame:
     """Add the theme from a keyword table of any size; the lowest priority wins.
 
-    Themes are found once per distinct term and joined back; the rows of very
-    popular aspects are not shuffled for that.
+    Themes are found once per distinct term and joined back, with popular aspects dealt
+    over several tasks.
     """
     terms = mentions.select(F.col(aspect_col)).filter(F.col(aspect_col).isNotNull()).distinct()
     normal = terms.withColumn("norm", normalize_term(F.col(aspect_col)))
     matched = normal.join(match_keywords(normal, keywords), "norm", "left")
     fallback = F.col("norm") if fallback_to_term else F.lit("other")
     table = matched.select(aspect_col, F.coalesce("theme", fallback).alias(theme_col))
-    return lookup_join(mentions, table, aspect_col, "left", hot_rows=hot_rows).select(
+    return lookup_join(mentions, table, aspect_col).select(
         *mentions.columns, theme_col
     )
 

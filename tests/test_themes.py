@@ -44,10 +44,10 @@ def test_table_form_equals_inline_form(spark):
         "priority int, theme string, keyword string",
     )
     expected = {r["id"]: r["theme"] for r in add_theme_column(rows).collect()}
-    for hot in (2, 1_000):
-        got = assign_themes_by_table(rows, table, hot_rows=hot).collect()
-        assert len(got) == len(words)
-        assert {r["id"]: r["theme"] for r in got} == expected
+    got = assign_themes_by_table(rows, table)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert len(got.collect()) == len(words)
+    assert {r["id"]: r["theme"] for r in got.collect()} == expected
 
 
 def test_distinct_mapping(spark):
