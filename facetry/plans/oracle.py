@@ -394,7 +394,9 @@ MATRIX_GUESSES = f"""
 
 CLASS_SCORES = """
     select vec_id, label, x, list_transform(x, lambda v: exp(v - list_max(x))) as e
-    from (select vec_id, label, list_transform(embedding[1:3], lambda v: v::double) as x from embeddings)"""
+    from (select vec_id, label, [sum(v) filter (i % 3 = 1), sum(v) filter (i % 3 = 2), sum(v) filter (i % 3 = 0)] as x
+          from (select vec_id, label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as i from embeddings)
+          group by vec_id, label)"""
 
 WORDS = f"select distinct unnest(regexp_extract_all(text, {q(TOKEN)})) as term from documents"
 
@@ -474,13 +476,11 @@ ORACLE: dict[str, str] = {
         unpivot (count for sentiment in (positive, neutral, negative))""",
     "net_scores": f"select theme, mentions, net_score from ({distribution('theme')}) where mentions >= 2",
     "trend_stream": """
-        select * from (
-            select cast(date_trunc('week', ts) as timestamp) as period,
-                cast(count(*) filter (event_type = 'purchase') as bigint) as positive,
-                cast(count(*) filter (event_type not in ('purchase', 'error')) as bigint) as neutral,
-                cast(count(*) filter (event_type = 'error') as bigint) as negative
-            from events group by 1)
-        where period + interval 14 days <= (select max(ts) from events)""",
+        select cast(date_trunc('week', ts) as timestamp) as period,
+            cast(count(*) filter (event_type = 'purchase') as bigint) as positive,
+            cast(count(*) filter (event_type is distinct from 'purchase' and event_type is distinct from 'error') as bigint) as neutral,
+            cast(count(*) filter (event_type = 'error') as bigint) as negative
+        from events where ts is not null group by 1""",
     "extraction_scores": extraction(
         f"select lang as dataset, 'long' as model, doc_id || '-' || sentence_id as sid, term from ({term_rows(f'({SENTENCES})', 'lang, doc_id, sentence_id', 'sentence', default_noun)})",
         f"select lang as dataset, 'long' as model, doc_id || '-' || sentence_id as sid, term from ({term_rows(f'({SENTENCES})', 'lang, doc_id, sentence_id', 'sentence', long_noun)})",

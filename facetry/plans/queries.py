@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.functions.polarity import Lexicon, class_scores, label_sentiment, normalize_label
-from facetry.functions.spans import bio_labels, decode_terms, token_offsets
+from facetry.functions.spans import between, decode_terms, token_offsets
 from facetry.functions.terms import aspect_terms
 from facetry.functions.text import bind, tokens
 from facetry.functions.themes import normalize_term
@@ -20,7 +20,7 @@ from facetry.operators.spans import first_overlaps
 from facetry.plans import evaluate, pipeline
 from facetry.session import ship_package
 from facetry.sources import gold, results, reviews
-from facetry.streaming.mentions import weekly_trend
+from facetry.streaming.mentions import read_trend, store_trend, weekly_trend
 
 # Stand-in dictionaries in the words of the test documents.
 LEXICON = Lexicon(
@@ -49,10 +49,19 @@ def is_long(token: Column) -> Column:
 
 # -- inputs -----------------------------------------------------------------
 
+# A session setting: deal text tables out to this many tasks.  Unset, they are read as stored.
+TEXT_PARTITIONS = "facetry.text.partitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    wanted = spark.conf.get(TEXT_PARTITIONS, None)
+    return reviews.spread(table(spark, sf_dir, name), int(wanted) if wanted else None)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint folder; local sessions may use a local one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
@@ -68,7 +77,7 @@ def scratch(spark: SparkSession) -> str:
 
 def source_reviews(spark, sf_dir) -> DataFrame:
     """Documents with their labels, untyped, as a source table would come."""
-    docs = reviews.spread(table(spark, sf_dir, "documents"))
+    docs = texts(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     day = F.lpad((F.lit(1) + F.col("n_chars") % 40).cast("string"), 2, "0")
     return docs.join(labels, "doc_id", "left").select(
@@ -86,7 +95,7 @@ def canonical(spark, sf_dir) -> DataFrame:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return reviews.spread(table(spark, sf_dir, "documents"))
+    return texts(spark, sf_dir, "documents")
 
 
 def sentences(spark, sf_dir) -> DataFrame:
@@ -139,7 +148,7 @@ def csv_reviews(spark, sf_dir):
 
 
 def clean_pages(spark, sf_dir):
-    pages = reviews.spread(table(spark, sf_dir, "pages")).select("page_id", F.col("html").alias("text"))
+    pages = texts(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
     return prepare.clean_reviews(pages)
 
 
@@ -148,7 +157,7 @@ def document_sentences(spark, sf_dir):
 
 
 def turn_sentences(spark, sf_dir):
-    turns = reviews.spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "text")
+    turns = texts(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return explode_sentences(turns, id_col="conv_id")
 
 
@@ -357,7 +366,7 @@ def net_scores(spark, sf_dir):
 
 
 def trend_stream(spark, sf_dir):
-    """Closed weeks of the event stream, written by a file sink and read back."""
+    """All weeks of the event stream, closed and open, stored batch by batch and read back."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     label = F.when(F.col("event_type") == "purchase", "positive").when(
@@ -365,16 +374,8 @@ def trend_stream(spark, sf_dir):
     ).otherwise("neutral")
     rows = stream.select(F.col("ts").cast("timestamp").alias("date"), label.alias("aspect_sentiment"))
     folder = scratch(spark)
-    query = (
-        weekly_trend(rows).writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", folder + "/state").option("path", folder + "/out")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    written = spark.read.schema(
-        "period timestamp, positive bigint, neutral bigint, negative bigint"
-    ).parquet(folder + "/out")
-    return written.withColumn("period", F.col("period").cast("timestamp_ntz"))
+    store_trend(weekly_trend(rows), folder).trigger(availableNow=True).start().awaitTermination()
+    return read_trend(spark, folder).withColumn("period", F.col("period").cast("timestamp_ntz"))
 
 
 # -- evaluation -------------------------------------------------------------
@@ -495,10 +496,14 @@ def nested_gold(spark, sf_dir) -> DataFrame:
         )
 
     def terms(text: Column) -> Column:
+        row = F.struct(F.split(text, "").alias("chars"), bind(token_offsets(text), spans).alias("spans"))
+        return bind(row, lambda r: cut_terms(r["chars"], r["spans"]))
+
+    def cut_terms(chars: Column, found: Column) -> Column:
         return F.transform(
-            bind(token_offsets(text), spans),
+            found,
             lambda s, i: F.struct(
-                F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("term"),
+                between(chars, s["start"], s["end"]).alias("term"),
                 F.get(names, (s["start"] + i) % 4).alias("polarity"), s["start"].alias("start"), s["end"].alias("end"),
             ),
         )
@@ -568,8 +573,7 @@ def train_dev_split(spark, sf_dir):
 
 
 def pair_rows(spark, sf_dir):
-    rows = nested_gold(spark, sf_dir)
-    return training.pair_examples(gold.gold_sentences(rows), gold.gold_terms(rows))
+    return training.nested_pair_examples(nested_gold(spark, sf_dir))
 
 
 def pair_examples(spark, sf_dir):
@@ -595,7 +599,7 @@ def classifier_dev_scores(spark, sf_dir):
     folder = scratch(spark)
     pair_rows(spark, sf_dir).write.parquet(folder + "/pairs")
     examples = spark.read.parquet(folder + "/pairs")
-    model = training.fit_polarity(examples, features=1 << 12, max_iter=5)
+    model = training.fit_polarity(examples)
     dev = training.predict_polarity(model, examples.filter(F.col("fold") == "dev"))
     return evaluation.sentiment_scores(dev, ["dataset"], observed_only=True)
 
@@ -604,7 +608,13 @@ def classifier_dev_scores(spark, sf_dir):
 
 def model_labels(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    scored = class_scores(F.slice("embedding", 1, 3))
+    # Three classes over all values of a vector, dealt by position.
+    values = F.col("embedding").cast("array<double>")
+
+    def total(k: int) -> Column:
+        return F.aggregate(F.filter(values, lambda _, i: i % 3 == k), F.lit(0.0), lambda a, x: a + x)
+
+    scored = class_scores(F.array(total(0), total(1), total(2)))
     raw = F.concat(F.lit(" Label_"), F.col("label") % 3)
     return vectors.select("vec_id", scored.alias("s"), normalize_label(raw).alias("raw_label")).select(
         "vec_id", F.col("s.label").alias("label"), F.round("s.score", 6).alias("score"), "raw_label"

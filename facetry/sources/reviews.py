@@ -22,11 +22,17 @@ REVIEW_SCHEMA = (
 )
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], null_values: str = "") -> DataFrame:
-    """All columns as text; quoted commas, quotes and line breaks are kept together."""
+def read_csv(
+    spark: SparkSession, path: str | Sequence[str], null_values: str = "", multi_line: bool = True
+) -> DataFrame:
+    """All columns as text; quoted commas and quotes are kept together.
+
+    So are quoted line breaks, for which a file is read by one task.  Files without them
+    can be split with ``multi_line=False``.
+    """
     paths = [path] if isinstance(path, str) else list(path)
     return (
-        spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
+        spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
         .option("escape", '"').option("nullValue", null_values).csv(paths)
     )
 
@@ -34,7 +40,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], null_values: str =
 def load_reviews(
     source: DataFrame | str, spark: SparkSession | None = None,
     columns: Mapping[str, str] | None = None, ids: str = "consecutive",
-    date_formats: Sequence[str] = (), id_type: str = "bigint",
+    date_formats: Sequence[str] = (), id_type: str = "bigint", multi_line: bool = True,
 ) -> DataFrame:
     """Canonical reviews from a CSV path or a frame.
 
@@ -44,18 +50,16 @@ def load_reviews(
     if isinstance(source, DataFrame):
         return canonicalize(source, columns, ids, date_formats)
     session = spark or SparkSession.active()
-    rows = canonicalize(read_csv(session, source), columns, ids, date_formats, pin=False)
+    rows = canonicalize(read_csv(session, source, multi_line=multi_line), columns, ids, date_formats, pin=False)
     return rows.withColumn("review_id", F.col("review_id").cast(id_type))
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Deal the rows of a few small files out to all cores.
+def spread(rows: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal the rows out to as many tasks as the caller names; without a number, as they are.
 
-    Only inputs with fewer files than cores are touched; a large table already
-    arrives in more pieces than that, and is returned as it is.
+    For inputs that cannot be split, such as one file with a single row group.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return rows if partitions is None else rows.repartition(partitions)
 
 
 def read_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:

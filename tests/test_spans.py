@@ -5,6 +5,8 @@ import pytest
 from facetry.functions.spans import bio_labels, decode_terms, token_offsets
 from facetry.operators.spans import first_overlaps
 
+KINDS = "tokens array<struct<start:int,end:int,special:int>>, spans array<struct<start:int,end:int>>"
+
 OFFSETS = [(0, 0, 1), (0, 3, 0), (4, 11, 0), (12, 16, 0), (17, 22, 0), (0, 0, 1)]
 TEXT = "The battery life rocks"
 TOKENS = "array<struct<start:int,end:int,special:int>>"
@@ -65,3 +67,35 @@ def test_row_form_equals_brute_force(spark):
         spark.createDataFrame(tokens, kinds.format("pos")), spark.createDataFrame(spans, kinds.format("idx")), ["sid"], cell=16
     )
     assert {(r["sid"], r["pos"]): r["span_idx"] for r in out.collect()} == expected
+
+
+def expected_labels(tokens, spans):
+    owners = [
+        None if special or s == e else next((i for i, (a, b) in enumerate(spans) if s < b and e > a), -1)
+        for s, e, special in tokens
+    ]
+    return [
+        -100 if o is None else 0 if o < 0 else 2 if i and owners[i - 1] == o else 1 for i, o in enumerate(owners)
+    ]
+
+
+def test_labels_equal_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for n in (0, 1, 2, 7, 40, 150):
+        at, tokens = 0, []
+        for _ in range(n):
+            width = rng.choice([0, 1, 4, 9])
+            tokens.append((at, at + width, int(rng.random() < 0.1)))
+            at += width + rng.choice([0, 1, 3])
+        starts = [rng.randrange(at + 1) for _ in range(n // 2)]
+        spans = [(a, a + rng.choice([0, 1, 6, 60])) for a in starts]
+        rng.shuffle(tokens) if n == 40 else None
+        rows.append((tokens, spans))
+    frame = spark.createDataFrame(rows, KINDS)
+    got = frame.select(bio_labels(frame["tokens"], frame["spans"]).alias("l")).collect()
+    assert [r["l"] for r in got] == [expected_labels(t, s) for t, s in rows]
+
+
+def test_no_tokens_no_labels(one):
+    assert one(bio_labels, None, [(0, 1)], schema=[TOKENS, SPANS]) is None
