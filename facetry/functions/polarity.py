@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from facetry.functions.text import bind, has_text, words
@@ -36,32 +36,22 @@ from facetry.functions.wordlists import (
     QUESTION_STEP,
 )
 
-MAX_INLINE_LEXICON = 20_000
 MICRO = 1_000_000.0
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Lower-case words with valence, degree words, negations and contrast words."""
+    """Lower-case words with valence, degree words, negations and contrast words.
+
+    Words are written into the plan; many valences belong into a table, see
+    ``operators.sentiment.compound_by_table``.
+    """
 
     valence: Mapping[str, float] = field(default_factory=lambda: DEFAULT_VALENCE)
     boosters: Mapping[str, float] = field(default_factory=lambda: DEFAULT_BOOSTERS)
     negations: Sequence[str] = field(default_factory=lambda: DEFAULT_NEGATIONS)
     contrasts: Sequence[str] = field(default_factory=lambda: DEFAULT_CONTRASTS)
 
-    def __post_init__(self) -> None:
-        if len(self.valence) > MAX_INLINE_LEXICON:
-            raise ValueError(
-                f"{len(self.valence)} words are too many to write into the plan (limit "
-                f"{MAX_INLINE_LEXICON}); use operators.sentiment.compound_by_table"
-            )
-
-    @classmethod
-    def from_table(cls, table: DataFrame, **other) -> Lexicon:
-        """Read ``(token, valence)`` rows, refusing more than the inline limit."""
-        rows = table.select("token", "valence").limit(MAX_INLINE_LEXICON + 1).collect()
-        return cls(valence={r["token"]: float(r["valence"]) for r in rows}, **other)
-
 
 DEFAULT_LEXICON = Lexicon()
 

@@ -17,10 +17,6 @@ from facetry.functions.wordlists import (
     NOISE_TERMS,
 )
 
-# Largest dictionary that is written into the plan; larger ones go through
-# operators.mentions.mentions_by_table.
-MAX_INLINE_WORDS = 50_000
-
 # Title case: every run of cased letters starts upper and goes on lower.
 TITLE_CASE = (
     r"^[^\p{Lu}\p{Ll}]*\p{Lu}\p{Ll}*"
@@ -30,20 +26,16 @@ TITLE_CASE = (
 
 @dataclass(frozen=True)
 class TagRules:
-    """Dictionary, then ordered suffix rules, then a default tag."""
+    """Dictionary, then ordered suffix rules, then a default tag.
+
+    Words are written into the plan; a large dictionary belongs into a table, see
+    ``operators.mentions.mentions_by_table``.
+    """
 
     words: Mapping[str, Sequence[str]] = field(default_factory=lambda: DEFAULT_TAGS)
     suffixes: Sequence[tuple[str, str]] = field(default_factory=lambda: DEFAULT_SUFFIX_TAGS)
     default: str = "NN"
 
-    def __post_init__(self) -> None:
-        size = sum(len(w) for w in self.words.values())
-        if size > MAX_INLINE_WORDS:
-            raise ValueError(
-                f"{size} words are too many to write into the plan (limit {MAX_INLINE_WORDS}); "
-                "use mentions_by_table with a tag table"
-            )
-
     def __call__(self, token: Column) -> Column:
         """Tag of a token; a token without a letter is ``SYM``."""
         tag = F.when(~token.rlike(r"\p{L}"), "SYM")

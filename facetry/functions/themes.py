@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from facetry.functions.text import SPACE_RUN, bind, strip
 from facetry.functions.wordlists import THEME_KEYWORDS
 
-# A theme dictionary is written into the plan up to this many keywords; larger
-# ones go through operators.themes.assign_themes_by_table.
-MAX_INLINE_KEYWORDS = 2_000
-
 
 def singular(word: Column) -> Column:
     """Suffix rules for the last word of a term; crude on purpose."""
@@ -41,13 +37,11 @@ def normalize_term(term: Column) -> Column:
 
 
 def match_theme(normal: Column, themes: Mapping[str, Sequence[str]] = THEME_KEYWORDS) -> Column:
-    """First theme, in dictionary order, with a keyword inside the normalised term."""
-    n_keywords = sum(len(k) for k in themes.values())
-    if n_keywords > MAX_INLINE_KEYWORDS:
-        raise ValueError(
-            f"{n_keywords} keywords are too many to write into the plan "
-            f"(limit {MAX_INLINE_KEYWORDS}); use assign_themes_by_table"
-        )
+    """First theme, in dictionary order, with a keyword inside the normalised term.
+
+    Keywords are written into the plan; a large set belongs into a table, see
+    ``operators.themes.assign_themes_by_table``.
+    """
     theme = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, keywords in themes.items():
         hit = F.lit(False)

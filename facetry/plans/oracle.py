@@ -9,7 +9,7 @@ from __future__ import annotations
 from facetry.functions.terms import DEFAULT_RULES
 from facetry.functions.text import PUNCTUATION, SPACE_CHARS
 from facetry.functions.wordlists import DEFAULT_ABBREVIATIONS, NOISE_TERMS, THEME_KEYWORDS
-from facetry.plans.queries import LEXICON, LONG_WORD, PART_THEMES
+from facetry.plans.queries import LEXICON, LONG_WORD, MATRIX_LIMIT, PART_THEMES
 
 
 def q(text: str) -> str:
@@ -392,6 +392,10 @@ MATRIX_GUESSES = f"""
     union all
     select dataset, 'long', sentence_id, term from ({term_rows('(' + GOLD_TEXT + ')', 'dataset, sentence_id', 'text', long_noun)})"""
 
+LIMITED_IDS = f"""
+    select dataset, sentence_id from ({GOLD_TEXT})
+    qualify row_number() over (partition by dataset order by sentence_id) <= {MATRIX_LIMIT}"""
+
 CLASS_SCORES = """
     select vec_id, label, x, list_transform(x, lambda v: exp(v - list_max(x))) as e
     from (select vec_id, label, [sum(v) filter (i % 3 = 1), sum(v) filter (i % 3 = 2), sum(v) filter (i % 3 = 0)] as x
@@ -428,6 +432,7 @@ ORACLE: dict[str, str] = {
     "doc_sentiment_by_table": compound_rows("documents", "doc_id", "text"),
     "pipeline_reviews": PIPE_REVIEWS,
     "pipeline_mentions": PIPE_MENTIONS,
+    "pipeline_mentions_by_table": PIPE_MENTIONS,
     "pipeline_summary": distribution("theme", PIPE_MENTIONS),
     "saved_counts": f"""
         select (select count(*) from ({PIPE_REVIEWS})) as reviews,
@@ -537,6 +542,12 @@ ORACLE: dict[str, str] = {
             f"select dataset, m.model, sentence_id as sid, term from ({GOLD_TERMS}), (values ('nouns'), ('long')) as m(model)",
             MATRIX_GUESSES, "dataset, model")}) e
         join (select dataset, cast(count(*) as bigint) as n_sentences from ({GOLD_TEXT}) group by 1) using (dataset)""",
+    "limited_matrix": f"""
+        select e.*, n_sentences from ({extraction(
+            f"select dataset, m.model, sentence_id as sid, term from ({GOLD_TERMS}) join ({LIMITED_IDS}) using (dataset, sentence_id), (values ('nouns'), ('long')) as m(model)",
+            f"select dataset, model, sid, term from ({MATRIX_GUESSES}) join (select dataset, sentence_id as sid from ({LIMITED_IDS})) using (dataset, sid)",
+            "dataset, model")}) e
+        join (select dataset, cast(count(*) as bigint) as n_sentences from ({LIMITED_IDS}) group by 1) using (dataset)""",
     "model_labels": f"""
         select vec_id, ['negative', 'neutral', 'positive'][list_position(e, list_max(e))] as label,
             round(e[3] / (e[1] + e[2] + e[3]) - e[1] / (e[1] + e[2] + e[3]), 6) as score,

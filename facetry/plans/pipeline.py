@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.functions.polarity import DEFAULT_LEXICON, Lexicon
+from facetry.functions.polarity import DEFAULT_LEXICON, Lexicon, label_sentiment
 from facetry.functions.terms import DEFAULT_RULES, aspect_terms
 from facetry.functions.wordlists import (
     DEFAULT_ABBREVIATIONS,
@@ -20,24 +20,34 @@ from facetry.functions.wordlists import (
     THEME_KEYWORDS,
 )
 from facetry.operators import summary
-from facetry.operators.mentions import explode_mentions
+from facetry.operators.joins import lookup_join
+from facetry.operators.mentions import explode_mentions, mentions_by_table
 from facetry.operators.prepare import clean_reviews
 from facetry.operators.sentences import explode_sentences
-from facetry.operators.sentiment import document_sentiment, sentence_sentiment
-from facetry.operators.themes import add_theme_column
+from facetry.operators.sentiment import add_sentiment, compound_by_table
+from facetry.operators.themes import add_theme_column, assign_themes_by_table
 from facetry.sources.reviews import load_mentions
 
 
 @dataclass(frozen=True)
 class Options:
     """What may vary.  ``extractor`` and ``scorer`` are the model hooks; without them
-    noun runs and the lexicon are used."""
+    noun runs and the lexicon are used.
+
+    Dictionaries are written into the plan.  Each may be a table instead, of any size:
+    ``valence_table`` (token, valence) in place of the lexicon's valences, ``tag_table``
+    (token, tag) before the tag rules and in place of ``is_noun``, ``keyword_table``
+    (priority, theme, keyword) in place of ``themes``.  Hooks come before tables.
+    """
 
     lexicon: Lexicon = DEFAULT_LEXICON
     is_noun: Callable[[Column], Column] = DEFAULT_RULES.is_noun
     extractor: Callable[[Column], Column] | None = None
     scorer: Callable[[Column, Column], Column] | None = None
     themes: Mapping[str, Sequence[str]] = field(default_factory=lambda: THEME_KEYWORDS)
+    valence_table: DataFrame | None = None
+    tag_table: DataFrame | None = None
+    keyword_table: DataFrame | None = None
     abbreviations: Sequence[str] = field(default_factory=lambda: DEFAULT_ABBREVIATIONS)
     min_term_length: int = MIN_TERM_LENGTH
     max_term_words: int = MAX_TERM_WORDS
@@ -45,12 +55,34 @@ class Options:
     negative_from: float = NEGATIVE_FROM
 
 
+def per_text(rows: DataFrame, text_col: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Add columns that ``answer`` finds for the distinct texts.
+
+    It gets ``_key, _text`` and returns ``_key`` with its columns.  The key is a digest, so
+    that word rows do not carry their text; ids need not be unique, and a text that many
+    rows share is answered once and dealt over several tasks when joined back.
+    """
+    keyed = rows.withColumn("_key", F.sha2(F.col(text_col), 256))
+    texts = keyed.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.first(text_col).alias("_text"))
+    answers = answer(texts)
+    return lookup_join(keyed, answers, "_key").drop("_key")
+
+
+def with_sentiment(rows: DataFrame, text_col: str, prefix: str, options: Options) -> DataFrame:
+    """Add ``<prefix>_compound`` and ``<prefix>_sentiment`` from the lexicon or its table."""
+    names, bounds = (f"{prefix}_compound", f"{prefix}_sentiment"), (options.positive_from, options.negative_from)
+    if options.valence_table is None:
+        return add_sentiment(rows, text_col, *names, options.lexicon, *bounds)
+    scored = per_text(rows, text_col, lambda texts: compound_by_table(
+        texts, options.valence_table, ["_key"], "_text", options.lexicon
+    ).withColumnRenamed("compound", names[0]))
+    known = scored.withColumn(names[0], F.coalesce(names[0], F.lit(0.0)))
+    return known.withColumn(names[1], label_sentiment(F.col(names[0]), *bounds))
+
+
 def scored_reviews(reviews: DataFrame, options: Options = Options()) -> DataFrame:
     """Clean canonical reviews with their document sentiment."""
-    return document_sentiment(
-        clean_reviews(reviews), lexicon=options.lexicon,
-        positive_from=options.positive_from, negative_from=options.negative_from,
-    )
+    return with_sentiment(clean_reviews(reviews), "text", "doc", options)
 
 
 def sentence_rows(scored: DataFrame, options: Options = Options()) -> DataFrame:
@@ -58,28 +90,39 @@ def sentence_rows(scored: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def mention_rows(sentences: DataFrame, options: Options = Options()) -> DataFrame:
-    """The mention table; rows never leave the task that holds their sentence."""
-    if options.extractor is None:
+    """The mention table; without tables, rows never leave the task that holds their sentence."""
+    if options.extractor is not None:
+        terms = options.extractor(F.col("sentence"))
+    elif options.tag_table is not None:
+        sentences = per_text(sentences, "sentence", lambda texts: table_terms(texts, options))
+        terms = F.col("_terms")
+    else:
         terms = aspect_terms(
             F.col("sentence"), options.is_noun, options.min_term_length, options.max_term_words
         )
-    else:
-        terms = options.extractor(F.col("sentence"))
     if options.scorer is None:
-        scored = sentence_sentiment(
-            sentences, lexicon=options.lexicon,
-            positive_from=options.positive_from, negative_from=options.negative_from,
-        )
-        mentions = explode_mentions(scored, terms)
+        mentions = explode_mentions(with_sentiment(sentences, "sentence", "aspect", options), terms)
     else:
         pairs = explode_mentions(sentences, terms)
         mentions = pairs.withColumn("_scored", options.scorer(F.col("sentence"), F.col("aspect")))
         mentions = mentions.withColumns({
             "aspect_sentiment": F.col("_scored.label"), "aspect_compound": F.col("_scored.score"),
         })
+    if options.keyword_table is not None:
+        return assign_themes_by_table(mentions, options.keyword_table).select(*MENTION_COLUMNS)
     return add_theme_column(mentions, themes=options.themes).select(*MENTION_COLUMNS)
 
 
+def table_terms(texts: DataFrame, options: Options) -> DataFrame:
+    """``_key, _terms``: the terms of each text in order, from noun runs over table tags."""
+    found = mentions_by_table(
+        texts, options.tag_table, ["_key"], "_text",
+        min_length=options.min_term_length, max_words=options.max_term_words,
+    )
+    lists = found.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("term_pos", "aspect"))).alias("_terms"))
+    return lists.select("_key", F.transform("_terms", lambda t: t["aspect"]).alias("_terms"))
+
+
 @dataclass(frozen=True)
 class Result:
     """Three lazy tables."""

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from facetry.functions.polarity import Lexicon, class_scores, label_sentiment, normalize_label
 from facetry.functions.spans import between, decode_terms, token_offsets
-from facetry.functions.terms import aspect_terms
+from facetry.functions.terms import DEFAULT_RULES, aspect_terms
 from facetry.functions.text import bind, tokens
 from facetry.functions.themes import normalize_term
+from facetry.functions.wordlists import THEME_KEYWORDS
 from facetry.operators import evaluation, mentions, prepare, sentiment, summary, themes, training
 from facetry.operators.models import extractor_hook, scorer_hook
 from facetry.operators.sentences import explode_sentences
@@ -224,6 +225,19 @@ def pipeline_mentions(spark, sf_dir):
     return pipeline.run(canonical(spark, sf_dir), options()).mentions
 
 
+def pipeline_mentions_by_table(spark, sf_dir):
+    """The same mentions with all three dictionaries as tables."""
+    words = document_words(spark, sf_dir).select(F.explode(F.array("term", F.lower("term"))).alias("token")).distinct()
+    keywords = [(p, t, k) for p, (t, ks) in enumerate(THEME_KEYWORDS.items()) for k in ks]
+    tables = pipeline.Options(
+        lexicon=LEXICON,
+        valence_table=spark.createDataFrame(list(LEXICON.valence.items()), "token string, valence double"),
+        tag_table=words.withColumn("tag", DEFAULT_RULES(F.col("token"))),
+        keyword_table=spark.createDataFrame(keywords, "priority int, theme string, keyword string"),
+    )
+    return pipeline.run(canonical(spark, sf_dir), tables).mentions
+
+
 def pipeline_summary(spark, sf_dir):
     return pipeline.run(canonical(spark, sf_dir), options()).aspect_summary("theme")
 
@@ -594,6 +608,15 @@ def extraction_matrix(spark, sf_dir):
     return scores
 
 
+MATRIX_LIMIT = 20
+
+
+def limited_matrix(spark, sf_dir):
+    """A smoke run of the matrix: the first sentences of every data set."""
+    models = {"nouns": aspect_terms, "long": lambda c: aspect_terms(c, is_long)}
+    return evaluate.evaluate_extraction(nested_gold(spark, sf_dir), models, limit=MATRIX_LIMIT)
+
+
 def classifier_dev_scores(spark, sf_dir):
     # Fitting reads its table many times, so the table is stored first.
     folder = scratch(spark)
@@ -657,7 +680,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         canonical_reviews, numbered_reviews, csv_reviews, clean_pages, document_sentences,
         turn_sentences, first_documents, aspect_mentions, term_lists, tag_table_mentions,
         doc_sentiment, sentence_scores, doc_sentiment_by_table, pipeline_reviews,
-        pipeline_mentions, pipeline_summary, saved_counts, normalized_terms, term_themes,
+        pipeline_mentions, pipeline_mentions_by_table, pipeline_summary, saved_counts, normalized_terms, term_themes,
         part_themes, theme_table_join, theme_clusters, aspect_distribution, theme_distribution,
         top_loved, top_hated, quotes, loved_quotes, sentiment_by_rating, trend_month, trend_week,
         trend_quarter, trend_long, mixed_review_count, mixed_rows, overview, filtered_mentions,
@@ -665,6 +688,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         extraction_scores, sentiment_scores, class_report, confusion, dev_scores, metrics_upsert,
         metrics_versions, metrics_report, gold_xml, bio_label_rows, bio_decode, token_overlaps,
         span_scores, train_dev_split, pair_examples, sentiment_matrix, extraction_matrix,
-        classifier_dev_scores, model_labels, model_hook,
+        limited_matrix,        classifier_dev_scores, model_labels, model_hook,
     ]
 }

@@ -139,3 +139,22 @@ def test_limit_holds_for_each_data_set(spark):
     rows = spark.createDataFrame([("x", i) for i in range(5)] + [("y", i) for i in range(3)], "dataset string, id long")
     kept = first_rows(rows, ["id"], 2, per=["dataset"]).collect()
     assert sorted(map(tuple, kept)) == [("x", 0), ("x", 1), ("y", 0), ("y", 1)]
+
+
+def test_dictionary_tables_replace_the_literals(spark):
+    """Repeated ids, a repeated text and words that only the tables know."""
+    reviews = spark.createDataFrame(
+        [(7, "The zorp bleeps. A zorp glims."), (7, "The zorp bleeps. A zorp glims."), (8, "It bleeps."), (9, "Nothing.")],
+        "review_id int, text string",
+    )
+    tags = [("zorp", "NN"), ("bleeps", "XX"), ("glims", "XX"), ("nothing", "XX"), ("the", "XX"), ("a", "XX"), ("it", "XX")]
+    options = Options(
+        valence_table=spark.createDataFrame([("bleeps", 3.0), ("glims", -3.0)], "token string, valence double"),
+        tag_table=spark.createDataFrame(tags, "token string, tag string"),
+        keyword_table=spark.createDataFrame([(1, "other", "zo"), (0, "gadget", "orp")], "priority int, theme string, keyword string"),
+    )
+    result = run(load_reviews(reviews), options)
+    assert result.mentions.columns == MENTION_COLUMNS and result.reviews.count() == 4
+    rows = sorted((r["review_id"], r["sentence_id"], r["aspect"], r["theme"], r["aspect_sentiment"]) for r in result.mentions.collect())
+    one = [(7, 0, "zorp", "gadget", "positive"), (7, 1, "zorp", "gadget", "negative")]
+    assert rows == sorted(one * 2)

@@ -75,13 +75,6 @@ def test_table_form_equals_inline_form(spark):
     assert {r["id"]: r["compound"] for r in table.collect()} == inline
 
 
-def test_lexicon_from_table_is_bounded(spark):
-    table = spark.createDataFrame([("good", 1.0), ("bad", -2.0)], "token string, valence double")
-    assert P.Lexicon.from_table(table).valence == {"good": 1.0, "bad": -2.0}
-    with pytest.raises(ValueError, match="too many"):
-        P.Lexicon.from_table(spark.range(20_001).selectExpr("cast(id as string) token", "1.0 valence"))
-
-
 @pytest.mark.parametrize("score,label", [
     (0.5, "positive"), (-0.5, "negative"), (0.0, "neutral"), (0.05, "positive"), (-0.05, "negative"),
 ])

@@ -61,8 +61,3 @@ def test_rules_fast_noun_test_agrees_with_tags(spark):
         frame = spark.createDataFrame([(w,) for w in words], "w string")
         for row in frame.select(rules(frame["w"]).startswith("NN").alias("a"), rules.is_noun(frame["w"]).alias("b"), "w").collect():
             assert row["a"] == row["b"], row["w"]
-
-
-def test_dictionary_size_is_checked():
-    with pytest.raises(ValueError, match="too many"):
-        TagRules(words={"JJ": [str(i) for i in range(50_001)]})
