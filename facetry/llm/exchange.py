@@ -1,7 +1,7 @@
 """Batches of documents that trade packed arrays with groups.
 
-Documents are cut into batches by ranges of ``doc_id``.  A batch sends each group one row
-with packed arrays, a group answers each batch with one row, and the answers meet the
+Documents are dealt into batches, by ranges of ``doc_id`` where their order counts.  A
+batch sends each group one row with packed arrays, a group answers each batch with one row, and the answers meet the
 batch's documents again.  The documents are shuffled once (both uses read one exchange);
 a key that many documents share is one entry per batch, so no group sees its copies.
 """
@@ -15,30 +15,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.llm.kernels import NO_ID
 from facetry.session import ship_package
 
 BATCH_BYTES = 4 << 20
+CUTS = 256
 
 
 def text_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
-def batched(docs: DataFrame, total_bytes: int, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """Adds ``batch``: the number of cuts at or below the row's id.  Null ids come last."""
+def batched(
+    docs: DataFrame, total_bytes: int, batch_bytes: int = BATCH_BYTES, ordered: bool = False, most_cuts: int = CUTS,
+) -> DataFrame:
+    """Adds ``batch``, dealt by a hash of the row.
+
+    With ``ordered`` a batch is a range of doc_id instead, and a later batch has larger ids:
+    at most ``most_cuts`` quantiles, whatever the input, with each range between two of them
+    divided evenly by value.  Rows with null ids are the last batch.
+    """
     ship_package(docs.sparkSession)
     n = max(1, -(-total_bytes // batch_bytes))
-    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))
-    cuts: list[int] = []
-    if n > 1:
-        found = docs.select(place.cast("double").alias("p")).approxQuantile(
-            "p", [i / n for i in range(1, n)], 1 / (8 * n)
-        )
-        cuts = sorted({int(min(c, float(NO_ID) / 2)) for c in found})
-    spots = F.array(*[F.lit(c).cast("long") for c in cuts])
-    batch = F.size(F.filter(spots, lambda c: c <= place)) if cuts else F.lit(0)
-    return docs.select("doc_id", "text", batch.cast("int").alias("batch"))
+    if not ordered:
+        batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))
+        return docs.select("doc_id", "text", batch.cast("int").alias("batch"))
+    place = F.col("doc_id").cast("double")
+    ranges = min(n, most_cuts)
+    found = docs.where(F.col("doc_id").isNotNull()).select(place.alias("p")).approxQuantile(
+        "p", [i / ranges for i in range(ranges + 1)], 1 / (8 * ranges)
+    )
+    bounds = sorted(set(found)) or [0.0]
+    number = F.greatest(F.lit(0), F.size(F.filter(F.array(*map(F.lit, bounds)), lambda c: c <= place)) - 1)
+    inner = -(-n // ranges)
+    if inner > 1:
+        edges = F.array(*map(F.lit, [*bounds, bounds[-1] + 1]))
+        low, high = F.get(edges, number), F.get(edges, number + 1)
+        part = F.floor((place - low) / (high - low) * inner).cast("int")
+        number = number * inner + F.greatest(F.lit(0), F.least(F.lit(inner - 1), part))
+    last = (len(bounds) + 1) * inner
+    return docs.select(
+        "doc_id", "text", F.when(place.isNull(), last).otherwise(number).cast("int").alias("batch")
+    )
 
 
 def sorted_rows(table: pa.Table) -> pa.RecordBatch:

@@ -3,7 +3,9 @@
 The suffixes of all documents are split into groups by prefixes of different lengths:
 the first word decides where that prefix has at most ``GROUP_SUFFIXES`` suffixes,
 otherwise the first two, four, six ... words do.  A word counts as one of 256 edge
-labels in a prefix.  Each group's subtree is built alone, from its suffixes in sorted
+labels in a prefix.  The table of prefixes is bounded: per length only the ``SPLIT_ROWS``
+largest are lengthened, and what is still too large is dealt into several groups by the
+hash of the whole path, which keeps equal paths together.  Each group's subtree is built alone, from its suffixes in sorted
 order; it is cut at a depth of ``window`` words, because deeper branches cannot change
 which windows repeat.  An internal node at that depth with several leaves is a repeat:
 its leaves are the documents whose texts hold that word sequence.
@@ -27,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.llm.exchange import (
-    batched, by_group, meet, pack_bits, pack_sorted, rows_of, sorted_rows, text_bytes, unpack_bits, unpack_sorted,
+    BATCH_BYTES, batched, by_group, meet, pack_bits, pack_sorted, rows_of, sorted_rows, text_bytes, unpack_bits,
+    unpack_sorted,
 )
 from facetry.llm.kernels import (
     column_buffers, cover, grams, id_array, ids_of, positions, slices, whole, word_hashes,
@@ -37,6 +40,7 @@ WINDOW = 13
 GROUP_SUFFIXES = 500_000
 LABELS = 256
 PAIR = LABELS * LABELS
+SPLIT_ROWS = 16
 
 SENT = "grp int, batch int, leaves binary"
 SENT_ARROW = pa.schema([("grp", pa.int32()), ("batch", pa.int32()), ("leaves", pa.binary())])
@@ -49,12 +53,14 @@ class Prefixes:
     """Group of every suffix by a trie of word-label pairs.
 
     ``tables[l]`` has a row per split prefix of 2*l words and a column per label pair;
-    values at or over 0 are groups, others point to a row of the next table.
+    values at or over 0 are subtrees, others point to a row of the next table.  Subtree s
+    has the groups first[s] to first[s] + parts[s] - 1, by ranges of the path's hash.
     """
 
     def __init__(self, window: int):
         self.tables: list[np.ndarray] = []
-        self.groups = 0
+        self.first = np.zeros(0, np.int64)
+        self.parts = np.zeros(0, np.int64)
         self.window = window
 
     def pairs(self, labels: np.ndarray, level: int, at: np.ndarray) -> np.ndarray:
@@ -64,41 +70,43 @@ class Prefixes:
         return labels[at + a] * LABELS + second
 
     def route(self, labels: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Groups of the suffixes at the positions; -1 - row for those still to be split."""
+        """Subtrees of the suffixes at the positions; -1 - row for those still to be split."""
         out = np.full(len(at), -1, np.int64)
         for level, table in enumerate(self.tables):
             open_ = np.flatnonzero(out < 0)
             out[open_] = table[-1 - out[open_], self.pairs(labels, level, at[open_])]
         return out
 
-    def extend(self, counts: np.ndarray, limit: int) -> bool:
-        """Turn counts (rows x pairs) into a table; True if some prefix is still too large."""
+    def groups(self, labels: np.ndarray, at: np.ndarray, paths: np.ndarray) -> np.ndarray:
+        subtree = self.route(labels, at)
+        part = (paths >> np.uint64(32)) * self.parts[subtree].astype(np.uint64) >> np.uint64(32)
+        return self.first[subtree] + part.astype(np.int64)
+
+    def extend(self, counts: np.ndarray, limit: int, most: int = SPLIT_ROWS) -> bool:
+        """Turn counts (rows x pairs) into a table; True if some prefix is still to be split."""
         last = 2 * (len(self.tables) + 1) >= self.window
-        table = np.zeros(counts.shape, np.int64)
-        split = 0
-        for row in range(len(counts)):
-            per_word = counts[row].reshape(LABELS, LABELS).sum(1)
-            # One word is prefix enough where it is rare; its pairs then share a group.
-            unit = np.where(
-                np.repeat(per_word <= limit, LABELS), np.repeat(np.arange(LABELS) * LABELS, LABELS), np.arange(PAIR)
-            )
-            load, group = 0, self.groups
-            sums = np.bincount(unit, counts[row], PAIR).astype(np.int64)
-            place = np.full(PAIR, -1, np.int64)
-            for u in np.unique(unit).tolist():
-                n = int(sums[u])
-                if n > limit and not last:
-                    split += 1
-                    place[u] = -split
-                    continue
-                if load and load + n > limit:
-                    group, load = group + 1, 0
-                place[u] = group
-                load += n
-            self.groups = group + 1
-            table[row] = place[unit]
-        self.tables.append(table)
-        return split > 0
+        per_word = counts.reshape(len(counts), LABELS, LABELS).sum(2)
+        # One word is prefix enough where it is rare; its pairs then share a group.
+        rare = np.repeat(per_word <= limit, LABELS, axis=1)
+        unit = np.where(rare, np.repeat(np.arange(LABELS) * LABELS, LABELS), np.arange(PAIR))
+        sums = np.stack([np.bincount(u, c, PAIR).astype(np.int64) for u, c in zip(unit, counts)])
+        flat = sums.ravel()
+        large = np.flatnonzero(flat > limit) if not last else np.zeros(0, np.int64)
+        large = large[np.argsort(-flat[large], kind="stable")][:most]
+        place = np.full(flat.shape, -1, np.int64)
+        place[large] = -1 - np.arange(len(large))
+        rest = np.setdiff1d(np.flatnonzero(flat), large)
+        parts, load = self.parts.tolist(), limit
+        for u, n in zip(rest.tolist(), flat[rest].tolist()):
+            if load + n > limit:
+                parts.append(-(-n // limit))
+                load = 0
+            place[u] = len(parts) - 1
+            load += n
+        self.parts = np.array(parts, np.int64)
+        self.first = np.cumsum(self.parts) - self.parts
+        self.tables.append(np.take_along_axis(place.reshape(counts.shape), unit, 1))
+        return len(large) > 0
 
 
 def windows_of(part: pa.RecordBatch, window: int):
@@ -114,7 +122,7 @@ def split_prefixes(docs: DataFrame, suffixes: int, window: int, limit: int) -> P
     found = Prefixes(window)
     if suffixes <= limit:
         found.tables.append(np.zeros((1, PAIR), np.int64))
-        found.groups = 1
+        found.first, found.parts = np.zeros(1, np.int64), np.ones(1, np.int64)
         return found
     rows, more = 1, True
     while more:
@@ -134,8 +142,8 @@ def split_prefixes(docs: DataFrame, suffixes: int, window: int, limit: int) -> P
 
         counted = docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
         counts = np.zeros(rows * PAIR, np.int64)
-        for r in counted.collect():  # at most rows * PAIR, a bound set by limit
-            counts[r["slot"]] = r["n"]
+        table = counted.toArrow()  # at most SPLIT_ROWS * PAIR rows
+        counts[table.column("slot").to_numpy()] = table.column("n").to_numpy()
         more = found.extend(counts.reshape(rows, PAIR), limit)
         rows = -int(min(0, found.tables[-1].min()))
     return found
@@ -156,7 +164,7 @@ def leaves_of(batch: pa.RecordBatch, prefixes: Prefixes, window: int):
         parts.append((part.num_rows, data, offsets, starts, ends, rows, at, key))
         hashes.append(key)
         owners.append(doc[base + rows[at]])
-        groups.append(prefixes.route(labels, at))
+        groups.append(prefixes.groups(labels, at, key))
         base += part.num_rows
     if not hashes:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), parts
@@ -201,10 +209,12 @@ def string_column(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return wide.cast(pa.string())
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, group_suffixes: int = GROUP_SUFFIXES, batch_bytes: int = BATCH_BYTES,
+) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for every row."""
     size = text_bytes(docs)
-    docs = batched(docs, size)
+    docs = batched(docs, size, batch_bytes, ordered=True)
     prefixes = split_prefixes(docs, size // 2, window, group_suffixes)
 
     def send(table: pa.Table) -> pa.Table:

@@ -12,7 +12,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from facetry.llm import decontaminate, disclosure, packing, run_index, token_groups
+from facetry.llm import decontaminate, disclosure, packing, run_index, suffix_trees, token_groups
+from facetry.llm.exchange import batched
 from facetry.llm.oracle import ORACLE
 from facetry.llm.queries import QUERIES
 
@@ -39,6 +40,32 @@ def test_equals_sql(name, spark, duck, sf_dir):
     assert clean(got) == clean(expected)
 
 
+def test_suffix_trees_in_small_groups(spark, duck, sf_dir):
+    """Prefixes are lengthened, the table's bound is met, and ranges of ids are divided further."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = suffix_trees.remove_repeats(docs, group_suffixes=50, batch_bytes=1 << 11).toPandas()
+    got["kept_sha256"] = [hashlib.sha256(t.encode()).hexdigest() for t in got.pop("kept")]
+    expected = duck.sql(ORACLE["op2_suffix_trees"]).df()[got.columns]
+    assert set(got.itertuples(index=False, name=None)) == set(expected.itertuples(index=False, name=None))
+
+
+def test_prefix_table_is_bounded():
+    rng = np.random.default_rng(3)
+    found, counts = suffix_trees.Prefixes(13), rng.integers(0, 40, (1, suffix_trees.PAIR))
+    assert found.extend(counts, 30) and -found.tables[0].min() == suffix_trees.SPLIT_ROWS
+    assert found.parts.max() == 2 and len(found.first) == found.tables[0].max() + 1
+
+
+def test_ordered_batches(spark):
+    ids = [None, None, *range(50), *range(10_000, 10_400), 10**12]
+    docs = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string")
+    rows = batched(docs, 64, 1, ordered=True, most_cuts=4).collect()
+    known = sorted((r["doc_id"], r["batch"]) for r in rows if r["doc_id"] is not None)
+    numbers = [b for _, b in known]
+    assert len(rows) == len(ids) and numbers == sorted(numbers) and len(set(numbers)) > 20
+    assert {r["batch"] for r in rows if r["doc_id"] is None} == {max(r["batch"] for r in rows)} - set(numbers)
+
+
 @pytest.mark.parametrize("most", [128, 2])
 def test_run_index(most, spark, sf_dir, texts):
     """``most`` of 2 sends nearly all contexts down the path for frequent anchors."""
