@@ -26,6 +26,7 @@ from facetry.llm.toxicity import fold
 BITS = 12
 DIMENSIONS = 1 << BITS
 SAMPLE_ROWS = 1_500
+SHARES = 16
 CLUSTERS = 3
 REJECT = 0.999
 TURNS = 12
@@ -95,9 +96,13 @@ def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarra
 
     # Rank ids first: no text travels for rows outside the sample.
     order = F.xxhash64("doc_id")
+    # A share of the ids at a time, so that the last ranking has at most SHARES * SAMPLE_ROWS.
+    per_share = Window.partitionBy("lang", "_share").orderBy("_order", "doc_id")
     per_language = Window.partitionBy("lang").orderBy("_order", "doc_id")
     sample_ids = (
-        rows.select("doc_id", "lang", order.alias("_order"))
+        rows.select("doc_id", "lang", order.alias("_order"), F.pmod(order, F.lit(SHARES)).alias("_share"))
+        .withColumn("_rank", F.row_number().over(per_share))
+        .where(F.col("_rank") <= SAMPLE_ROWS)
         .withColumn("_rank", F.row_number().over(per_language))
         .where(F.col("_rank") <= SAMPLE_ROWS).select("doc_id", "lang").distinct()
     )
