@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetry.operators.joins import lookup_join
+
 SLICES = 64
 # Headers of a stored response that a 304 answer must not replace.
 KEPT_HEADERS = (
@@ -103,9 +105,9 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     stored = answers.groupBy("record_id").agg(
         F.min(F.struct("ts", "c", F.array_sort(F.map_entries("headers")).alias("h"))).alias("r")
     ).select(F.col("record_id").alias("response_id"), F.map_from_entries("r.h").alias("stored"))
-    joined = (
-        revisits.join(found, ["c", "ts"], "left").withColumnRenamed("earlier", "response_id")
-        .join(stored, "response_id", "left")
+    # One response may answer most revisits: its key is dealt over several tasks.
+    joined = lookup_join(
+        revisits.join(found, ["c", "ts"], "left").withColumnRenamed("earlier", "response_id"), stored, "response_id"
     )
     tag = lambda h: F.regexp_replace(F.element_at(h, "etag"), r"^W/", "")
     date = lambda h: F.element_at(h, "last-modified")
