@@ -1,7 +1,7 @@
 """Batches of documents that trade packed arrays with groups.
 
-Documents are dealt into batches, by ranges of ``doc_id`` where their order counts.  A
-batch sends each group one row with packed arrays, a group answers each batch with one row, and the answers meet the
+Documents are cut into batches by ranges of ``doc_id``.  A batch sends each group one row
+with packed arrays, a group answers each batch with one row, and the answers meet the
 batch's documents again.  The documents are shuffled once (both uses read one exchange);
 a key that many documents share is one entry per batch, so no group sees its copies.
 """
@@ -26,19 +26,15 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def batched(
-    docs: DataFrame, total_bytes: int, batch_bytes: int = BATCH_BYTES, ordered: bool = False, most_cuts: int = CUTS,
+    docs: DataFrame, total_bytes: int, batch_bytes: int = BATCH_BYTES, most_cuts: int = CUTS,
 ) -> DataFrame:
-    """Adds ``batch``, dealt by a hash of the row.
+    """Adds ``batch``, a range of doc_id; a later batch has larger ids.
 
-    With ``ordered`` a batch is a range of doc_id instead, and a later batch has larger ids:
-    at most ``most_cuts`` quantiles, whatever the input, with each range between two of them
-    divided evenly by value.  Rows with null ids are the last batch.
+    At most ``most_cuts`` quantiles are taken, whatever the input, and each range between two
+    of them is divided evenly by value.  Rows with null ids are the last batch.
     """
     ship_package(docs.sparkSession)
     n = max(1, -(-total_bytes // batch_bytes))
-    if not ordered:
-        batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))
-        return docs.select("doc_id", "text", batch.cast("int").alias("batch"))
     place = F.col("doc_id").cast("double")
     ranges = min(n, most_cuts)
     found = docs.where(F.col("doc_id").isNotNull()).select(place.alias("p")).approxQuantile(

@@ -214,7 +214,7 @@ def remove_repeats(
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for every row."""
     size = text_bytes(docs)
-    docs = batched(docs, size, batch_bytes, ordered=True)
+    docs = batched(docs, size, batch_bytes)
     prefixes = split_prefixes(docs, size // 2, window, group_suffixes)
 
     def send(table: pa.Table) -> pa.Table:

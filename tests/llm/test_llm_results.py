@@ -59,7 +59,7 @@ def test_prefix_table_is_bounded():
 def test_ordered_batches(spark):
     ids = [None, None, *range(50), *range(10_000, 10_400), 10**12]
     docs = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string")
-    rows = batched(docs, 64, 1, ordered=True, most_cuts=4).collect()
+    rows = batched(docs, 64, 1, most_cuts=4).collect()
     known = sorted((r["doc_id"], r["batch"]) for r in rows if r["doc_id"] is not None)
     numbers = [b for _, b in known]
     assert len(rows) == len(ids) and numbers == sorted(numbers) and len(set(numbers)) > 20
