@@ -41,7 +41,7 @@ def test_equals_sql(name, spark, duck, sf_dir):
 
 
 def test_suffix_trees_in_small_groups(spark, duck, sf_dir):
-    """Prefixes are lengthened, the table's bound is met, and ranges of ids are divided further."""
+    """Many groups and small batches."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = suffix_trees.remove_repeats(docs, group_suffixes=50, batch_bytes=1 << 11).toPandas()
     got["kept_sha256"] = [hashlib.sha256(t.encode()).hexdigest() for t in got.pop("kept")]
