@@ -1,15 +1,18 @@
 """Sanitisation of personal data by information content.
 
 Base entities are e-mail addresses, IP addresses, card and phone numbers, found by fixed
-patterns.  The words that stand within ``REACH`` words of an entity are its terms.  Over
-the whole corpus, documents are counted that hold an entity (e), a term (t), and both
-near each other (te).  With N documents,
+patterns.  All words of a
+document that holds an entity are its terms.  Over the whole corpus, documents are counted
+that hold an entity (e), a term (t), and both (te).  With N documents,
 
     PMI(t, e) = log2(te * N / (t * e)),    IC(e) = log2(N / e),
 
-and PMI / IC says how much of the entity's information the term discloses (1: all).  A
-term seen with the entity in at least ``SUPPORT`` documents is generalised from
-``GENERALISE`` on and removed from ``REMOVE`` on, in the documents that hold the entity.
+and PMI / IC says how much of the entity's information the term discloses (1: all).  From
+``GENERALISE`` on a term is generalised and from ``REMOVE`` on it is removed, in every
+document that holds it, if chance does not explain it: the bound on the probability of te,
+times the number of pairs tested, is at most ``ALPHA``.  For that test equal texts count
+once.  A term within ``REACH`` words of one value in ``SUPPORT`` rows needs no test; there
+copies count.
 
 Null and empty texts have no entities.  Ids may be null or repeat; rows are counted one
 by one.  An entity that all documents hold has no information and discloses nothing.
@@ -18,16 +21,19 @@ by one.  An entity that all documents hold has no information and discloses noth
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.llm.kernels import (
     NOT_WORD, column_buffers, keep, positions, scan, slices, word_hashes,
 )
+from facetry.operators.joins import lookup_join
 
 # Fixed patterns of the contract.  A run of digits can only match from its first digit,
 # so the look-behinds and possessive counts change no match but keep long runs linear.
@@ -38,12 +44,16 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
+NEEDED = re.compile(r"[0-9@]")
 
 REACH = 8
 SUPPORT = 3
 GENERALISE = 0.85
 REMOVE = 0.99
+ALPHA = 0.05
 SLOT_BITS = 23
+PAIR_ROWS = 1 << 17
+BLOCK_TERMS = 1 << 18
 PLACEHOLDER = {
     "email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "cut": "",
 }
@@ -75,6 +85,8 @@ def emails(text: str):
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by start, then kind as listed."""
     out = []
+    if not NEEDED.search(text):
+        return out
     if "@" in text:
         out += [(s, e, "email") for s, e in emails(text)]
     for m in IP.finditer(text):
@@ -95,10 +107,21 @@ def joined(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def entity_id(kind: str, value: str) -> int:
+def plain_value(kind: str, value: str) -> str:
     """The same for spellings of one entity."""
-    plain = value.lower() if kind == "email" else value if kind == "ip" else "".join(DIGITS.findall(value))
-    return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "big", signed=True)
+    return value.lower() if kind == "email" else value if kind == "ip" else "".join(DIGITS.findall(value))
+
+
+def name_id(name: str) -> int:
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def entity_id(kind: str, value: str) -> int:
+    return name_id(f"{kind}:{plain_value(kind, value)}")
+
+
+def entities_of(kind: str, value: str) -> set[int]:
+    return {entity_id(kind, value)}
 
 
 def terms_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,13 +134,18 @@ def terms_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at[starts], at[ends], hashes
 
 
-def near_terms(text: str, spans) -> dict[int, np.ndarray]:
-    """Entity -> hashes of the words near one of its occurrences, entities themselves left out."""
+def free_terms(text: str, spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``terms_of``, without the words of entities."""
     starts, ends, hashes = terms_of(text)
     free = np.ones(len(starts), bool)
     for s, e, _ in spans:
         free[(starts < e) & (ends > s)] = False
-    starts, ends, hashes = starts[free], ends[free], hashes[free]
+    return starts[free], ends[free], hashes[free]
+
+
+def near_terms(text: str, spans, words) -> dict[int, np.ndarray]:
+    """Entity -> hashes of the words near one of its occurrences."""
+    starts, ends, hashes = words
     out: dict[int, set] = {}
     for s, e, kind in spans:
         a, b = np.searchsorted(ends, s, "right"), np.searchsorted(starts, e)
@@ -131,37 +159,88 @@ def candidates(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("text").rlike("[0-9@]"))
 
 
-def entity_terms(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, entity, term, first``: distinct per row.
-
-    ``first`` is 1 once per row and entity; the term 0 stands for an entity without words.
-    """
-    rows = candidates(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+def holders(docs: DataFrame) -> DataFrame:
+    """``text_hash, copies, text, entities, n_terms``: the distinct texts that hold entities."""
+    rows = candidates(docs).select(F.xxhash64("text").alias("text_hash"), "text")
 
     def work(batch):
-        index, entity, term, first = [], [], [], []
+        index, entities, n_terms = [], [], []
         for row, text in enumerate(batch.column("text").to_pylist()):
-            spans = base_spans(text)
-            for e, found in near_terms(text, spans).items() if spans else ():
-                n = max(1, len(found))
-                index.append(np.full(n, row))
-                entity.append(np.full(n, e))
-                term.append(found if len(found) else np.zeros(1, np.int64))
-                first.append(np.arange(n) == 0)
-        take = pa.array(np.concatenate(index) if index else np.zeros(0, np.int64))
-        whole = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (entity, term, first)]
+            if spans := base_spans(text):
+                index.append(row)
+                entities.append(sorted(set().union(*(entities_of(k, text[s:e]) for s, e, k in spans))))
+                n_terms.append(len(np.unique(free_terms(text, spans)[2])))
+        found = batch.take(pa.array(index, pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(take), batch.column("text_hash").take(take),
-             *(pa.array(x.astype(np.int64)) for x in whole)],
-            ["doc_id", "text_hash", "entity", "term", "first"],
+            [*found.columns, pa.array(entities, pa.list_(pa.int64())), pa.array(n_terms, pa.int64())],
+            ["text_hash", "text", "entities", "n_terms"],
         )
 
+    found = scan(
+        rows, ["text_hash", "text"], work, "text_hash long, text string, entities array<long>, n_terms long"
+    )
+    return found.groupBy("text_hash").agg(
+        F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("text", "entities", "n_terms"))
+    )
+
+
+def entity_counts(held: DataFrame, support: int) -> DataFrame:
+    """``entity, e, e_texts``: rows and distinct texts, of the entities that can pass a test."""
+    each = held.select(F.explode("entities").alias("entity"), "copies")
+    found = each.groupBy("entity").agg(F.sum("copies").alias("e"), F.count("*").alias("e_texts"))
+    return found.where((F.col("e_texts") > 1) | (F.col("e") >= support))
+
+
+def entity_terms(held: DataFrame, entities: DataFrame) -> DataFrame:
+    """``entity, term, copies, near``: a row per text, entity and distinct word of the text.
+
+    ``near`` is the copies again where the word stands near the entity.  Entities without a
+    count are left out as far as a bitmap of fixed size tells them.
+    """
+    wanted = held.sparkSession.sparkContext.broadcast(slot_table(entities.select(F.col("entity").alias("term"))))
+
+    def work(batch):
+        out, size = [], 0
+        for text, copies, own in zip(*(batch.column(c).to_pylist() for c in ("text", "copies", "entities"))):
+            own = np.array(own, np.int64)
+            own = own[wanted.value[slots(own)]]
+            if not len(own):
+                continue
+            spans = base_spans(text)
+            words = free_terms(text, spans)
+            distinct, near = np.unique(words[2]), near_terms(text, spans, words)
+            for e in own.tolist():
+                close = np.isin(distinct, near[e]) if e in near else np.zeros(len(distinct), bool)
+                out.append((np.full(len(distinct), e), distinct, np.full(len(distinct), copies), close * copies))
+                size += len(distinct)
+                if size > PAIR_ROWS:
+                    yield packed(out)
+                    out, size = [], 0
+        if out:
+            yield packed(out)
+
+    def packed(rows):
+        columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows)]
+        return pa.RecordBatch.from_arrays(columns, ["entity", "term", "copies", "near"])
+
     return scan(
-        rows, ["doc_id", "text_hash", "text"], work,
-        "doc_id long, text_hash long, entity long, term long, first long",
+        held, ["text", "copies", "entities"], work, "entity long, term long, copies long, near long"
     )
 
 
+def term_rows(batch: pa.RecordBatch, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word whose slot is wanted."""
+    data, offsets = column_buffers(batch.column("text"))
+    starts, ends, rows = positions(offsets, data, NOT_WORD)
+    hashes = word_hashes(data, starts, ends, lower=True)
+    hit = wanted[slots(hashes)]
+    return hashes[hit], rows[hit]
+
+
+def slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def slot_table(terms: DataFrame) -> np.ndarray:
     """A bitmap of fixed size (2**SLOT_BITS bits, 1 MB) with the slots of the terms."""
     slot = F.shiftrightunsigned("term", 64 - SLOT_BITS)
@@ -180,11 +259,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     wanted = docs.sparkSession.sparkContext.broadcast(slot_table(terms))
 
     def count(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        data, offsets = column_buffers(part.column("text"))
-        starts, ends, rows = positions(offsets, data, NOT_WORD)
-        hashes = word_hashes(data, starts, ends, lower=True)
-        hit = wanted.value[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-        hashes, rows = hashes[hit], rows[hit]
+        hashes, rows = term_rows(part, wanted.value)
         order = np.lexsort((rows, hashes))
         hashes, rows = hashes[order], rows[order]
         new = np.ones(len(hashes), bool)
@@ -207,33 +282,75 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def disclosing_terms(docs: DataFrame, pairs: DataFrame, support: int = SUPPORT) -> DataFrame:
+def significance(both: str, first, second, n) -> Column:
+    """-ln of a bound on the chance of ``both`` or more joint texts (Chernoff, hypergeometric)."""
+    def bound(draws, share):
+        part = F.col(both) / draws
+        other = F.when(part < 1, (draws - F.col(both)) * F.ln((1 - part) / (1 - share))).otherwise(F.lit(0.0))
+        return F.when((part > share) & (share < 1), F.col(both) * F.ln(part / share) + other).otherwise(F.lit(0.0))
+
+    return F.greatest(bound(first, second / n), bound(second, first / n))
+
+
+def disclosing_terms(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     """``entity, term, pmi, ratio`` of the terms at or above the generalisation threshold."""
-    n = docs.count()
-    entity_df = pairs.groupBy("entity").agg(F.sum("first").alias("e"))
+    n = F.lit(float(docs.count()))
+    held = keep(holders(docs))
+    tests = held.agg(F.sum(F.size("entities") * F.col("n_terms"))).first()[0] or 1
+    entities = keep(entity_counts(held, support))
     both = keep(
-        pairs.where(F.col("term") != 0).groupBy("entity", "term").agg(F.count("*").alias("te"))
-        .where(F.col("te") >= support)
+        entity_terms(held, entities).groupBy("entity", "term").agg(
+            F.sum("copies").alias("te"), F.count("*").alias("te_texts"), F.sum("near").alias("near")
+        ).where((F.col("te_texts") > 1) | (F.col("near") >= support))
     )
-    scored = both.join(entity_df, "entity").join(term_counts(docs, both), "term")
-    pmi = F.log2(F.col("te") * F.lit(float(n)) / (F.col("df") * F.col("e")))
-    content = F.log2(F.lit(float(n)) / F.col("e"))
+    scored = lookup_join(lookup_join(both, entities, "entity", "inner"), term_counts(docs, both), "term", "inner")
+    pmi = F.log2(F.col("te") * n / (F.col("df") * F.col("e")))
+    content = F.log2(n / F.col("e"))
+    sure = significance("te_texts", F.col("e_texts"), F.col("df"), n) >= math.log(tests / ALPHA)
     return (
-        scored.where(content > 0).select("entity", "term", pmi.alias("pmi"), (pmi / content).alias("ratio"))
+        scored.where((content > 0) & (sure | (F.col("near") >= support)))
+        .select("entity", "term", pmi.alias("pmi"), (pmi / content).alias("ratio"))
         .where(F.col("ratio") >= GENERALISE)
     )
 
 
-def flagged_documents(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, terms, ratios``: what each distinct (id, text) has to hide."""
-    pairs = keep(entity_terms(docs))
-    flags = disclosing_terms(docs, pairs).select("entity", "term", "ratio")
-    per_term = pairs.join(flags, ["entity", "term"]).groupBy("doc_id", "text_hash", "term").agg(
-        F.max("ratio").alias("ratio")
-    )
-    return keep(per_term.groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("term", "ratio")).alias("terms")
-    ))
+def term_ratios(docs: DataFrame) -> DataFrame:
+    """``term, ratio``: what is hidden wherever it stands, by the entity it discloses most of."""
+    return keep(disclosing_terms(docs).groupBy("term").agg(F.max("ratio").alias("ratio")))
+
+
+class Flags:
+    """The flagged terms of all blocks, sorted, with their ratios: 16 bytes a term."""
+
+    def __init__(self, blocks):
+        terms = np.concatenate([b.value[0] for b in blocks])
+        ratios = np.concatenate([b.value[1] for b in blocks])
+        order = np.argsort(terms)
+        self.terms, self.ratios = terms[order], ratios[order]
+        self.wanted = np.zeros(1 << SLOT_BITS, bool)
+        self.wanted[slots(self.terms)] = True
+
+    def of_rows(self, batch: pa.RecordBatch) -> list[dict[int, float]]:
+        """Term -> ratio of the flagged terms of each row."""
+        out = [{} for _ in range(batch.num_rows)]
+        hashes, rows = term_rows(batch, self.wanted)
+        if len(hashes):
+            hashes = hashes.view(np.int64)
+            at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+            for i in np.flatnonzero(self.terms[at] == hashes).tolist():
+                out[rows[i]][int(hashes[i])] = float(self.ratios[at[i]])
+        return out
+
+
+def flag_blocks(flags: DataFrame) -> list:
+    """The flagged terms as broadcasts of about ``BLOCK_TERMS`` each."""
+    n = max(1, -(-flags.count() // BLOCK_TERMS))
+    out = []
+    for k in range(n):
+        block = flags.where(F.pmod("term", F.lit(n)) == k).select("term", "ratio").toArrow()
+        arrays = [block.column(c).to_numpy() for c in ("term", "ratio")]
+        out.append(flags.sparkSession.sparkContext.broadcast(arrays))
+    return out
 
 
 def all_spans(text: str, terms) -> tuple[list, list]:
@@ -241,13 +358,12 @@ def all_spans(text: str, terms) -> tuple[list, list]:
     base = base_spans(text)
     if not terms:
         return base, base
-    ratio = {t["term"]: t["ratio"] for t in terms}
     starts, ends, hashes = terms_of(text)
     more = []
-    for i in np.flatnonzero(np.isin(hashes, np.fromiter(ratio, np.int64))).tolist():
+    for i in np.flatnonzero(np.isin(hashes, np.fromiter(terms, np.int64))).tolist():
         s, e = int(starts[i]), int(ends[i])
         if not any(s < b and e > a for a, b, _ in base):
-            more.append((s, e, "cut" if ratio[int(hashes[i])] >= REMOVE else "term"))
+            more.append((s, e, "cut" if terms[int(hashes[i])] >= REMOVE else "term"))
     return base, sorted(base + more, key=lambda x: (x[0], ORDER[x[2]], x[1]))
 
 
@@ -261,54 +377,50 @@ def redact(text: str, spans) -> str:
     return "".join([*out, text[at:]])
 
 
-def with_terms(docs: DataFrame) -> DataFrame:
-    """Candidate rows with their ``__disclosed``; rows never multiply, keys on the right are unique."""
-    flags = flagged_documents(docs).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("terms").alias("__disclosed")
-    )
-    found = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    return candidates(docs).join(flags, found, "left").drop("__id", "__hash")
+def all_rows(docs: DataFrame, work: Callable, schema) -> DataFrame:
+    """``work(batch, terms of each row)`` over all rows; documents do not move."""
+    blocks, made = flag_blocks(term_ratios(docs)), []
+
+    def run(batch):
+        if not made:
+            made.append(Flags(blocks))
+        yield work(batch, made[0].of_rows(batch))
+
+    return scan(docs, docs.columns, run, schema)
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms`` for every row."""
-    docs = docs.select("doc_id", "text")
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_terms"]
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long"
 
-    def work(batch):
+    def work(batch, disclosed):
         rows = []
-        for doc, text, terms in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "__disclosed"))):
-            base, spans = all_spans(text, terms)
+        for doc, text, terms in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), disclosed):
+            base, spans = all_spans(text or "", terms)
             kinds = [k for *_, k in base]
             digest = hashlib.sha256(joined(base).encode()).hexdigest()
             rows.append((doc, *map(kinds.count, KINDS), digest, joined(spans), len(spans) - len(base)))
         columns = zip(*rows) if rows else [[]] * len(names)
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(list(c), pa.string() if n in ("base_sha256", "spans") else pa.int64())
              for n, c in zip(names, columns)], names,
         )
 
-    zero = F.lit(0).cast("long")
-    rest = docs.where(~F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))).select(
-        "doc_id", *(zero.alias(f"n_{k}") for k in KINDS), F.sha2(F.lit("").cast("binary"), 256).alias("base_sha256"),
-        F.lit("").alias("spans"), zero.alias("n_terms"),
-    )
-    return scan(with_terms(docs), ["doc_id", "text", "__disclosed"], work, schema).unionByName(rest)
+    return all_rows(docs.select("doc_id", "text"), work, schema)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """The same rows and columns; entities and disclosing terms are replaced in ``text``."""
-    flagged, names = with_terms(docs), docs.columns
+    names = docs.columns
 
-    def work(batch):
+    def work(batch, disclosed):
         texts = [
-            redact(text, all_spans(text, terms)[1])
-            for text, terms in zip(batch.column("text").to_pylist(), batch.column("__disclosed").to_pylist())
+            text and redact(text, all_spans(text, terms)[1])
+            for text, terms in zip(batch.column("text").to_pylist(), disclosed)
         ]
         at = batch.schema.get_field_index("text")
         out = batch.set_column(at, "text", pa.array(texts, batch.schema.field("text").type))
-        yield out.select(names)
+        return out.select(names)
 
-    rest = docs.where(~F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False)))
-    return scan(flagged, [*docs.columns, "__disclosed"], work, docs.schema).unionByName(rest)
+    return all_rows(docs, work, docs.schema)

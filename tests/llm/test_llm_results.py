@@ -204,3 +204,16 @@ def test_held_out_language(spark, sf_dir, duck):
     got = QUERIES["op5_language"](spark, sf_dir).toPandas()  # noqa: F841
     right = duck.sql("select avg((lang = lang_pred)::int) from got join documents using (doc_id) where held_out").fetchall()
     assert right[0][0] > 0.95
+
+
+def test_terms_anywhere_in_a_document(spark):
+    """Terms far from the entity count, and go from documents without an entity or a digit."""
+    far = " ".join(["usual"] * 20)
+    docs = [(i, f"zebrafish {far} keeper@site.org note{'abcdef'[i]}") for i in range(6)]
+    docs += [(i, "zebrafish alone") for i in (6, 7)] + [(i, f"usual matters {i}") for i in range(8, 400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in disclosure.find_personal_data(frame).collect()}
+    assert len(out) == 400 and out[300]["n_terms"] == 0
+    assert [out[i]["n_terms"] for i in (0, 5, 6, 7)] == [1] * 4 and out[6]["spans"] == "term:0:9"
+    clean = {r["doc_id"]: r["text"] for r in disclosure.sanitise(frame).collect()}
+    assert clean[7] == "[TERM] alone" and clean[0] == f"[TERM] {far} [EMAIL] notea" and clean[300] == "usual matters 300"
