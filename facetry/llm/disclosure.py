@@ -1,7 +1,8 @@
 """Sanitisation of personal data by information content.
 
 Base entities are e-mail addresses, IP addresses, card and phone numbers, found by fixed
-patterns.  All words of a
+patterns.  Besides each value, its kind and its parts that recur (user and domain of an
+address, network of an IP address, prefix of a number) are entities.  All words of a
 document that holds an entity are its terms.  Over the whole corpus, documents are counted
 that hold an entity (e), a term (t), and both (te).  With N documents,
 
@@ -121,7 +122,16 @@ def entity_id(kind: str, value: str) -> int:
 
 
 def entities_of(kind: str, value: str) -> set[int]:
-    return {entity_id(kind, value)}
+    """The entity itself, its kind, and its parts that other entities can share."""
+    plain = plain_value(kind, value)
+    if kind == "email":
+        user, domain = plain.split("@")
+        parts = [f"user:{user}", f"domain:{domain}"]
+    elif kind == "ip":
+        parts = [f"net:{plain.rpartition('.')[0]}"]
+    else:
+        parts = [f"{kind} prefix:{plain[:6] if kind == 'card' else plain[:-7]}"]
+    return {entity_id(kind, value), *map(name_id, [f"kind:{kind}", *parts])}
 
 
 def terms_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

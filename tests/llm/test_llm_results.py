@@ -217,3 +217,13 @@ def test_terms_anywhere_in_a_document(spark):
     assert [out[i]["n_terms"] for i in (0, 5, 6, 7)] == [1] * 4 and out[6]["spans"] == "term:0:9"
     clean = {r["doc_id"]: r["text"] for r in disclosure.sanitise(frame).collect()}
     assert clean[7] == "[TERM] alone" and clean[0] == f"[TERM] {far} [EMAIL] notea" and clean[300] == "usual matters 300"
+
+
+def test_terms_of_recurring_parts(spark):
+    """No address recurs, but their domain does; words of one text, or of its copies, are chance."""
+    docs = [(i, f"zebrafish keepers write to k{i}@site.org, word{'abcdef'[i]}") for i in range(6)]
+    docs += [(i, "rareword twin x@other.net") for i in (6, 7)] + [(i, f"keepers write to {i}") for i in range(8, 400)]
+    out = {r["doc_id"]: r for r in disclosure.find_personal_data(
+        spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [out[i]["spans"].split(",")[0] for i in range(6)] == ["cut:0:9"] * 6
+    assert [out[i]["n_terms"] for i in range(9)] == [1] * 6 + [0] * 3
