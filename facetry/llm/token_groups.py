@@ -15,7 +15,8 @@ when it has fewer words); two documents link when |A & B| * 100 >= |A | B| * ``P
    of their prefixes of length |A| - ceil(PERCENT/100 * |A|) + SHARED, so a group in which a
    query finds fewer cannot hold a partner and is not opened.
 4. A group is opened by its members and by the visiting classes of groups before it, so
-   each pair of sets meets once.  There the union of all its shingles bounds a visitor's
+   each pair of sets meets once.  The visitors are dealt to parts of a group, each with
+   all members, so no task holds more than a share of a large cluster.  There the union of all its shingles bounds a visitor's
    overlap once more before single members are counted, exactly.
 
 Links are counted per class (copies included) and not written as pairs; within a group
@@ -41,11 +42,13 @@ from facetry.llm.exchange import (
 from facetry.llm.kernels import (
     column_buffers, grams, id_array, ids_of, keep, mix, positions, slices, whole, word_hashes,
 )
+from facetry.operators.joins import lookup_join
 
 SHINGLE = 3
 PERCENT = 90
 SHARED = 4
 GROUP_SETS = 512
+GROUP_VISITORS = 2048
 GROUP_SHINGLES = 500_000
 
 SENT = "grp int, batch int, leaves binary, counts binary"
@@ -177,7 +180,8 @@ class Tree:
 
 
 def open_group(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links among a group's members and between them and its visitors."""
+    """Links between a group's members and visitors, and in its part 0 among its members."""
+    first = 0 if len(frame) and frame["part"].iloc[0] == 0 else int(frame["member"].sum())
     frame = frame.sort_values(["member", "set_id"], ascending=[False, True], ignore_index=True)
     sets = [np.frombuffer(x, np.uint64) for x in frame["tokens"]]
     size = np.array([len(s) for s in sets], np.int64)
@@ -189,7 +193,7 @@ def open_group(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     posting = member[order]
     begin = np.searchsorted(place[order], np.arange(len(union) + 1))
     tree, links = Tree(len(sets)), np.zeros(len(sets), np.int64)
-    for q in range(len(sets)):
+    for q in range(first, len(sets)):
         if not len(union):
             break
         at = np.minimum(np.searchsorted(union, sets[q]), len(union) - 1)
@@ -230,7 +234,21 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def set_links(sets: DataFrame, percent: int = PERCENT, shared: int = SHARED) -> DataFrame:
+def dealt_seats(homes: DataFrame, visits: DataFrame, visitors: int = GROUP_VISITORS) -> DataFrame:
+    """``set_id, grp, part, member``: visitors dealt to parts of about ``visitors``, members in each part."""
+    parts = visits.groupBy(F.col("to").alias("grp")).agg(F.ceil(F.count("*") / visitors).alias("parts"))
+    members = homes.select("set_id", "grp").join(parts, "grp", "left")
+    number = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)).cast("int") - 1))
+    guests = lookup_join(visits.select("set_id", F.col("to").alias("grp")), parts, "grp", "inner")
+    return members.select("set_id", "grp", number.alias("part"), F.lit(True).alias("member")).unionByName(
+        guests.select("set_id", "grp", F.pmod(F.xxhash64("set_id"), "parts").cast("int").alias("part"),
+                      F.lit(False).alias("member"))
+    )
+
+
+def set_links(
+    sets: DataFrame, percent: int = PERCENT, shared: int = SHARED, visitors: int = GROUP_VISITORS,
+) -> DataFrame:
     """``set_id, copies, links, label``: classes of equal sets, their links and component."""
     # Not stored: the sets move once, and stay where the seats join them.
     classes = sets.where(F.col("tokens").isNotNull()).groupBy("set_id").agg(
@@ -244,20 +262,18 @@ def set_links(sets: DataFrame, percent: int = PERCENT, shared: int = SHARED) ->
     ))
     words = homes.select("set_id", "grp", "shared", F.explode("prefix").alias("token"))
     matrix = words.groupBy("token", "grp").agg(F.min("shared").alias("least"))
-    visits = (
+    visits = keep(
         words.join(matrix.toDF("token", "to", "least"), "token").where(F.col("grp") < F.col("to"))
         .groupBy("set_id", "to").agg(F.count("*").alias("n"), F.least(F.min("least"), F.min("shared")).alias("c"))
-        .where(F.col("n") >= F.col("c"))
-    )
-    seats = homes.select("set_id", "grp", F.lit(True).alias("member")).unionByName(
-        visits.select("set_id", F.col("to").alias("grp"), F.lit(False).alias("member"))
+        .where(F.col("n") >= F.col("c")).select("set_id", "to")
     )
+    seats = dealt_seats(homes, visits, visitors)
 
     def opened(frame: pd.DataFrame) -> pd.DataFrame:
         return open_group(frame, percent)
 
     found = keep(
-        seats.join(classes.select("set_id", "copies", "tokens"), "set_id").groupBy("grp")
+        seats.join(classes.select("set_id", "copies", "tokens"), "set_id").groupBy("grp", "part")
         .applyInPandas(opened, "set_id long, linked long, links long")
     )
     links = found.groupBy("set_id").agg(F.sum("links").alias("links"))

@@ -227,3 +227,20 @@ def test_terms_of_recurring_parts(spark):
         spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert [out[i]["spans"].split(",")[0] for i in range(6)] == ["cut:0:9"] * 6
     assert [out[i]["n_terms"] for i in range(9)] == [1] * 6 + [0] * 3
+
+
+def test_visitors_are_dealt(spark, monkeypatch):
+    """A family of near copies in groups of 8: no part has many visitors, all links are found once."""
+    monkeypatch.setattr(token_groups, "GROUP_SETS", 8)
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame(
+        [(i, " ".join([*words[:-1], f"end{i}"])) for i in range(60)], "doc_id long, text string")
+    sets = token_groups.keep(token_groups.document_sets(docs))
+    found = token_groups.set_links(sets, visitors=4).collect()
+    assert len(found) == 60 and {r["links"] for r in found} == {59} and len({r["label"] for r in found}) == 1
+    homes = spark.createDataFrame([(i, i % 2) for i in range(16)], "set_id long, grp long")
+    visits = spark.createDataFrame([(i, 1) for i in range(100, 500)], "set_id long, to long")
+    seats = token_groups.dealt_seats(homes, visits, 40).toPandas()
+    guests = seats[~seats["member"]].groupby(["grp", "part"]).size()
+    assert guests.sum() == 400 and guests.max() < 80 and len(guests) == 10
+    assert (seats[seats["member"]].groupby(["grp", "part"]).size() == 8).all()
