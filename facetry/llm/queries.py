@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.llm import (
-    decontaminate, disclosure, language, packing, revisits, run_index, suffix_trees, token_groups, topk, toxicity,
+    burst_trie, byte_pairs, decontaminate, disclosure, language, packing, repair, revisits, run_index, suffix_trees,
+    token_groups, topk, toxicity,
 )
 
 
@@ -95,9 +96,27 @@ def op10_token_groups(spark, sf_dir):
     return token_groups.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_burst_trie(spark, sf_dir):
+    turns = burst_trie.shared_prefixes(table(spark, sf_dir, "conversations"))
+    return burst_trie.prefix_nodes(turns)
+
+
+def op12_repair(spark, sf_dir):
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op13_byte_pairs(spark, sf_dir):
+    coded = byte_pairs.decode_documents(byte_pairs.encode_documents(table(spark, sf_dir, "documents")))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_revisits, op2_suffix_trees, op3_toxicity, op4_disclosure, op5_language, op6_topk,
-        op7_run_index, op8_decontaminate, op9_packing, op10_token_groups,
+        op7_run_index, op8_decontaminate, op9_packing, op10_token_groups, op11_burst_trie, op12_repair, op13_byte_pairs,
     )
 }
