@@ -106,7 +106,7 @@ def op12_repair(spark, sf_dir):
 
 
 def op13_byte_pairs(spark, sf_dir):
-    coded = byte_pairs.decode_documents(byte_pairs.encode_documents(table(spark, sf_dir, "documents")))
+    coded = byte_pairs.round_trip(table(spark, sf_dir, "documents"))
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
