@@ -404,6 +404,56 @@ CLASS_SCORES = """
 
 WORDS = f"select distinct unnest(regexp_extract_all(text, {q(TOKEN)})) as term from documents"
 
+def plain_words(text: str) -> str:
+    return f"list_filter(string_split(regexp_replace(coalesce({text}, ''), {q(f'[{SPACE}]+')}, ' ', 'g'), ' '), lambda w: w <> '')"
+
+
+def word_type(w: str) -> str:
+    return f"lower(regexp_replace({w}, {q(f'^[^{ALNUM}]+|[^{ALNUM}]+$')}, '', 'g'))"
+
+
+CLOSERS = "[\"'”’)\\]]"
+
+
+def ends_in_period(w: str) -> str:
+    return f"regexp_matches({w}, {q(f'[{ALNUM}][.]{CLOSERS}*$')})"
+
+
+ABBREVIATIONS = f"""
+    with w as (select unnest({plain_words('text')}) as w from documents),
+    t as (select {word_type('w')} as type, count(*) filter ({ends_in_period('w')}) as d, count(*) filter (not {ends_in_period('w')}) as r
+          from w group by 1),
+    c as (select *, sum(d) over () as dots, sum(d + r) over () as n,
+              length(type) - length(replace(type, '.', '')) as inner_dots
+          from t where regexp_matches(type, '\\p{{L}}'))
+    select type, d as with_period, r as without_period,
+        2 * (d * ln(0.99) + case when r = 0 then 0 else r * ln(1 - 0.99) end
+             - d * ln(dots / n) - case when r = 0 then 0 else r * ln(1 - dots / n) end)
+        * exp(-(length(type) - inner_dots)) * (inner_dots + 1) * pow((length(type) - inner_dots)::double, -r) as score
+    from c where d > 0"""
+
+
+def learned_split() -> str:
+    """Candidate boundaries as marks, pieces as rows, and a running count of sentence starts."""
+    closers = "[\"'”’)\\]]{0,3}"
+    marked = f"regexp_replace(coalesce(text, ''), {q(f'([.!?]{closers})([{SPACE}]+)')}, '\\1\\2' || chr(1), 'g')"
+    initials = q(rf"(^|[^{ALNUM}])([A-HJ-Z]\.)([{SPACE}]+)\x01")
+    ellipsis = q(rf"(\.\.)([{SPACE}]+)\x01(\p{{Ll}})")
+    for pattern in (initials, initials, ellipsis):
+        marked = f"regexp_replace({marked}, {pattern}, '\\1\\2\\3', 'g')"
+    return f"""
+        with abbreviations as (select type from ({ABBREVIATIONS}) where score >= 0.3),
+        pieces as ({explode('documents', 'doc_id', f'string_split({marked}, chr(1))', 'pos', 'piece')}),
+        ended as (select *, regexp_extract({strip('piece')}, {q(f'([^{SPACE}]+)$')}, 1) as word from pieces),
+        flagged as (select doc_id, pos, piece, type is not null as goes_on from ended
+            left join abbreviations on {ends_in_period('word')} and {word_type('word')} = type),
+        starts as (select *, coalesce(lag(goes_on) over (partition by doc_id order by pos), false) as inside from flagged),
+        numbered as (select *, sum(case when inside then 0 else 1 end) over (partition by doc_id order by pos) as no from starts),
+        whole as (select doc_id, no, {strip("string_agg(piece, '' order by pos)")} as sentence from numbered group by all)
+        select doc_id, cast(row_number() over (partition by doc_id order by no) - 1 as integer) as sentence_id, sentence
+        from whole where sentence <> ''"""
+
+
 ORACLE: dict[str, str] = {
     "canonical_reviews": CANONICAL,
     "numbered_reviews": f"""
@@ -561,4 +611,30 @@ ORACLE: dict[str, str] = {
                 greatest(-1.0, least(1.0, (length(word) - n) / 8.0))::double as score from best)
         select doc_id, sentence_id, aspect, case when score > 0 then 'positive' when score < 0 then 'negative' else 'neutral' end as label, score
         from s""",
+    "exact_split": """
+        select doc_id, source, case when row_number() over (partition by source order by md5(doc_id::varchar || '|42'), doc_id)
+            <= greatest(1, floor(count(*) over (partition by source) * 0.1)) then 'dev' else 'train' end as fold from documents""",
+    "gold_folder": f"""
+        with g as (select case when dataset in ('en', 'fr') then 'restaurants' else 'laptops' end as d,
+            case when split_part(sentence_id, '-', 1)::bigint % 2 = 0 then 'test' else 'train' end as split, * from ({GOLD_TERMS}))
+        select d as dataset, split, dataset || '/' || sentence_id as sentence_id, term, polarity, start, "end"
+        from g where split = 'test' or polarity <> 'conflict'""",
+    "learned_abbreviations": f"select * exclude (score), round(score, 6) as score, score >= 0.3 as abbreviation from ({ABBREVIATIONS})",
+    "learned_sentences": learned_split(),
+    "nested_metrics": UPSERT,
+    "checked_tables": " union all ".join(
+        [f"select {q(t)} as name, count(*) filter (regexp_matches(text, {q(f'[^{SPACE}]')})) as reviews, null as error from {t}"
+         for t in ("documents", "conversations", "benchmark")]
+        + [f"select {q(t)}, 0, 'Input is missing the required text column'" for t in ("pages", "part")]),
+    "bare_reviews": f"""
+        select conv_id * 1000 + turn as review_id, text, null::double as rating, null::timestamp as date, null::varchar as product
+        from conversations where regexp_matches(text, {q(f'[^{SPACE}]')})""",
+    "hook_pipeline": f"""
+        with p as ({PIPE_REVIEWS}), s as ({explode('p', 'review_id, product, doc_sentiment', split_sentences('text'), 'sentence_id', 'sentence')}),
+        w as ({explode('s', 'review_id, product, doc_sentiment, sentence_id', plain_words('sentence'), 'pos', 'word')}),
+        best as (select review_id, product, doc_sentiment, sentence_id, count(*) as n,
+                arg_min(word, pos - 1000000.0 * length(word)) as word from w group by all),
+        scored as (select *, greatest(-1.0, least(1.0, (length(word) - n) / 8.0))::double as score from best)
+        select review_id, product, sentence_id, lower(word) as aspect, doc_sentiment, score as aspect_compound,
+            case when score > 0 then 'positive' when score < 0 then 'negative' else 'neutral' end as aspect_sentiment from scored""",
 }

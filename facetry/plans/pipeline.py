@@ -20,11 +20,13 @@ from facetry.functions.wordlists import (
     THEME_KEYWORDS,
 )
 from facetry.operators import summary
+from facetry.operators.boundaries import sentences_by_table
 from facetry.operators.joins import lookup_join
 from facetry.operators.mentions import explode_mentions, mentions_by_table
 from facetry.operators.prepare import clean_reviews
 from facetry.operators.sentences import explode_sentences
 from facetry.operators.sentiment import add_sentiment, compound_by_table
+from facetry.operators.tagger import Tagger
 from facetry.operators.themes import add_theme_column, assign_themes_by_table
 from facetry.sources.reviews import load_mentions
 
@@ -37,17 +39,21 @@ class Options:
     Dictionaries are written into the plan.  Each may be a table instead, of any size:
     ``valence_table`` (token, valence) in place of the lexicon's valences, ``tag_table``
     (token, tag) before the tag rules and in place of ``is_noun``, ``keyword_table``
-    (priority, theme, keyword) in place of ``themes``.  Hooks come before tables.
+    (priority, theme, keyword) in place of ``themes``, ``abbreviation_table`` (type) in
+    place of ``abbreviations``.  ``tagger`` is a trained extractor.  Hooks come before it,
+    and it before tables.
     """
 
     lexicon: Lexicon = DEFAULT_LEXICON
     is_noun: Callable[[Column], Column] = DEFAULT_RULES.is_noun
     extractor: Callable[[Column], Column] | None = None
     scorer: Callable[[Column, Column], Column] | None = None
+    tagger: Tagger | None = None
     themes: Mapping[str, Sequence[str]] = field(default_factory=lambda: THEME_KEYWORDS)
     valence_table: DataFrame | None = None
     tag_table: DataFrame | None = None
     keyword_table: DataFrame | None = None
+    abbreviation_table: DataFrame | None = None
     abbreviations: Sequence[str] = field(default_factory=lambda: DEFAULT_ABBREVIATIONS)
     min_term_length: int = MIN_TERM_LENGTH
     max_term_words: int = MAX_TERM_WORDS
@@ -86,13 +92,28 @@ def scored_reviews(reviews: DataFrame, options: Options = Options()) -> DataFram
 
 
 def sentence_rows(scored: DataFrame, options: Options = Options()) -> DataFrame:
-    return explode_sentences(scored, abbreviations=options.abbreviations)
+    if options.abbreviation_table is None:
+        return explode_sentences(scored, abbreviations=options.abbreviations)
+    return learned_sentences(scored, options.abbreviation_table)
+
+
+def learned_sentences(
+    reviews: DataFrame, abbreviations: DataFrame, text_col: str = "text", id_col: str = "review_id"
+) -> DataFrame:
+    """``explode_sentences`` with a table of abbreviations."""
+    split = per_text(reviews, text_col, lambda texts: sentences_by_table(texts, abbreviations))
+    kept = [id_col] + [c for c in reviews.columns if c not in (id_col, text_col)]
+    rows = split.select(*kept, F.posexplode_outer("_sentences").alias("sentence_id", "sentence"))
+    return rows.filter(F.col("sentence_id").isNotNull())
 
 
 def mention_rows(sentences: DataFrame, options: Options = Options()) -> DataFrame:
     """The mention table; without tables, rows never leave the task that holds their sentence."""
     if options.extractor is not None:
         terms = options.extractor(F.col("sentence"))
+    elif options.tagger is not None:
+        sentences = options.tagger.add_terms(sentences, "sentence", "_terms")
+        terms = F.col("_terms")
     elif options.tag_table is not None:
         sentences = per_text(sentences, "sentence", lambda texts: table_terms(texts, options))
         terms = F.col("_terms")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +14,17 @@ from facetry.functions.spans import between, decode_terms, token_offsets
 from facetry.functions.terms import DEFAULT_RULES, aspect_terms
 from facetry.functions.text import bind, tokens
 from facetry.functions.themes import normalize_term
-from facetry.functions.wordlists import THEME_KEYWORDS
-from facetry.operators import evaluation, mentions, prepare, sentiment, summary, themes, training
+from facetry.functions.wordlists import GOLD_FILES, THEME_KEYWORDS
+from facetry.operators import (
+    boundaries, evaluation, mentions, nested, prepare, sentiment, summary, themes, training,
+)
 from facetry.operators.models import extractor_hook, scorer_hook
 from facetry.operators.sentences import explode_sentences
 from facetry.operators.spans import first_overlaps
+from facetry.operators.tagger import Tagger, fit_tagger
 from facetry.plans import evaluate, pipeline
 from facetry.session import ship_package
-from facetry.sources import gold, results, reviews
+from facetry.sources import gold, models, results, reviews
 from facetry.streaming.mentions import read_trend, store_trend, weekly_trend
 
 # Stand-in dictionaries in the words of the test documents.
@@ -603,8 +607,8 @@ def sentiment_matrix(spark, sf_dir):
 
 
 def extraction_matrix(spark, sf_dir):
-    models = {"nouns": aspect_terms, "long": lambda c: aspect_terms(c, is_long)}
-    scores = evaluate.evaluate_extraction(nested_gold(spark, sf_dir), models)
+    extractors = {"nouns": aspect_terms, "long": lambda c: aspect_terms(c, is_long)}
+    scores = evaluate.evaluate_extraction(nested_gold(spark, sf_dir), extractors)
     return scores
 
 
@@ -613,8 +617,8 @@ MATRIX_LIMIT = 20
 
 def limited_matrix(spark, sf_dir):
     """A smoke run of the matrix: the first sentences of every data set."""
-    models = {"nouns": aspect_terms, "long": lambda c: aspect_terms(c, is_long)}
-    return evaluate.evaluate_extraction(nested_gold(spark, sf_dir), models, limit=MATRIX_LIMIT)
+    extractors = {"nouns": aspect_terms, "long": lambda c: aspect_terms(c, is_long)}
+    return evaluate.evaluate_extraction(nested_gold(spark, sf_dir), extractors, limit=MATRIX_LIMIT)
 
 
 def classifier_dev_scores(spark, sf_dir):
@@ -627,6 +631,149 @@ def classifier_dev_scores(spark, sf_dir):
     return evaluation.sentiment_scores(dev, ["dataset"], observed_only=True)
 
 
+def rule_labels(tokens: Column) -> Column:
+    """The untrained baseline: a term is a long token."""
+    return F.transform(tokens, lambda t: F.when(t["end"] - t["start"] >= 7, F.lit(1)).otherwise(F.lit(0)))
+
+
+def stored_bio_rows(spark, sf_dir):
+    """Training tables are read many times, so they are stored first."""
+    folder = scratch(spark)
+    bio_rows(spark, sf_dir).write.parquet(folder + "/bio")
+    return spark.read.parquet(folder + "/bio")
+
+
+def tagger_dev(tagger: Tagger, examples: DataFrame) -> DataFrame:
+    dev = examples.filter(F.col("fold") == "dev").select("dataset", "text", "tokens", F.col("labels").alias("true_labels"))
+    return evaluation.span_scores(tagger.add_labels(dev), ["dataset"])
+
+
+def tagger_dev_scores(spark, sf_dir):
+    """Span scores on the dev fold: the trained tagger, and the rule it has to beat."""
+    examples = stored_bio_rows(spark, sf_dir)
+    trained = tagger_dev(fit_tagger(examples), examples)
+    rule = examples.filter(F.col("fold") == "dev").select(
+        "dataset", F.col("labels").alias("true_labels"), rule_labels(F.col("tokens")).alias("pred_labels")
+    )
+    rows = evaluation.span_scores(rule, ["dataset"]).withColumn("model", F.lit("rule"))
+    return trained.withColumn("model", F.lit("tagger")).unionByName(rows)
+
+
+def stored_matrix(spark, sf_dir):
+    """Both trained models saved with their dev scores; the matrix runs what the store names, on the dev fold."""
+    store = scratch(spark) + "/models"
+    examples = stored_bio_rows(spark, sf_dir)
+    tagger = fit_tagger(examples)
+    spans = tagger_dev(tagger, examples).unpivot("dataset", ["precision", "recall", "f1"], "metric", "value")
+    models.save_tagger(tagger, spark, store, "perceptron", spans)
+    pairs = scratch(spark) + "/pairs"
+    pair_rows(spark, sf_dir).write.parquet(pairs)
+    stored = spark.read.parquet(pairs)
+    classifier = training.fit_polarity(stored)
+    dev = training.predict_polarity(classifier, stored.filter(F.col("fold") == "dev"))
+    scores = evaluation.sentiment_scores(dev, ["dataset"], observed_only=True)
+    models.save_classifier(
+        classifier, spark, store, "linear", scores.select("dataset", "accuracy", "macro_f1").unpivot(
+            "dataset", ["accuracy", "macro_f1"], "metric", "value")
+    )
+    held_out = nested_gold(spark, sf_dir).filter(training.is_dev(["dataset", "sentence_id"]))
+    return evaluate.stored_matrix(
+        held_out, store, built_in={"long": lambda c: aspect_terms(c, is_long)},
+        sentence_models={"lexicon": evaluate.lexicon_labels(LEXICON)},
+    )
+
+
+def exact_split(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return training.exact_fold(docs, ["doc_id"], ["source"])
+
+
+def gold_folder(spark, sf_dir):
+    """Gold rows written under the names of the four known files, and each loaded by data set and split."""
+    folder = scratch(spark)
+    rows = nested_gold(spark, sf_dir).select(
+        F.when(F.col("dataset").isin("en", "fr"), "restaurants").otherwise("laptops").alias("_set"),
+        F.when(F.substring_index("sentence_id", "-", 1).cast("bigint") % 2 == 0, "test").otherwise("train").alias("_split"),
+        F.concat_ws("/", "dataset", "sentence_id").alias("_id"), "text",
+        F.struct(F.transform("terms", lambda t: F.struct(
+            t["term"].alias("_term"), t["polarity"].alias("_polarity"),
+            t["start"].alias("_from"), t["end"].alias("_to"),
+        )).alias("aspectTerm")).alias("aspectTerms"),
+    )
+    loaded = []
+    for (dataset, split), name in GOLD_FILES.items():
+        own = rows.filter((F.col("_set") == dataset) & (F.col("_split") == split)).drop("_set", "_split")
+        own.write.option("rootTag", "sentences").option("rowTag", "sentence").xml(f"{folder}/{name}")
+        found = gold.load_gold(spark, dataset, split, folder, without_conflict=split == "train")
+        loaded.append(gold.gold_terms(found).withColumn("split", F.lit(split)))
+    return reduce(DataFrame.unionByName, loaded)
+
+
+def learned_abbreviations(spark, sf_dir):
+    """Scores of all words that ever end in a period; those over the threshold are abbreviations."""
+    counts = boundaries.period_counts(documents(spark, sf_dir))
+    scored = boundaries.abbreviation_scores(counts)
+    return scored.select(
+        "type", "with_period", "without_period", F.round("score", 6).alias("score"),
+        (F.col("score") >= boundaries.THRESHOLD).alias("abbreviation"),
+    )
+
+
+def learned_sentences(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pipeline.learned_sentences(docs, boundaries.learn_abbreviations(docs), id_col="doc_id")
+
+
+def nested_run(rows: DataFrame) -> DataFrame:
+    """A run's metrics as one nested document per data set: task, model, metric."""
+    values = rows.groupBy("dataset", "task", "model").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
+    per_task = values.groupBy("dataset", "task").agg(F.map_from_entries(F.collect_list(F.struct("model", "m"))).alias("m"))
+    whole = per_task.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct("task", "m"))).alias("m"))
+    return whole.select(F.col("dataset").alias("id"), F.parse_json(F.to_json("m")).alias("document"))
+
+
+def nested_metrics(spark, sf_dir):
+    """The two runs of ``metrics_upsert`` as nested documents, merged at every depth."""
+    merged = nested.deep_merge(nested_run(first_run(spark, sf_dir)), nested_run(second_run(spark, sf_dir)))
+    found = nested.leaves(merged, "id", "document")
+    return found.select(
+        F.col("id").alias("dataset"), F.get("path", F.lit(0)).alias("task"), F.get("path", F.lit(1)).alias("model"),
+        F.get("path", F.lit(2)).alias("metric"), F.expr("variant_get(leaf, '$', 'double')").alias("value"),
+    )
+
+
+def checked_tables(spark, sf_dir):
+    """Which tables have the required column, under their own names, and how many usable reviews they hold."""
+    found = []
+    for name in ("documents", "conversations", "benchmark", "pages", "part"):
+        source = table(spark, sf_dir, name)
+        try:
+            rows = prepare.canonicalize(source, ids="unique")
+            found.append(rows.agg(F.count("*").alias("reviews")).select(
+                F.lit(name).alias("name"), "reviews", F.lit(None).cast("string").alias("error")))
+        except ValueError as error:
+            found.append(source.agg(F.lit(0).cast("bigint").alias("reviews")).select(
+                F.lit(name).alias("name"), "reviews", F.lit(str(error).split(".")[0]).alias("error")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def bare_reviews(spark, sf_dir):
+    """Turns as reviews that have an id and a text only."""
+    turns = texts(spark, sf_dir, "conversations")
+    return prepare.canonicalize(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("review_id"), "text"))
+
+
+def hook_pipeline(spark, sf_dir):
+    """The whole pipeline with both model hooks in place of the rules."""
+    ship_package(spark)
+    hooks = pipeline.Options(
+        lexicon=LEXICON, extractor=extractor_hook("longest-word", longest_words_model),
+        scorer=scorer_hook("word-count", word_count_model),
+    )
+    found = pipeline.run(canonical(spark, sf_dir), hooks).mentions
+    return found.select("review_id", "product", "sentence_id", "aspect", "aspect_sentiment", "aspect_compound", "doc_sentiment")
+
+
 # -- model hooks ------------------------------------------------------------
 
 def model_labels(spark, sf_dir):
@@ -688,6 +835,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         extraction_scores, sentiment_scores, class_report, confusion, dev_scores, metrics_upsert,
         metrics_versions, metrics_report, gold_xml, bio_label_rows, bio_decode, token_overlaps,
         span_scores, train_dev_split, pair_examples, sentiment_matrix, extraction_matrix,
-        limited_matrix,        classifier_dev_scores, model_labels, model_hook,
+        limited_matrix, classifier_dev_scores, tagger_dev_scores, stored_matrix, exact_split, gold_folder,
+        learned_abbreviations, learned_sentences, nested_metrics, checked_tables, bare_reviews,
+        hook_pipeline, model_labels, model_hook,
     ]
 }
