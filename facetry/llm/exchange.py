@@ -1,6 +1,7 @@
 """Batches of documents that trade packed arrays with groups.
 
-Documents are cut into batches by ranges of ``doc_id``.  A batch sends each group one row
+Documents are cut into batches by ranges of ``doc_id`` where their order counts, and are
+dealt by a hash where it does not.  A batch sends each group one row
 with packed arrays, a group answers each batch with one row, and the answers meet the
 batch's documents again.  The documents are shuffled once (both uses read one exchange);
 a key that many documents share is one entry per batch, so no group sees its copies.
@@ -54,6 +55,18 @@ def batched(
     )
 
 
+def dealt(docs: DataFrame, total_bytes: int, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Adds ``batch`` by a hash of the row and of the task that reads it.
+
+    So neither missing, repeated or clumped ids nor repeated rows gather in a batch: of
+    equal rows only those that one task reads lie together.  The rule is the same at every size.
+    """
+    ship_package(docs.sparkSession)
+    n = max(1, -(-total_bytes // batch_bytes))
+    number = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int")
+    return docs.select("doc_id", "text", number.alias("batch"))
+
+
 def sorted_rows(table: pa.Table) -> pa.RecordBatch:
     """A batch's documents in one fixed order, so that every visit sees the same arrays."""
     table = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])

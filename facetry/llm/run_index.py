@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from facetry.llm.exchange import (
-    batched, by_group, meet, pack_bits, rows_of, sorted_rows, text_bytes, unpack_bits,
+    by_group, dealt, meet, pack_bits, rows_of, sorted_rows, text_bytes, unpack_bits,
 )
 from facetry.llm.kernels import (
     STEP, column_buffers, cover, id_array, ids_of, mix, prefix_sums, ragged, slices, span_hashes,
@@ -278,7 +278,7 @@ def remove_repeated_bytes(
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` for every row."""
     size = text_bytes(docs)
-    docs = batched(docs, size)
+    docs = dealt(docs, size)
     n_groups = max(1, 2 * size // (length - gram) // group_entries)
     n_blocks = max(1, size // group_bytes)
 

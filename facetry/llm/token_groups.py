@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.llm.exchange import (
-    batched, by_group, meet, pack_sorted, rows_of, sorted_rows, text_bytes, unpack_sorted,
+    by_group, dealt, meet, pack_sorted, rows_of, sorted_rows, text_bytes, unpack_sorted,
 )
 from facetry.llm.kernels import (
     column_buffers, grams, id_array, ids_of, keep, mix, positions, slices, whole, word_hashes,
@@ -111,7 +111,7 @@ def spans_of(distinct: np.ndarray, n: int):
 def document_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, shared: int = SHARED) -> DataFrame:
     """A row per document; ``tokens`` and ``prefix`` only where a partner is possible."""
     total = text_bytes(docs)
-    docs = batched(docs, total)
+    docs = dealt(docs, total)
     n_groups = max(1, total // 4 // GROUP_SHINGLES)
 
     def send(table: pa.Table) -> pa.Table:
@@ -302,15 +302,27 @@ def link_documents(
     )
 
 
-def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component stays, the one with the smallest id; all columns stay.
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, pin: bool = True) -> DataFrame:
+    """One row of each component stays, the one with the smallest id; all columns stay.
 
-    Rows with null ids stay, and of repeated rows with the kept id one stays.
+    Rows are told apart by their place, so rows that share an id, or have none, are each
+    judged by their own text: of a component the first row with the smallest id stays (one
+    without an id only if none has one), and a row that links with no other stays always.
+    Places must be the same whenever ``docs`` is read, which a stored table promises; any
+    other is stored first (``pin``).
     """
-    found = link_documents(docs.select("doc_id", "text"), size, percent)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    again = found.where((F.col("n_links") > 0) & (F.col("component_id") == F.col("doc_id"))).groupBy(
-        F.col("doc_id").alias("_again")).count().where(F.col("count") > 1).select("_again")
-    repeated = rest.join(again, rest["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(again, rest["doc_id"] == again["_again"], "left_anti").unionByName(repeated)
+    docs = keep(docs) if pin else docs
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    marked = docs.withColumn(row, F.monotonically_increasing_id())
+    found = link_documents(marked.select(F.col(row).alias("doc_id"), "text"), size, percent)
+    linked = keep(found.where(F.col("n_links") > 0).select(F.col("doc_id").alias("_at"), F.col("component_id").alias("_group")))
+    ids = marked.select(F.col(row).alias("_at"), F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("_order"))
+    first = linked.join(ids, "_at").groupBy("_group").agg(F.min("_order").alias("_first")).select(
+        "_group", F.col("_first")[row].alias("_stays")
+    )
+    gone = lookup_join(linked, first, "_group", "inner").where(F.col("_at") != F.col("_stays")).select(
+        F.col("_at").alias(row)
+    )
+    return marked.join(gone, row, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from facetry.llm import (
-    decontaminate, disclosure, language, packing, run_index, suffix_trees, token_groups, topk, toxicity,
+    decontaminate, disclosure, exchange, language, packing, run_index, suffix_trees, token_groups, topk, toxicity,
 )
 
 SCHEMA = (
@@ -90,8 +90,32 @@ def test_stages(name, stage, spark, odd, none, labels, items, tmp_path):
 
 
 def test_near_duplicates_keep_one(odd):
+    """Of four copies the first with the smallest id stays; rows without words stay."""
     left = [r["doc_id"] for r in token_groups.keep_one(odd).collect()]
-    assert left.count(1) == 1 and 2 not in left and left.count(None) == 2
+    assert left.count(1) == 1 and 2 not in left and left.count(None) == 1 and len(left) == len(rows()) - 3
+
+
+def test_keep_one_judges_rows(spark):
+    """A unique text that shares its id with a copy stays, and so does one of some copies without ids."""
+    other, third = (" ".join(f"{w}{i}" for i in range(40)) for w in ("other", "third"))
+    near = TEXT + " once more"
+    docs = [(1, TEXT, "a"), (2, near, "b"), (2, other, "c"), (None, third, "d"), (None, third + " end", "e"), (5, None, "f"), (5, "", "g"),
+            (7, other, "h"), (2, other, "i")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, _row string").repartition(3, "_row")
+    kept = {r["_row"] for r in token_groups.keep_one(frame).collect()}
+    assert len(kept & {"c", "i"}) == 1 and len(kept & {"d", "e"}) == 1
+    assert kept - {"c", "i", "d", "e"} == {"a", "f", "g"}
+
+
+def test_dealt_batches_have_no_hot_ids(spark):
+    """A third without ids, a third with one id, clumped ids, and repeated rows."""
+    for ids in ([None] * 1000 + list(range(2000)), [7] * 1000 + list(range(2000)),
+                [p * 2**33 + i for p in range(10) for i in range(300)], [i * 10**6 + i // 990 for i in range(3000)]):
+        frame = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id long, text string")
+        sizes = [r["count"] for r in exchange.dealt(frame, 3000, 30).groupBy("batch").count().collect()]
+        assert sum(sizes) == 3000 and max(sizes) <= 70 and len(sizes) == 100
+    same = spark.createDataFrame([(None, "same")] * 3000, "doc_id long, text string").repartition(20)
+    assert max(r["count"] for r in exchange.dealt(same, 3000, 30).groupBy("batch").count().collect()) <= 900
 
 
 def test_packing_covers_every_row(odd, none):
