@@ -1,7 +1,7 @@
 """The cleaning pipeline for a training corpus: documents in, packed token sequences out.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows of the one before.  All but
-the last keep the columns of ``documents``.  SQL cannot express trained scores, so there
+Each stage takes (spark, docs, sf_dir), where ``docs`` is a stored table, and works on all
+rows of the one before.  All but the last keep the columns of ``documents``.  SQL cannot express trained scores, so there
 is no ORACLE_SQL; the stages are tested against brute-force versions.
 
 Empty tables give empty results; null ids and texts pass every filter (see the operators'
@@ -30,7 +30,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with five-word Jaccard similarity of 0.8 or more stays."""
-    return keep_one(docs, size=5, percent=80)
+    return keep_one(docs, size=5, percent=80, pin=False)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
