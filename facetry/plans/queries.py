@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetry.functions.polarity import Lexicon, class_scores, label_sentiment, normalize_label
@@ -18,6 +18,7 @@ from facetry.functions.wordlists import GOLD_FILES, THEME_KEYWORDS
 from facetry.operators import (
     boundaries, evaluation, mentions, nested, prepare, sentiment, summary, themes, training,
 )
+from facetry.operators.context_tags import count_tags, tag_sentences, tagged_terms
 from facetry.operators.models import extractor_hook, scorer_hook
 from facetry.operators.sentences import explode_sentences
 from facetry.operators.spans import first_overlaps
@@ -709,6 +710,42 @@ def gold_folder(spark, sf_dir):
     return reduce(DataFrame.unionByName, loaded)
 
 
+def corpus_tags(spark, sf_dir):
+    """A tagged corpus in the words of the documents; what a short word is depends on the one before."""
+    rows = sentences(spark, sf_dir).select(
+        F.concat_ws("-", "doc_id", "sentence_id").alias("key"), F.col("doc_id"),
+        F.posexplode(tokens(F.col("sentence"))).alias("pos", "token"),
+    )
+    size = F.length("token")
+    before = F.lag(size).over(Window.partitionBy("key").orderBy("pos"))
+    tag = (
+        F.when(~F.col("token").rlike(r"\p{L}"), "SYM").when(size >= 8, "NN").when(size <= 2, "DT")
+        .when(before >= 8, "VB").otherwise("JJ")
+    )
+    return rows.withColumn("tag", tag)
+
+
+def context_tags(spark, sf_dir):
+    """Tags learnt from the even documents, given to the sentences of the odd ones; counts per true and found tag."""
+    corpus = corpus_tags(spark, sf_dir)
+    model = count_tags(corpus.filter("doc_id % 2 = 0"), ["key"])
+    held = sentences(spark, sf_dir).filter("doc_id % 2 = 1").select(
+        F.concat_ws("-", "doc_id", "sentence_id").alias("key"), tokens(F.col("sentence")).alias("_tokens"))
+    found = tag_sentences(held, model, "key").select("key", F.posexplode("tags").alias("pos", "found"))
+    true = corpus.filter("doc_id % 2 = 1").select("key", "pos", "tag")
+    return true.join(found, ["key", "pos"]).groupBy("tag", "found").agg(F.count("*").alias("n"))
+
+
+def context_mentions(spark, sf_dir):
+    """Aspect terms of the odd documents, from noun runs over tags in context."""
+    model = count_tags(corpus_tags(spark, sf_dir).filter("doc_id % 2 = 0"), ["key"])
+    held = sentences(spark, sf_dir).filter("doc_id % 2 = 1").select(
+        F.concat_ws("-", "doc_id", "sentence_id").alias("key"), tokens(F.col("sentence")).alias("_tokens"))
+    tagged = held.join(tag_sentences(held, model, "key"), "key")
+    terms = tagged_terms(F.col("_tokens"), F.col("tags"))
+    return tagged.select("key", F.explode_outer(terms).alias("aspect")).filter(F.col("aspect").isNotNull())
+
+
 def learned_abbreviations(spark, sf_dir):
     """Scores of all words that ever end in a period; those over the threshold are abbreviations."""
     counts = boundaries.period_counts(documents(spark, sf_dir))
@@ -836,7 +873,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         metrics_versions, metrics_report, gold_xml, bio_label_rows, bio_decode, token_overlaps,
         span_scores, train_dev_split, pair_examples, sentiment_matrix, extraction_matrix,
         limited_matrix, classifier_dev_scores, tagger_dev_scores, stored_matrix, exact_split, gold_folder,
-        learned_abbreviations, learned_sentences, nested_metrics, checked_tables, bare_reviews,
+        learned_abbreviations, learned_sentences, context_tags, context_mentions, nested_metrics, checked_tables, bare_reviews,
         hook_pipeline, model_labels, model_hook,
     ]
 }

@@ -35,7 +35,7 @@ def test_registry():
     assert set(ORACLE) <= set(QUERIES) <= set(entry_module.queries())
     assert set(ORACLE) <= set(entry_module.oracle_sql()) <= set(entry_module.queries())
     assert set(QUERIES) - set(ORACLE) == {
-        "theme_clusters", "classifier_dev_scores", "tagger_dev_scores", "stored_matrix",
+        "theme_clusters", "classifier_dev_scores", "tagger_dev_scores", "stored_matrix", "context_tags", "context_mentions",
     }
 
 
