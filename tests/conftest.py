@@ -28,9 +28,9 @@ def sf_dir():
 def sample_reviews(spark):
     return spark.createDataFrame(
         [
-            ("Great screen. Terrible battery life.", 4, "2026-01-01", "PhoneX"),
-            ("The price is too high but the camera is excellent.", 3, "2026-01-15", "PhoneX"),
-            ("Delivery was fast and packaging was great.", 5, "2026-02-01", "PhoneX"),
+            ("Awful zipper on this tent. Good pockets, though!", 2, "2025-11-04", "Dome 3"),
+            ("Our guide hated the poles. We love the awning.", 4, "2025-11-23", "Dome 3"),
+            ("The refund came within a day", 5, "2025-12-09", "Tarp"),
         ],
         "text string, rating int, date string, product string",
     )

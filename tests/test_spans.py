@@ -7,37 +7,37 @@ from facetry.operators.spans import first_overlaps
 
 KINDS = "tokens array<struct<start:int,end:int,special:int>>, spans array<struct<start:int,end:int>>"
 
-OFFSETS = [(0, 0, 1), (0, 3, 0), (4, 11, 0), (12, 16, 0), (17, 22, 0), (0, 0, 1)]
-TEXT = "The battery life rocks"
+TEXT = "Loose hinge pin on day two"
+OFFSETS = [(0, 0, 1), (0, 5, 0), (6, 11, 0), (12, 15, 0), (16, 18, 0), (19, 22, 0), (23, 26, 0)]
 TOKENS = "array<struct<start:int,end:int,special:int>>"
 SPANS = "array<struct<start:int,end:int>>"
 
 
 @pytest.mark.parametrize("spans,expected", [
-    ([(4, 11)], [-100, 0, 1, 0, 0, -100]),
-    ([(4, 16)], [-100, 0, 1, 2, 0, -100]),
-    ([(4, 11), (12, 16)], [-100, 0, 1, 1, 0, -100]),
-    ([(6, 16)], [-100, 0, 1, 2, 0, -100]),
-    ([], [-100, 0, 0, 0, 0, -100]),
-    (None, [-100, 0, 0, 0, 0, -100]),
+    ([(6, 15)], [-100, 0, 1, 2, 0, 0, 0]),
+    ([(0, 5), (6, 15), (19, 26)], [-100, 1, 1, 2, 0, 1, 2]),
+    ([(14, 20)], [-100, 0, 0, 1, 2, 2, 0]),
+    ([(5, 6), (26, 40)], [-100, 0, 0, 0, 0, 0, 0]),
+    ([], [-100] + [0] * 6),
+    (None, [-100] + [0] * 6),
 ])
 def test_labels(one, spans, expected):
     assert one(bio_labels, OFFSETS, spans, schema=[TOKENS, SPANS]) == expected
 
 
 @pytest.mark.parametrize("text,offsets,labels,expected", [
-    (TEXT, OFFSETS, [-100, 0, 1, 2, 0, -100], ["battery life"]),
-    (TEXT, OFFSETS, [-100, 0, 1, 1, 0, -100], ["battery", "life"]),
-    (TEXT, OFFSETS, [-100, 0, 0, 2, 0, -100], ["life"]),
-    ("battery vs battery", [(0, 0, 1), (0, 7, 0), (8, 10, 0), (11, 18, 0), (0, 0, 1)], [-100, 1, 0, 1, -100], ["battery"]),
-    (TEXT, OFFSETS, [1, 0, 0, 0, 0, 2], []),
-    (TEXT, OFFSETS, [-100, 1, -100, 2, 2, -100], ["the", "life rocks"]),
+    (TEXT, OFFSETS, [-100, 0, 1, 2, 0, 0, 0], ["hinge pin"]),
+    (TEXT, OFFSETS, [-100, 1, 1, 2, 0, 0, 1], ["loose", "hinge pin", "two"]),
+    (TEXT, OFFSETS, [-100, 0, 0, 2, 2, 0, 0], ["pin on"]),
+    ("Pin pin cap", [(0, 3, 0), (4, 7, 0), (8, 11, 0)], [1, 1, 0], ["pin"]),
+    (TEXT, OFFSETS, [1, 0, 0, 0, 0, 0, 2], ["two"]),
+    (TEXT, OFFSETS, [-100, 1, -100, 2, 2, 0, 0], ["loose", "pin on"]),
 ])
 def test_decode(one, text, offsets, labels, expected):
     assert one(decode_terms, text, offsets, labels, schema=["string", TOKENS, "array<int>"]) == expected
 
 
-@pytest.mark.parametrize("text", ["The battery  life", " a b ", "", None, "é 😀x yz"])
+@pytest.mark.parametrize("text", ["hinge   pin", " a b ", "", None, "é 😀x yz"])
 def test_offsets(one, text):
     got = one(token_offsets, text)
     assert [(text or "")[t["start"]:t["end"]] for t in got] == (text or "").split()

@@ -17,23 +17,22 @@ def mentions(spark):
     d = lambda m, x: dt.datetime(2026, m, x)
     return spark.createDataFrame(
         [
-            (1, 0, "battery", "battery", "positive", 0.6, "s1", 5.0, d(1, 1), "A"),
-            (2, 0, "battery", "battery", "positive", 0.5, "s2", 5.0, d(1, 15), "A"),
-            (3, 0, "battery", "battery", "negative", -0.7, "s3", 2.0, d(2, 1), "B"),
-            (1, 1, "screen", "screen", "positive", 0.4, "s4", 4.0, d(1, 10), "A"),
-            (1, 2, "screen", "screen", "negative", -0.3, "s5", 3.0, d(2, 5), None),
+            (11, 0, "zipper", "closure", "negative", -0.8, "q1", 1.0, d(3, 3), "tent"),
+            (11, 1, "fabric", "cloth", "neutral", 0.0, "q2", 1.0, d(3, 3), "tent"),
+            (12, 0, "zipper", "closure", "positive", 0.35, "q3", 4.0, d(3, 20), "tent"),
+            (13, 0, "fabric", "cloth", "positive", 0.9, "q4", 5.0, d(4, 2), "bag"),
+            (13, 2, "fabric", "cloth", "positive", 0.7, "q5", 5.0, d(4, 2), "bag"),
+            (14, 0, "zipper", "closure", "negative", -0.2, "q6", 2.0, d(4, 9), None),
+            (15, 0, "fabric", "cloth", "positive", 0.55, "q7", 4.0, d(4, 30), "bag"),
         ],
         SCHEMA,
     )
 
 
 def test_distribution(mentions):
-    dist = {r["aspect"]: r for r in S.aspect_distribution(mentions).collect()}
-    b = dist["battery"]
-    assert (b["mentions"], b["positive"], b["negative"], b["neutral"]) == (3, 2, 1, 0)
-    assert b["net_score"] == pytest.approx(1 / 3) and b["pct_positive"] == pytest.approx(2 / 3)
-    assert dist["screen"]["net_score"] == 0.0
-    assert [r["aspect"] for r in S.aspect_distribution(mentions).collect()] == ["battery", "screen"]
+    found = [(r["aspect"], r["mentions"], r["positive"], r["neutral"], r["negative"], r["net_score"], r["pct_positive"])
+             for r in S.aspect_distribution(mentions).collect()]
+    assert found == [("fabric", 4, 3, 1, 0, 0.75, 0.75), ("zipper", 3, 1, 0, 2, pytest.approx(-1 / 3), pytest.approx(1 / 3))]
 
 
 def test_distribution_edge_rows(spark):
@@ -48,20 +47,19 @@ def test_distribution_edge_rows(spark):
 
 
 def test_loved_and_hated(mentions):
-    assert S.top_loved(mentions).first()["aspect"] == "battery"
-    assert S.top_hated(mentions).first()["aspect"] == "screen"
-    assert [r["aspect"] for r in S.top_loved(mentions, min_mentions=3).collect()] == ["battery"]
+    assert S.top_loved(mentions).first()["aspect"] == "fabric"
+    assert S.top_hated(mentions).first()["aspect"] == "zipper"
+    assert [r["aspect"] for r in S.top_loved(mentions, min_mentions=4).collect()] == ["fabric"]
     assert S.top_loved(mentions, k=1).count() == 1
 
 
 def test_quotes(mentions):
     out = S.representative_quotes(mentions).collect()
     assert [(r["aspect"], r["side"], r["sentence"]) for r in out] == [
-        ("battery", "loved", "s1"), ("battery", "hated", "s3"),
-        ("screen", "loved", "s4"), ("screen", "hated", "s5"),
+        ("fabric", "loved", "q4"), ("fabric", "hated", "q2"), ("zipper", "loved", "q3"), ("zipper", "hated", "q1"),
     ]
     two = S.quotes_of_side(S.representative_quotes(mentions, per_side=2), "loved").collect()
-    assert [r["sentence"] for r in two if r["aspect"] == "battery"] == ["s1", "s2"]
+    assert [r["sentence"] for r in two if r["aspect"] == "fabric"] == ["q4", "q5"]
 
 
 def test_quotes_cut_groups_before_the_shuffle(mentions):
@@ -79,10 +77,10 @@ def test_null_scores_come_last_on_both_sides(spark):
 
 def test_rating_and_time(mentions):
     rated = {(r["rating"], r["aspect_sentiment"]): r["count"] for r in S.sentiment_by_rating(mentions).collect()}
-    assert rated[(5.0, "positive")] == 2 and len(rated) == 4
+    assert rated == {(1.0, "negative"): 1, (1.0, "neutral"): 1, (2.0, "negative"): 1, (4.0, "positive"): 2, (5.0, "positive"): 2}
     months = S.sentiment_over_time(mentions).collect()
-    assert [(r["period"].month, r["positive"], r["neutral"], r["negative"]) for r in months] == [(1, 3, 0, 0), (2, 0, 0, 2)]
-    assert months[0]["period"] == dt.datetime(2026, 1, 1)
+    assert [(r["period"].month, r["positive"], r["neutral"], r["negative"]) for r in months] == [(3, 1, 1, 1), (4, 3, 0, 1)]
+    assert months[0]["period"] == dt.datetime(2026, 3, 1)
     weeks = [r["period"].weekday() for r in S.sentiment_over_time(mentions, "W").collect()]
     assert set(weeks) == {0}
     with pytest.raises(ValueError, match="unknown frequency"):
@@ -100,22 +98,22 @@ def test_empty_inputs(mentions):
 
 def test_mixed(mentions):
     assert S.mixed_review_count(mentions).first()["mixed_reviews"] == 1
-    assert {r["sentence"] for r in S.mixed_rows(mentions).collect()} == {"s1", "s4", "s5"}
+    assert {r["sentence"] for r in S.mixed_rows(mentions).collect()} == {"q1", "q2"}
 
 
 def test_overview(mentions):
     reviews = mentions.select("review_id")
-    assert tuple(S.overview(reviews, mentions).first()) == (3, 5, 2, 1)
-    assert tuple(S.overview(reviews, mentions, approximate=True).first()) == (3, 5, 2, 1)
-    assert tuple(S.run_counts(reviews, mentions, mentions).first()) == (5, 5, 5)
+    assert tuple(S.overview(reviews, mentions).first()) == (5, 7, 2, 1)
+    assert tuple(S.overview(reviews, mentions, approximate=True).first()) == (5, 7, 2, 1)
+    assert tuple(S.run_counts(reviews, mentions, mentions).first()) == (7, 7, 7)
 
 
 def test_long_forms(mentions):
     long = S.distribution_long(mentions).collect()
-    assert len(long) == 6 and long[0]["aspect"] == "screen"
+    assert len(long) == 6 and long[0]["aspect"] == "zipper"
     assert {r["sentiment"] for r in long} == {"positive", "neutral", "negative"}
     assert S.trend_long(mentions).count() == 6
-    assert [r["aspect"] for r in S.net_scores(mentions).collect()] == ["screen", "battery"]
+    assert [r["aspect"] for r in S.net_scores(mentions).collect()] == ["zipper", "fabric"]
 
 
 @pytest.mark.parametrize("partitions", [1, 4, 64])
