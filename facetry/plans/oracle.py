@@ -6,10 +6,12 @@ side works on arrays, so that the two do not share a mistake.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from facetry.functions.terms import DEFAULT_RULES
 from facetry.functions.text import PUNCTUATION, SPACE_CHARS
 from facetry.functions.wordlists import DEFAULT_ABBREVIATIONS, NOISE_TERMS, THEME_KEYWORDS
-from facetry.plans.queries import LEXICON, LONG_WORD, MATRIX_LIMIT, PART_THEMES
+from facetry.plans.queries import LEXICON, LONG_WORD, MATRIX_LIMIT, PART_THEMES, PHRASES
 
 
 def q(text: str) -> str:
@@ -98,7 +100,7 @@ def word_value(w: str, table) -> str:
     return f"(case {' '.join(f'when {w} = {q(k)} then {v!r}::double' for k, v in table.items())} end)"
 
 
-def compound_rows(source: str, keys: str, text: str) -> str:
+def compound_rows(source: str, keys: str, text: str, lexicon=LEXICON) -> str:
     """``keys, compound`` over exploded words with lag windows."""
     bare = f"trim(w, {q(PUNCTUATION)})"
     words = (
@@ -106,15 +108,15 @@ def compound_rows(source: str, keys: str, text: str) -> str:
         f"lambda w: w <> ''), lambda w: case when length({bare}) > 2 then {bare} else w end)"
     )
     rows = explode(source, keys, words, "pos", "w")
-    neg, con = in_list(LEXICON.negations), in_list(LEXICON.contrasts)
-    known = in_list(LEXICON.valence)
+    neg, con = in_list(lexicon.negations), in_list(lexicon.contrasts)
+    known = in_list(lexicon.valence)
     lags = ", ".join(
         f"lag(w, {d}) over o as w{d}, lag(l, {d}) over o as l{d}" for d in (1, 2, 3)
     )
 
     def step(d: int, decay: float) -> str:
         v, low, word = f"v{d - 1}", f"l{d}", f"w{d}"
-        boost = f"coalesce({word_value(low, LEXICON.boosters)}, 0.0)"
+        boost = f"coalesce({word_value(low, lexicon.boosters)}, 0.0)"
         caps = f"(case when {boost} <> 0 and mixed and {word} = upper({word}) and {word} <> lower({word}) then 0.733::double else 0.0 end)"
         return f"""case when {low} is null or {low} in {known} then {v}
             else ({v} + ({boost} + {caps}) * (case when {v} < 0 then -1.0 else 1.0 end)::double * {decay}::double)
@@ -127,8 +129,8 @@ def compound_rows(source: str, keys: str, text: str) -> str:
                 bool_or(w = upper(w) and w <> lower(w)) over p and bool_or(not (w = upper(w) and w <> lower(w))) over p as mixed,
                 min(case when l in {con} then pos end) over p as turn
             from words window o as (partition by {keys} order by pos), p as (partition by {keys})),
-        s0 as (select *, {word_value('l', LEXICON.valence)} as base from flags
-               where l in {known} and l not in {in_list(LEXICON.boosters)}),
+        s0 as (select *, {word_value('l', lexicon.valence)} as base from flags
+               where l in {known} and l not in {in_list(lexicon.boosters)}),
         s1 as (select *, base + (case when mixed and w = upper(w) and w <> lower(w)
                     then (case when base > 0 then 0.733 else -0.733 end) else 0.0 end)::double as v0 from s0),
         s2 as (select *, {step(1, 1.0)} from s1),
@@ -454,6 +456,20 @@ def learned_split() -> str:
         from whole where sentence <> ''"""
 
 
+def joined_phrases() -> str:
+    """``doc_id, text`` with the words of a phrase joined; no phrase of the list can overlap another."""
+    trimmed = f"trim(lower(w || ' ' || lead(w) over (partition by doc_id order by pos)), {q(PUNCTUATION)})"
+    return f"""
+        select d.doc_id, coalesce(string_agg(case when inside then '_' when pos = 0 then '' else ' ' end || w, '' order by pos), '') as text
+        from documents d left join (
+            select *, coalesce(lag(hit) over (partition by doc_id order by pos), false) as inside from (
+                select *, coalesce({trimmed} in {in_list(PHRASES)}, false) as hit
+                from ({explode('documents', 'doc_id', plain_words('text'), 'pos', 'w')}))) using (doc_id)
+        group by d.doc_id"""
+
+
+PHRASE_LEXICON = replace(LEXICON, valence={**LEXICON.valence, **{p.replace(" ", "_"): v for p, v in PHRASES.items()}})
+
 ORACLE: dict[str, str] = {
     "canonical_reviews": CANONICAL,
     "numbered_reviews": f"""
@@ -621,6 +637,7 @@ ORACLE: dict[str, str] = {
         from g where split = 'test' or polarity <> 'conflict'""",
     "learned_abbreviations": f"select * exclude (score), round(score, 6) as score, score >= 0.3 as abbreviation from ({ABBREVIATIONS})",
     "learned_sentences": learned_split(),
+    "doc_sentiment_phrases": compound_rows(f"({joined_phrases()})", "doc_id", "text", PHRASE_LEXICON),
     "nested_metrics": UPSERT,
     "checked_tables": " union all ".join(
         [f"select {q(t)} as name, count(*) filter (regexp_matches(text, {q(f'[^{SPACE}]')})) as reviews, null as error from {t}"

@@ -16,7 +16,7 @@ from facetry.functions.text import bind, tokens
 from facetry.functions.themes import normalize_term
 from facetry.functions.wordlists import GOLD_FILES, THEME_KEYWORDS
 from facetry.operators import (
-    boundaries, evaluation, mentions, nested, prepare, sentiment, summary, themes, training,
+    boundaries, evaluation, mentions, nested, phrases, prepare, sentiment, summary, themes, training,
 )
 from facetry.operators.context_tags import count_tags, tag_sentences, tagged_terms
 from facetry.operators.models import extractor_hook, scorer_hook
@@ -38,6 +38,7 @@ LEXICON = Lexicon(
     negations=["not", "is", "est", "en"],
     contrasts=["and", "et", "und"],
 )
+PHRASES = {"und nicht": 2.1, "is that": -1.2, "of the": 1.7, "de la": -0.9, "un que": 0.7, "in and": 1.1}
 PART_THEMES = {
     "fastening": ["bolt", "rod", "old ri"],
     "flat": ["plate", "anvil"],
@@ -222,6 +223,14 @@ def doc_sentiment_by_table(spark, sf_dir):
 
 # -- pipeline ---------------------------------------------------------------
 
+def doc_sentiment_phrases(spark, sf_dir):
+    """Document scores from a word table and a table of phrases."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    valence = spark.createDataFrame(list(LEXICON.valence.items()), "token string, valence double")
+    known = spark.createDataFrame(list(PHRASES.items()), "phrase string, valence double")
+    return phrases.compound_with_phrases(docs, valence, known, ["doc_id"], lexicon=LEXICON)
+
+
 def pipeline_reviews(spark, sf_dir):
     return pipeline.run(canonical(spark, sf_dir), options()).reviews
 
@@ -863,7 +872,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in [
         canonical_reviews, numbered_reviews, csv_reviews, clean_pages, document_sentences,
         turn_sentences, first_documents, aspect_mentions, term_lists, tag_table_mentions,
-        doc_sentiment, sentence_scores, doc_sentiment_by_table, pipeline_reviews,
+        doc_sentiment, sentence_scores, doc_sentiment_by_table, doc_sentiment_phrases, pipeline_reviews,
         pipeline_mentions, pipeline_mentions_by_table, pipeline_summary, saved_counts, normalized_terms, term_themes,
         part_themes, theme_table_join, theme_clusters, aspect_distribution, theme_distribution,
         top_loved, top_hated, quotes, loved_quotes, sentiment_by_rating, trend_month, trend_week,
