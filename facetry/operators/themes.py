@@ -13,6 +13,9 @@ from facetry.functions.themes import assign_theme, normalize_term
 from facetry.functions.wordlists import THEME_KEYWORDS
 from facetry.operators.joins import lookup_join
 
+# Characters of a keyword that its first lookup asks for.
+HEAD = 3
+
 
 def add_theme_column(
     mentions: DataFrame, aspect_col: str = "aspect", theme_col: str = "theme",
@@ -31,29 +34,42 @@ def assign_themes(
     return add_theme_column(terms, aspect_col, "theme", themes)
 
 
-def match_keywords(terms: DataFrame, keywords: DataFrame) -> DataFrame:
-    """``norm, theme``: best theme of each normalised term by table ``(priority, theme, keyword)``.
+def match_keywords(terms: DataFrame, keywords: DataFrame, keys: Sequence[str] = ("norm",)) -> DataFrame:
+    """``keys, theme``: best theme of the term ``norm`` by table ``(priority, theme, keyword)``.
 
-    "Contains" becomes an equi-join: every term is exploded into its substrings of
-    the lengths keywords have, and a substring equals a keyword exactly when the
-    term contains it.  Terms are distinct here, so the work grows with the
-    vocabulary, not with the mentions.
+    "Contains" becomes two equi-joins, like the first steps down a trie of the keywords.
+    Every position of a term asks for its head, the ``HEAD`` characters that begin there;
+    the table of heads answers with the lengths its keywords have.  Only these lengths are
+    cut out at that position and looked up as keywords.  A term so makes one row per
+    position, whatever lengths the other keywords have, and no term meets a keyword it
+    does not contain.  Keywords shorter than a head have heads of their own length.
     """
     best = keywords.filter(F.length("keyword") > 0).groupBy("keyword").agg(
         F.min(F.struct("priority", "theme")).alias("_best")
     )
-    # One array with a number per keyword length, put into the rows as a subquery.
-    lengths = best.agg(F.collect_set(F.length("keyword")).alias("_lengths")).scalar()
-    words = terms.select("norm").distinct().withColumn("_lengths", lengths)
-    last = lambda n: F.length("norm") - n + 1
-    substrings = F.flatten(F.transform(
-        F.filter("_lengths", lambda n: last(n) >= 1),
-        lambda n: F.transform(
-            F.sequence(F.lit(1), last(n)), lambda at: F.substring(F.col("norm"), at, n)
+    # Rows of this table have a set of lengths, bounded by the longest keyword.
+    heads = best.groupBy(F.substring("keyword", 1, HEAD).alias("_head")).agg(
+        F.collect_set(F.length("keyword")).alias("_lengths")
+    )
+    # From a position near the end, or for short keywords, the shorter heads are asked too.
+    at_position = F.transform(
+        F.sequence(F.lit(1), F.length("norm")),
+        lambda at: F.transform(
+            F.array(*[F.lit(n) for n in range(1, HEAD + 1)]),
+            lambda n: F.struct(at.alias("_at"), F.substring(F.col("norm"), at, n).alias("_head")),
         ),
-    ))
-    pieces = words.select("norm", F.explode_outer(F.array_distinct(substrings)).alias("keyword"))
-    return lookup_join(pieces, best, "keyword", "inner").groupBy("norm").agg(F.min("_best")["theme"].alias("theme"))
+    )
+    asked = terms.filter(F.length("norm") > 0).select(
+        *keys, *(["norm"] if "norm" not in keys else []),
+        F.inline(F.array_distinct(F.flatten(at_position))),
+    )
+    found = lookup_join(asked, heads, "_head", "inner")
+    fitting = F.filter("_lengths", lambda n: (n <= F.length("norm") - F.col("_at") + 1)
+                       & ((n >= HEAD) | (n == F.length("_head"))))
+    pieces = found.select(*keys, F.explode(F.transform(
+        fitting, lambda n: F.substring(F.col("norm"), F.col("_at"), n)
+    )).alias("keyword"))
+    return lookup_join(pieces, best, "keyword", "inner").groupBy(*keys).agg(F.min("_best")["theme"].alias("theme"))
 
 
 def assign_themes_by_table(
@@ -62,16 +78,19 @@ def assign_themes_by_table(
 ) -> DataFrame:
     """Add the theme from a keyword table of any size; the lowest priority wins.
 
-    Themes are found once per distinct term and joined back, with popular aspects dealt
-    over several tasks.
+    Themes are found once per distinct term that has one and joined back, with popular
+    aspects dealt over several tasks.  The mentions are read twice, for their terms and
+    for their rows.
     """
-    terms = mentions.select(F.col(aspect_col)).filter(F.col(aspect_col).isNotNull()).distinct()
-    normal = terms.withColumn("norm", normalize_term(F.col(aspect_col)))
-    matched = normal.join(match_keywords(normal, keywords), "norm", "left")
-    fallback = F.col("norm") if fallback_to_term else F.lit("other")
-    table = matched.select(aspect_col, F.coalesce("theme", fallback).alias(theme_col))
+    terms = mentions.select(F.col(aspect_col).alias("_term")).filter(F.col("_term").isNotNull()).distinct()
+    normal = terms.withColumn("norm", normalize_term(F.col("_term")))
+    table = match_keywords(normal, keywords, ["_term"]).select(
+        F.col("_term").alias(aspect_col), F.col("theme").alias("_theme")
+    )
+    fallback = normalize_term(F.col(aspect_col)) if fallback_to_term else F.lit("other")
     return lookup_join(mentions, table, aspect_col).select(
-        *mentions.columns, theme_col
+        *mentions.columns,
+        F.when(F.col(aspect_col).isNotNull(), F.coalesce("_theme", fallback)).alias(theme_col),
     )
 
 

@@ -28,6 +28,7 @@ from facetry.operators.sentences import explode_sentences
 from facetry.operators.sentiment import add_sentiment, compound_by_table
 from facetry.operators.tagger import Tagger
 from facetry.operators.themes import add_theme_column, assign_themes_by_table
+from facetry.session import use_checkpoint_dir
 from facetry.sources.reviews import load_mentions
 
 
@@ -42,6 +43,11 @@ class Options:
     (priority, theme, keyword) in place of ``themes``, ``abbreviation_table`` (type) in
     place of ``abbreviations``.  ``tagger`` is a trained extractor.  Hooks come before it,
     and it before tables.
+
+    A table step reads its rows twice, to collect their texts and to take the answers, and
+    steps follow each other, so without a cut the first scan is repeated with every step.
+    ``checkpoint`` stores the rows in front of each table step in ``spark.checkpoint.dir``:
+    every row is then worked out once, by a job that runs while the plan is made.
     """
 
     lexicon: Lexicon = DEFAULT_LEXICON
@@ -59,16 +65,27 @@ class Options:
     max_term_words: int = MAX_TERM_WORDS
     positive_from: float = POSITIVE_FROM
     negative_from: float = NEGATIVE_FROM
+    checkpoint: bool = False
+
 
+def stored(rows: DataFrame, options: Options) -> DataFrame:
+    """The rows, behind a checkpoint if the options ask for it."""
+    if not options.checkpoint:
+        return rows
+    use_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()
 
-def per_text(rows: DataFrame, text_col: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+
+def per_text(
+    rows: DataFrame, text_col: str, answer: Callable[[DataFrame], DataFrame], options: Options = Options()
+) -> DataFrame:
     """Add columns that ``answer`` finds for the distinct texts.
 
     It gets ``_key, _text`` and returns ``_key`` with its columns.  The key is a digest, so
     that word rows do not carry their text; ids need not be unique, and a text that many
     rows share is answered once and dealt over several tasks when joined back.
     """
-    keyed = rows.withColumn("_key", F.sha2(F.col(text_col), 256))
+    keyed = stored(rows.withColumn("_key", F.sha2(F.col(text_col), 256)), options)
     texts = keyed.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.first(text_col).alias("_text"))
     answers = answer(texts)
     return lookup_join(keyed, answers, "_key").drop("_key")
@@ -81,7 +98,7 @@ def with_sentiment(rows: DataFrame, text_col: str, prefix: str, options: Options
         return add_sentiment(rows, text_col, *names, options.lexicon, *bounds)
     scored = per_text(rows, text_col, lambda texts: compound_by_table(
         texts, options.valence_table, ["_key"], "_text", options.lexicon
-    ).withColumnRenamed("compound", names[0]))
+    ).withColumnRenamed("compound", names[0]), options)
     known = scored.withColumn(names[0], F.coalesce(names[0], F.lit(0.0)))
     return known.withColumn(names[1], label_sentiment(F.col(names[0]), *bounds))
 
@@ -94,14 +111,15 @@ def scored_reviews(reviews: DataFrame, options: Options = Options()) -> DataFram
 def sentence_rows(scored: DataFrame, options: Options = Options()) -> DataFrame:
     if options.abbreviation_table is None:
         return explode_sentences(scored, abbreviations=options.abbreviations)
-    return learned_sentences(scored, options.abbreviation_table)
+    return learned_sentences(scored, options.abbreviation_table, options=options)
 
 
 def learned_sentences(
-    reviews: DataFrame, abbreviations: DataFrame, text_col: str = "text", id_col: str = "review_id"
+    reviews: DataFrame, abbreviations: DataFrame, text_col: str = "text", id_col: str = "review_id",
+    options: Options = Options(),
 ) -> DataFrame:
     """``explode_sentences`` with a table of abbreviations."""
-    split = per_text(reviews, text_col, lambda texts: sentences_by_table(texts, abbreviations))
+    split = per_text(reviews, text_col, lambda texts: sentences_by_table(texts, abbreviations), options)
     kept = [id_col] + [c for c in reviews.columns if c not in (id_col, text_col)]
     rows = split.select(*kept, F.posexplode_outer("_sentences").alias("sentence_id", "sentence"))
     return rows.filter(F.col("sentence_id").isNotNull())
@@ -115,7 +133,7 @@ def mention_rows(sentences: DataFrame, options: Options = Options()) -> DataFram
         sentences = options.tagger.add_terms(sentences, "sentence", "_terms")
         terms = F.col("_terms")
     elif options.tag_table is not None:
-        sentences = per_text(sentences, "sentence", lambda texts: table_terms(texts, options))
+        sentences = per_text(sentences, "sentence", lambda texts: table_terms(texts, options), options)
         terms = F.col("_terms")
     else:
         terms = aspect_terms(
@@ -130,7 +148,7 @@ def mention_rows(sentences: DataFrame, options: Options = Options()) -> DataFram
             "aspect_sentiment": F.col("_scored.label"), "aspect_compound": F.col("_scored.score"),
         })
     if options.keyword_table is not None:
-        return assign_themes_by_table(mentions, options.keyword_table).select(*MENTION_COLUMNS)
+        return assign_themes_by_table(stored(mentions, options), options.keyword_table).select(*MENTION_COLUMNS)
     return add_theme_column(mentions, themes=options.themes).select(*MENTION_COLUMNS)
 
 
@@ -176,7 +194,7 @@ class Result:
 
 
 def run(reviews: DataFrame, options: Options = Options()) -> Result:
-    """Canonical reviews to reviews, sentences and mentions; nothing is executed yet."""
+    """Canonical reviews to reviews, sentences and mentions; lazy unless ``options.checkpoint``."""
     scored = scored_reviews(reviews, options)
     sentences = sentence_rows(scored, options)
     return Result(scored, sentences, mention_rows(sentences, options), options)

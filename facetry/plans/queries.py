@@ -240,7 +240,7 @@ def pipeline_mentions(spark, sf_dir):
 
 
 def pipeline_mentions_by_table(spark, sf_dir):
-    """The same mentions with all three dictionaries as tables."""
+    """The same mentions with all three dictionaries as tables, stored between the steps."""
     words = document_words(spark, sf_dir).select(F.explode(F.array("term", F.lower("term"))).alias("token")).distinct()
     keywords = [(p, t, k) for p, (t, ks) in enumerate(THEME_KEYWORDS.items()) for k in ks]
     tables = pipeline.Options(
@@ -248,6 +248,7 @@ def pipeline_mentions_by_table(spark, sf_dir):
         valence_table=spark.createDataFrame(list(LEXICON.valence.items()), "token string, valence double"),
         tag_table=words.withColumn("tag", DEFAULT_RULES(F.col("token"))),
         keyword_table=spark.createDataFrame(keywords, "priority int, theme string, keyword string"),
+        checkpoint=True,
     )
     return pipeline.run(canonical(spark, sf_dir), tables).mentions
 

@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from facetry.functions.spans import bio_labels, decode_terms, token_offsets
-from facetry.operators.spans import first_overlaps
+from facetry.operators.spans import CELL, RANGE, filed_places, first_overlaps
 
 KINDS = "tokens array<struct<start:int,end:int,special:int>>, spans array<struct<start:int,end:int>>"
 
@@ -64,7 +65,7 @@ def test_row_form_equals_brute_force(spark):
         spans += gold
     kinds = "sid string, {} int, start int, end int"
     out = first_overlaps(
-        spark.createDataFrame(tokens, kinds.format("pos")), spark.createDataFrame(spans, kinds.format("idx")), ["sid"], cell=16
+        spark.createDataFrame(tokens, kinds.format("pos")), spark.createDataFrame(spans, kinds.format("idx")), ["sid"], cell=16, wide=64
     )
     assert {(r["sid"], r["pos"]): r["span_idx"] for r in out.collect()} == expected
 
@@ -99,3 +100,30 @@ def test_labels_equal_brute_force(spark):
 
 def test_no_tokens_no_labels(one):
     assert one(bio_labels, None, [(0, 1)], schema=[TOKENS, SPANS]) is None
+
+
+def test_a_span_over_a_long_text_costs_one_entry_per_range(spark):
+    n = 200_000
+    tokens = spark.range(n // 10).select(
+        F.lit("t").alias("sid"), F.col("id").cast("int").alias("pos"),
+        (F.col("id") * 10).cast("int").alias("start"), (F.col("id") * 10 + 9).cast("int").alias("end"))
+    spans = spark.createDataFrame(
+        [("t", 7, 0, n), ("t", 3, 15, 150_003), ("t", 5, 4_096, 8_192), ("t", 1, 199_998, n + 50), ("t", 0, 40, 40), ("u", 0, 0, n)],
+        "sid string, idx int, start int, end int")
+    got = {r["pos"]: r["span_idx"] for r in first_overlaps(tokens, spans, ["sid"]).collect()}
+
+    def owner(pos):
+        a, b = pos * 10, pos * 10 + 9
+        return min(i for i, s, e in [(7, 0, n), (3, 15, 150_003), (5, 4_096, 8_192), (1, 199_998, n + 50)] if a < e and b > s)
+
+    assert got == {pos: owner(pos) for pos in range(n // 10)}
+    # Whole ranges and less than one range of cells at each end.
+    assert filed_places(spans.filter("sid = 't' and idx = 7"), ["sid"]).count() <= n // RANGE + RANGE // CELL
+
+
+def test_no_spans_and_no_tokens(spark):
+    kinds = "sid string, {} int, start int, end int"
+    tokens = spark.createDataFrame([("a", 0, 0, 4), ("a", 1, 4, 4), (None, 2, None, 3)], kinds.format("pos"))
+    none = spark.createDataFrame([], kinds.format("idx"))
+    assert sorted((r["pos"], r["span_idx"]) for r in first_overlaps(tokens, none, ["sid"]).collect()) == [(0, None), (1, None), (2, None)]
+    assert first_overlaps(tokens.limit(0), none, ["sid"]).count() == 0

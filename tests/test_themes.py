@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from facetry.functions.themes import assign_theme, normalize_term
 from facetry.functions.wordlists import THEME_KEYWORDS
@@ -53,3 +56,28 @@ def test_table_form_equals_inline_form(spark):
 def test_distinct_mapping(spark):
     rows = spark.createDataFrame([("display",), ("display",), ("widget",)], "aspect string")
     assert {tuple(r) for r in assign_themes(rows).collect()} == {("display", "screen"), ("widget", "widget")}
+
+
+def test_many_keywords_equal_brute_force(spark):
+    rng = random.Random(3)
+    letters = "ab c"
+    keywords = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(300)} | {"", "héß", "bo"})
+    table = [(rng.randrange(40), f"t{rng.randrange(9)}", k) for k in keywords for _ in range(rng.choice([1, 1, 2]))]
+    terms = ["".join(rng.choice("abcxyz ") for _ in range(rng.randint(0, 14))) for _ in range(400)] + ["xxhéßxx", "BOX", "a" * 500]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "norm int, aspect string")
+    known = spark.createDataFrame(table, "priority int, theme string, keyword string")
+    normal = {r["norm"]: r["n"] for r in rows.select("norm", normalize_term(rows["aspect"]).alias("n")).collect()}
+    got = assign_themes_by_table(rows, known, fallback_to_term=False)
+    assert got.columns == ["norm", "aspect", "theme"]
+    for r in got.collect():
+        hits = [(p, t) for p, t, k in table if k and k in normal[r["norm"]]]
+        assert r["theme"] == (min(hits)[1] if hits else "other"), r
+
+
+def test_a_large_keyword_table(spark):
+    known = spark.range(100_000).select(
+        F.lit(1).alias("priority"), F.concat(F.lit("t"), F.col("id") % 7).alias("theme"), F.concat(F.lit("key"), F.col("id"), F.lit("x")).alias("keyword"))
+    rows = spark.range(2_000).select(F.concat(F.lit("old key"), F.col("id") * 50, F.lit("x part")).alias("aspect"), "id")
+    got = assign_themes_by_table(rows, known)
+    assert got.count() == 2_000
+    assert got.filter(F.col("theme") != F.concat(F.lit("t"), F.col("id") * 50 % 7)).count() == 0
