@@ -552,6 +552,10 @@ ORACLE: dict[str, str] = {
             cast(count(*) filter (event_type is distinct from 'purchase' and event_type is distinct from 'error') as bigint) as neutral,
             cast(count(*) filter (event_type = 'error') as bigint) as negative
         from events where ts is not null group by 1""",
+    "overview_stream": """
+        select count(*) as reviews, cast(sum(n) as bigint) as mentions, cast(count(*) filter (kinds > 1) as bigint) as mixed_reviews
+        from (select user_id, count(*) as n, count(distinct event_type) filter (event_type in ('purchase', 'error')) as kinds
+              from events where user_id is not null group by 1)""",
     "extraction_scores": extraction(
         f"select lang as dataset, 'long' as model, doc_id || '-' || sentence_id as sid, term from ({term_rows(f'({SENTENCES})', 'lang, doc_id, sentence_id', 'sentence', default_noun)})",
         f"select lang as dataset, 'long' as model, doc_id || '-' || sentence_id as sid, term from ({term_rows(f'({SENTENCES})', 'lang, doc_id, sentence_id', 'sentence', long_noun)})",

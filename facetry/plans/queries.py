@@ -27,6 +27,7 @@ from facetry.plans import evaluate, pipeline
 from facetry.session import ship_package
 from facetry.sources import gold, models, results, reviews
 from facetry.streaming.mentions import read_trend, store_trend, weekly_trend
+from facetry.streaming.opinions import opinion_changes, read_overview, store_overview
 
 # Stand-in dictionaries in the words of the test documents.
 LEXICON = Lexicon(
@@ -407,6 +408,18 @@ def trend_stream(spark, sf_dir):
     return read_trend(spark, folder).withColumn("period", F.col("period").cast("timestamp_ntz"))
 
 
+def overview_stream(spark, sf_dir):
+    """Reviews, mentions and mixed reviews of the event stream, users as reviews, from each batch's changes."""
+    ship_package(spark)
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    label = F.when(F.col("event_type") == "purchase", "positive").when(F.col("event_type") == "error", "negative")
+    rows = stream.select(F.col("user_id").alias("review_id"), label.alias("aspect_sentiment"))
+    folder = scratch(spark)
+    store_overview(opinion_changes(rows), folder).trigger(availableNow=True).start().awaitTermination()
+    return read_overview(spark, folder)
+
+
 # -- evaluation -------------------------------------------------------------
 
 def term_rows(spark, sf_dir, extractor, model):
@@ -878,7 +891,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         part_themes, theme_table_join, theme_clusters, aspect_distribution, theme_distribution,
         top_loved, top_hated, quotes, loved_quotes, sentiment_by_rating, trend_month, trend_week,
         trend_quarter, trend_long, mixed_review_count, mixed_rows, overview, filtered_mentions,
-        product_facets, rating_facet, distribution_long, net_scores, trend_stream,
+        product_facets, rating_facet, distribution_long, net_scores, trend_stream, overview_stream,
         extraction_scores, sentiment_scores, class_report, confusion, dev_scores, metrics_upsert,
         metrics_versions, metrics_report, gold_xml, bio_label_rows, bio_decode, token_overlaps,
         span_scores, train_dev_split, pair_examples, sentiment_matrix, extraction_matrix,
