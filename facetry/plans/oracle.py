@@ -470,6 +470,26 @@ def joined_phrases() -> str:
 
 PHRASE_LEXICON = replace(LEXICON, valence={**LEXICON.valence, **{p.replace(" ", "_"): v for p, v in PHRASES.items()}})
 
+# -- term vectors -----------------------------------------------------------
+
+VECTORS = f"""
+    with pairs as (
+        select distinct doc_id as c, term as t from ({term_rows(f'({SENTENCES})', 'doc_id, sentence_id', 'sentence', default_noun)})),
+    marks as (
+        select t, n % 64 as dim, case when (n // 64) % 2 = 0 then 1 else -1 end as sign
+        from (select t, cast('0x' || substr(md5(t), 1 + 6 * j, 6) as bigint) as n
+              from (select distinct t from pairs) cross join range(4) r(j))),
+    sizes as (select c, case when count(*) > 1 then 1024 // (count(*) - 1) else 0 end as w from pairs group by 1),
+    totals as (select c, dim, sum(sign) as s from pairs join marks using (t) group by all),
+    terms as (select t, count(*) as contexts, sum(w) as w from pairs join sizes using (c) group by 1 having count(*) >= 2),
+    shared as (select t, dim, sum(w * s) as v from pairs join sizes using (c) join totals using (c) group by all),
+    own as (select t, dim, sum(sign) as s from marks group by all),
+    cells as (
+        select t, contexts, dim, cast(coalesce(v, 0) - w * coalesce(s, 0) as bigint) as v
+        from terms cross join range(64) d(dim) left join shared using (t, dim) left join own using (t, dim))
+    select t as aspect, contexts, string_agg(v, ',' order by dim) as sums, max(abs(v)) > 0 as meets_others from cells group by 1, 2"""
+
+
 ORACLE: dict[str, str] = {
     "canonical_reviews": CANONICAL,
     "numbered_reviews": f"""
@@ -514,6 +534,10 @@ ORACLE: dict[str, str] = {
     "theme_table_join": f"""
         select review_id, sentence_id, aspect, coalesce({theme_case('n', PART_THEMES)}, 'other') as theme
         from (select *, {normal('aspect')} as n from ({MENTIONS}))""",
+    "aspect_vectors": f"select aspect, contexts, sums from ({VECTORS})",
+    "learned_theme_checks": f"""
+        select count(*) filter (meets_others) as terms, count(*) filter (meets_others) as with_theme, 0 as misnamed, 0 as split_clusters
+        from ({VECTORS})""",
     "aspect_distribution": distribution("aspect"),
     "theme_distribution": distribution("theme"),
     "top_loved": f"select * from ({distribution('aspect')}) where mentions >= 2 order by net_score desc, mentions desc, aspect limit 8",

@@ -16,7 +16,7 @@ from facetry.functions.text import bind, tokens
 from facetry.functions.themes import normalize_term
 from facetry.functions.wordlists import GOLD_FILES, THEME_KEYWORDS
 from facetry.operators import (
-    boundaries, evaluation, mentions, nested, phrases, prepare, sentiment, summary, themes, training,
+    boundaries, evaluation, mentions, nested, phrases, prepare, sentiment, summary, term_vectors, themes, training,
 )
 from facetry.operators.context_tags import count_tags, tag_sentences, tagged_terms
 from facetry.operators.models import extractor_hook, scorer_hook
@@ -304,6 +304,29 @@ def theme_clusters(spark, sf_dir):
     )
 
 
+def vectors_of_terms(spark, sf_dir) -> DataFrame:
+    return term_vectors.term_vectors(aspect_mentions(spark, sf_dir), "doc_id")
+
+
+def aspect_vectors(spark, sf_dir):
+    """Vectors of the documents' aspect terms from the terms they share documents with."""
+    return vectors_of_terms(spark, sf_dir).select("aspect", "contexts", F.array_join("sums", ",").alias("sums"))
+
+
+def learned_theme_checks(spark, sf_dir):
+    """Themes clustered from the documents: terms, those with a theme, themes not called after their most frequent term."""
+    found = term_vectors.cluster_terms(vectors_of_terms(spark, sf_dir), ks=(4, 8)).terms
+    per_theme = found.groupBy("cluster", "theme").agg(
+        F.count("*").alias("n"), F.max("contexts").alias("top"),
+        F.max(F.when(F.col("aspect") == F.col("theme"), F.col("contexts"))).alias("own"),
+    )
+    return per_theme.agg(
+        F.sum("n").alias("terms"), F.sum(F.when(F.col("theme").isNotNull(), F.col("n"))).alias("with_theme"),
+        F.count_if(~F.col("own").eqNullSafe(F.col("top"))).alias("misnamed"),
+        (F.count("*") - F.count_distinct("cluster")).alias("split_clusters"),
+    )
+
+
 # -- summaries --------------------------------------------------------------
 
 def aspect_distribution(spark, sf_dir):
@@ -888,7 +911,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         turn_sentences, first_documents, aspect_mentions, term_lists, tag_table_mentions,
         doc_sentiment, sentence_scores, doc_sentiment_by_table, doc_sentiment_phrases, pipeline_reviews,
         pipeline_mentions, pipeline_mentions_by_table, pipeline_summary, saved_counts, normalized_terms, term_themes,
-        part_themes, theme_table_join, theme_clusters, aspect_distribution, theme_distribution,
+        part_themes, theme_table_join, theme_clusters, aspect_vectors, learned_theme_checks, aspect_distribution, theme_distribution,
         top_loved, top_hated, quotes, loved_quotes, sentiment_by_rating, trend_month, trend_week,
         trend_quarter, trend_long, mixed_review_count, mixed_rows, overview, filtered_mentions,
         product_facets, rating_facet, distribution_long, net_scores, trend_stream, overview_stream,
