@@ -165,9 +165,12 @@ def identify(docs: DataFrame, model) -> DataFrame:
 
 
 def identify_language(docs: DataFrame, parts: int = 3, held_out: int = 1) -> DataFrame:
-    """Learn from the folds other than ``held_out``, predict every row."""
+    """Learn from the folds other than ``held_out``, predict every row.
+
+    Rows without an id are never learnt from and count as held out.
+    """
     learn = docs.select("doc_id", "text", "lang").where(fold(F.col("doc_id"), parts) != held_out)
     return identify(docs, train(learn)).select(
-        "doc_id", (fold(F.col("doc_id"), parts) == held_out).alias("held_out"),
+        "doc_id", F.coalesce(fold(F.col("doc_id"), parts) == held_out, F.lit(True)).alias("held_out"),
         "lang_pred", "score", "rejected",
     )

@@ -156,10 +156,13 @@ def add_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFra
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 5) -> DataFrame:
-    """``doc_id, held_out, score, predicted``; rows of fold 0 are never learnt from."""
+    """``doc_id, held_out, score, predicted``; rows of fold 0 are never learnt from.
+
+    Neither are rows without an id, which count as held out.
+    """
     model = train(docs, labels.where(fold(F.col("doc_id"), held_out) != 0))
     return add_scores(docs, model).select(
-        "doc_id", (fold(F.col("doc_id"), held_out) == 0).alias("held_out"), "score", "predicted"
+        "doc_id", F.coalesce(fold(F.col("doc_id"), held_out) == 0, F.lit(True)).alias("held_out"), "score", "predicted"
     )
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from facetry.llm import (
-    decontaminate, disclosure, exchange, language, packing, run_index, suffix_trees, token_groups, topk, toxicity,
+    decontaminate, disclosure, exchange, language, packing, revisits, run_index, suffix_trees, token_groups, topk, toxicity,
 )
 
 SCHEMA = (
@@ -127,6 +127,36 @@ def test_packing_covers_every_row(odd, none):
 def test_decontaminate_odd(odd, none, items):
     assert decontaminate.find_overlaps(odd, items).count() == 0
     assert decontaminate.find_overlaps(none, items.limit(0)).count() == 0
+    # Rows with the planted text overlap it, those without an id do not.
+    planted = odd.sparkSession.createDataFrame([(9, TEXT)], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontaminate.find_overlaps(odd, planted).collect()) == [1, 2, 2]
+
+
+def test_rows_without_an_id_are_held_out(odd, labels):
+    for frame in (toxicity.score_toxicity(odd, labels), language.identify_language(odd)):
+        assert all(r["held_out"] for r in frame.filter("doc_id is null").collect())
+        assert frame.filter("held_out is null").count() == 0
+
+
+def test_revisits_odd(spark):
+    head = {"ETag": "W/\"a\"", "Server": "s"}
+    rows = [
+        (1, "http://a.b/x", "2024-01-01", "response", head), (2, "http://a.b/x", "2024-01-03", "REVISIT", {"etag": '"a"'}),
+        (2, "http://a.b/x", "2024-01-03", "REVISIT", {"etag": '"a"'}), (3, "http://a.b/x", "2024-01-01", "revisit", {"etag": '"a"'}),
+        (4, "http://a.b/x", "2024-01-04", "revisit", None), (5, None, "2024-01-04", "revisit", {}), (6, "http://a.b/x", None, "revisit", {}),
+        (7, "", "2024-01-04", "revisit", {}), (None, "http://a.b/x", "2024-01-02", "response", head), (8, "http://a.b/x", "2024-01-05", None, None),
+        (9, "http://a.b/" + "y" * 100_000, "2024-01-05", "revisit", None), (None, "http://a.b/x", "2024-01-06", "revisit", {"etag": "b"}),
+    ]
+    schema = "record_id long, url string, day string, kind string, headers map<string,string>"
+    frame = spark.createDataFrame(rows, schema).withColumn("ts", F.col("day").cast("timestamp")).withColumns(
+        {"c": F.lit(1), "rid": F.lit("x"), "status": F.lit(2), "earlier": F.lit(3), "response_id": F.lit(4)})
+    got = sorted(((r["revisit_id"], r["status"], r["response_id"]) for r in revisits.resolve_revisits(frame).collect()), key=str)
+    # Same time is not earlier; a repeated revisit gives its rows; a response without an id answers nothing.
+    assert got == sorted([
+        (2, "resolved", 1), (2, "resolved", 1), (3, "no_response", None), (4, "unchecked", 1), (5, "incomplete", None),
+        (6, "incomplete", None), (7, "incomplete", None), (9, "no_response", None), (None, "mismatch", 1),
+    ], key=str)
+    assert revisits.resolve_revisits(frame.limit(0)).count() == 0
 
 
 def test_top_k_odd(spark):

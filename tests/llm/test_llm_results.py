@@ -10,10 +10,12 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from facetry.llm import decontaminate, disclosure, packing, run_index, suffix_trees, token_groups
 from facetry.llm.exchange import batched
+from facetry.llm.kernels import column_buffers
 from facetry.llm.oracle import ORACLE
 from facetry.llm.queries import QUERIES
 
@@ -244,3 +246,28 @@ def test_visitors_are_dealt(spark, monkeypatch):
     guests = seats[~seats["member"]].groupby(["grp", "part"]).size()
     assert guests.sum() == 400 and guests.max() < 80 and len(guests) == 10
     assert (seats[seats["member"]].groupby(["grp", "part"]).size() == 8).all()
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_every_allowed_pattern_is_found(similarity):
+    """Short items in long texts, short texts cut from long items, and full windows."""
+    def alike(n):
+        return next(s for s in range(n + 1) if s >= similarity * n)
+
+    def found(item, text):
+        block = decontaminate.Items([(1, " ".join(item))], similarity)
+        data, offsets = column_buffers(pa.array([" ".join(text)]))
+        return bool(list(decontaminate.overlaps_in(block, data, offsets, similarity)))
+
+    rest = [f"q{i}" for i in range(20)]
+    for n in (1, 2, 4, 5, 6, 8, 10, 12, 13):
+        item = [f"w{i}" for i in range(n)]
+        for misses in range(n - alike(n) + 2):
+            for gaps in combinations(range(n), misses):
+                text = [f"x{i}" if i in gaps else w for i, w in enumerate(item)]
+                expected = misses <= n - alike(n)
+                assert found(item, rest + text + rest[::-1]) == expected, (n, gaps)
+                if n >= decontaminate.SHORTEST:
+                    assert found(rest + item + rest[::-1], text) == expected, (n, gaps)
+                elif n < 5:
+                    assert not found(rest + item + rest[::-1], text)
