@@ -6,7 +6,10 @@ sample gives ``CLUSTERS`` centroids; a text gets the language of the centroid wi
 largest cosine.  The distance to it decides about rejection: beyond the ``REJECT``
 quantile of the training distances of that language the row is flagged ``rejected``.
 Document frequencies are counted over all training documents; the centroids use at
-most ``SAMPLE_ROWS`` texts of each language, in the order of a hash of their id.
+most ``SAMPLE_ROWS`` texts of each language, in the order of a hash of their id.  Only
+ids whose hash is below a threshold are ranked: it lets about ``SPARE * SAMPLE_ROWS``
+distinct ids of a language through, however many there are.  Of the texts of one id and
+language the least is learnt from.
 
 Null texts and texts without a letter get ``und`` and score 0.  Without training rows
 every text gets ``und``.  Repeated rows are scored one by one.
@@ -26,7 +29,8 @@ from facetry.llm.toxicity import fold
 BITS = 12
 DIMENSIONS = 1 << BITS
 SAMPLE_ROWS = 1_500
-SHARES = 16
+SPARE = 4
+BLOCK_ROWS = 512
 CLUSTERS = 3
 REJECT = 0.999
 TURNS = 12
@@ -59,6 +63,13 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total.reshape(rows, DIMENSIONS)
 
 
+def count_blocks(data: np.ndarray, offsets: np.ndarray):
+    """First row and counts of every ``BLOCK_ROWS`` rows, so that short texts make no large matrix."""
+    for row in range(0, len(offsets) - 1, BLOCK_ROWS):
+        cut = offsets[row : row + BLOCK_ROWS + 1]
+        yield row, counts(data[cut[0] : cut[-1]], cut - cut[0])
+
+
 def vectors(matrix: np.ndarray, idf: np.ndarray) -> np.ndarray:
     weighted = np.log1p(matrix) * idf
     norm = np.linalg.norm(weighted, axis=1, keepdims=True)
@@ -81,7 +92,9 @@ def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarra
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def frequency(batch):
-        seen = (counts(*column_buffers(batch.column("text"))) > 0).sum(0).astype(np.int64)
+        seen = np.zeros(DIMENSIONS, np.int64)
+        for _, block in count_blocks(*column_buffers(batch.column("text"))):
+            seen += (block > 0).sum(0)
         slots = np.append(np.arange(DIMENSIONS), DIMENSIONS)
         yield pa.RecordBatch.from_arrays(
             [pa.array(slots), pa.array(np.append(seen, batch.num_rows))], ["slot", "n"]
@@ -95,23 +108,36 @@ def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarra
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + 1
 
     # Rank ids first: no text travels for rows outside the sample.
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_ids"))  # a row per language
     order = F.xxhash64("doc_id")
-    # A share of the ids at a time, so that the last ranking has at most SHARES * SAMPLE_ROWS.
-    per_share = Window.partitionBy("lang", "_share").orderBy("_order", "doc_id")
-    per_language = Window.partitionBy("lang").orderBy("_order", "doc_id")
+    share = (order / F.lit(2.0**64)) + 0.5  # the hash on a scale of 0 to 1
     sample_ids = (
-        rows.select("doc_id", "lang", order.alias("_order"), F.pmod(order, F.lit(SHARES)).alias("_share"))
-        .withColumn("_rank", F.row_number().over(per_share))
-        .where(F.col("_rank") <= SAMPLE_ROWS)
-        .withColumn("_rank", F.row_number().over(per_language))
-        .where(F.col("_rank") <= SAMPLE_ROWS).select("doc_id", "lang").distinct()
+        rows.select("doc_id", "lang", order.alias("_order"), share.alias("_share"))
+        .join(F.broadcast(sizes), "lang")
+        .where(F.col("_share") * F.col("_ids") <= SPARE * SAMPLE_ROWS)
+        .select("doc_id", "lang", "_order").distinct()
+        .withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "doc_id")))
+        .where(F.col("_rank") <= SAMPLE_ROWS).select("doc_id", "lang")
+    )
+    sample = rows.join(sample_ids, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(
+        F.min("text").alias("text")
     )
-    sample = rows.join(sample_ids, ["doc_id", "lang"], "left_semi")
+
+    def vector(batch):
+        for row, block in count_blocks(*column_buffers(batch.column("text"))):
+            cut = batch.slice(row, len(block))
+            yield pa.RecordBatch.from_arrays(
+                [cut.column("doc_id"), cut.column("lang"),
+                 pa.array([v.tobytes() for v in vectors(block, idf)], pa.binary())],
+                ["doc_id", "lang", "vector"],
+            )
+
+    # A vector has one size, whatever its text's; so has the sample of a language.
+    sampled = scan(sample, ["doc_id", "lang", "text"], vector, "doc_id long, lang string, vector binary")
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("doc_id").sort_values("doc_id", kind="stable")
-        texts = pa.array(frame["text"], pa.string())
-        x = vectors(counts(*column_buffers(texts)), idf)
+        frame = frame.sort_values("doc_id", kind="stable")
+        x = np.frombuffer(b"".join(frame["vector"]), np.float32).reshape(len(frame), DIMENSIONS)
         x = x[np.linalg.norm(x, axis=1) > 0]
         if not len(x):
             return pd.DataFrame({"lang": [], "centroid": [], "limit": []})
@@ -130,7 +156,7 @@ def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarra
             "lang": frame["lang"].iloc[0], "centroid": list(centers.astype(np.float32)), "limit": limit,
         })
 
-    found = sample.select("doc_id", "lang", "text").groupBy("lang").applyInPandas(
+    found = sampled.groupBy("lang").applyInPandas(
         cluster, "lang string, centroid array<float>, limit double"
     ).collect()  # CLUSTERS rows per language
     found.sort(key=lambda r: (r["lang"], list(r["centroid"])))
@@ -150,9 +176,11 @@ def identify(docs: DataFrame, model) -> DataFrame:
         score = np.zeros(batch.num_rows)
         rejected = np.ones(batch.num_rows, bool)
         if len(names):
-            cosine = vectors(counts(data, offsets), idf) @ centers.T
-            best = cosine.argmax(1)
-            top = cosine[np.arange(len(best)), best]
+            best, top = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for row, block in count_blocks(data, offsets):
+                cosine = vectors(block, idf) @ centers.T
+                best[row : row + len(block)] = cosine.argmax(1)
+                top[row : row + len(block)] = cosine.max(1)
             lang[ok] = np.array(names, object)[best[ok]]
             score[ok] = np.clip((1 + top[ok]) / 2, 0, 1)
             rejected[ok] = 1 - top[ok] > limits[best[ok]]
