@@ -30,8 +30,8 @@ from facetry.session import ship_package
 
 K = 10
 SCALE = 1024
-BLOCK_ROWS = 8192
-QUERY_ROWS = 128
+BLOCK_VALUES = 1 << 21  # components of a block: 16 MB
+QUERY_ROWS = 512
 STEP = 128
 POSSIBLE = 256
 
@@ -105,8 +105,8 @@ def integers(vectors: DataFrame) -> DataFrame:
     )
 
 
-def block_count(rows: DataFrame, size: int) -> int:
-    return max(1, -(-rows.count() // size))
+def block_count(amount: Column, rows: DataFrame, size: int) -> int:
+    return max(1, -(-(rows.agg(F.sum(amount)).first()[0] or 0) // size))
 
 
 def packed(rows: DataFrame, n: int, name: str) -> DataFrame:
@@ -120,7 +120,10 @@ def packed(rows: DataFrame, n: int, name: str) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best candidates of each query."""
     ship_package(vectors.sparkSession)
-    n_blocks, n_asks = block_count(vectors, BLOCK_ROWS), block_count(queries, QUERY_ROWS)
+    n_blocks, n_asks = (
+        block_count(F.size(F.coalesce("embedding", F.array())), vectors, BLOCK_VALUES),
+        block_count(F.lit(1), queries, QUERY_ROWS),
+    )
     blocks = packed(integers(vectors), n_blocks, "block")
     asked = packed(integers(queries).dropDuplicates(["vec_id", "v"]), n_asks, "ask")
 
