@@ -9,7 +9,8 @@ the number of features in the bounded sample).  Gradients of toxic rows weigh
 of the sample trains alone and the weights are averaged.
 
 Rows of the training sample: labelled documents in the order of a hash of their id, at
-most ``SAMPLE_ROWS``.  Scoring reads every text in full.
+most ``SAMPLE_ROWS``, and no further one once those before it have ``SAMPLE_FEATURES``
+features, so that long texts do not make the sample large.  Scoring reads every text in full.
 
 Empty and null texts get the score of a text without known features.  Labels that are
 null or that have no document are ignored; of several labels of one id the largest
@@ -21,16 +22,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.llm.kernels import (
-    NOT_WORD, STEP, column_buffers, mix, positions, scan, word_hashes,
+    NOT_WORD, STEP, column_buffers, keep, mix, positions, scan, word_hashes,
 )
 
 BITS = 22
 DIMENSIONS = 1 << BITS
 SAMPLE_ROWS = 16_000
+SAMPLE_FEATURES = 1 << 26
 SHARDS = 1
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.5
@@ -82,6 +84,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tu
 
 def train(
     docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, shards: int = SHARDS,
+    sample_features: int = SAMPLE_FEATURES,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Non-zero weights (index, value) from the labelled documents in ``labels`` (doc_id, toxic)."""
     picked = (
@@ -115,9 +118,17 @@ def train(
         kept = np.flatnonzero(w)
         return pd.DataFrame({"feature": feature[kept], "weight": w[kept]})
 
-    parts = sparse.groupBy(F.pmod(F.col("_order"), F.lit(shards)).alias("shard"))
+    # Stored once: the texts are read for their features, and the features for their number.
+    sparse = keep(sparse.withColumn("shard", F.pmod(F.col("_order"), F.lit(shards))))
+    before = Window.partitionBy("shard").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    kept = (
+        sparse.groupBy("shard", "_order", "doc_id").agg(F.sum(F.size("features")).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .where(F.col("_before") < sample_features).select("doc_id")
+    )
     found = (
-        parts.applyInPandas(fit, "feature long, weight double")
+        sparse.join(F.broadcast(kept), "doc_id", "left_semi").groupBy("shard")
+        .applyInPandas(fit, "feature long, weight double")
         .groupBy("feature").agg((F.sum("weight") / shards).alias("weight")).orderBy("feature").toPandas()
     )
     return found["feature"].to_numpy(np.int64), found["weight"].to_numpy(float)
