@@ -58,6 +58,35 @@ def extraction_scores(gold: DataFrame, pred: DataFrame, keys: Sequence[str] = ()
         F.count_if(p & ~g).alias("false_positives"),
         F.count_if(g & ~p).alias("false_negatives"),
     )
+    return _term_metrics(counts, keys)
+
+
+def array_scores(rows: DataFrame, gold: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``extraction_scores`` of two term arrays in the row of their sentence, plus ``n_sentences``.
+
+    A row is a sentence.  The sets are compared in the row, so that counts per group are
+    all that is shuffled.
+    """
+    def distinct_terms(name: str) -> Column:
+        terms = F.transform(F.col(name), lambda t: F.lower(strip(t.cast("string"))))
+        return F.coalesce(F.array_distinct(F.filter(terms, lambda t: t != "")), F.array().cast("array<string>"))
+
+    sets = rows.select(*keys, distinct_terms(gold).alias("_gold"), distinct_terms(pred).alias("_pred"))
+    sizes = sets.select(
+        *keys, F.size("_gold").alias("_g"), F.size("_pred").alias("_p"),
+        F.size(F.array_intersect("_gold", "_pred")).alias("_both"),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counts = sizes.groupBy(*keys).agg(
+        total(F.col("_both")).alias("true_positives"),
+        total(F.col("_p") - F.col("_both")).alias("false_positives"),
+        total(F.col("_g") - F.col("_both")).alias("false_negatives"),
+        F.count("*").alias("n_sentences"),
+    )
+    return _term_metrics(counts, keys, ["n_sentences"])
+
+
+def _term_metrics(counts: DataFrame, keys: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
     tp, fp, fn = (F.col(c) for c in ("true_positives", "false_positives", "false_negatives"))
     scored = counts.withColumn("_p", _ratio(tp, tp + fp)).withColumn("_r", _ratio(tp, tp + fn))
     return scored.select(
@@ -65,7 +94,7 @@ def extraction_scores(gold: DataFrame, pred: DataFrame, keys: Sequence[str] = ()
         F.round("_p", 4).alias("precision"), F.round("_r", 4).alias("recall"),
         F.round(_f1(F.col("_p"), F.col("_r")), 4).alias("f1"),
         "true_positives", "false_positives", "false_negatives",
-        (tp + fn).alias("n_gold_terms"), (tp + fp).alias("n_pred_terms"),
+        (tp + fn).alias("n_gold_terms"), (tp + fp).alias("n_pred_terms"), *more,
     )
 
 
@@ -89,20 +118,25 @@ def _class_f1(i: int) -> tuple[Column, Column, Column]:
 
 def sentiment_scores(
     pairs: DataFrame, keys: Sequence[str] = (), labels: Sequence[str] = CLASS_ORDER,
-    observed_only: bool = False,
+    observed_only: bool = False, expected: DataFrame | None = None,
 ) -> DataFrame:
     """``n, accuracy, macro_f1`` of columns ``y_true, y_pred``; no rows is an error.
 
+    ``expected`` has the ``keys`` of the groups asked for: those are scored, and one of
+    them without rows is an error too.
+
     The macro average is over the given labels, or with ``observed_only`` over those
     that occur on either side.  Labels outside the list count as errors.
     """
     counts = _class_counts(pairs, labels, keys)
+    if expected is not None:
+        counts = expected.select(*keys).distinct().join(counts, list(keys), "left")
     f1_sum, present = F.lit(0.0), F.lit(0)
     for i in range(len(labels)):
         f1_sum = f1_sum + _class_f1(i)[2]
         present = present + F.when(F.col(f"_true{i}") + F.col(f"_pred{i}") > 0, 1).otherwise(0)
     classes = present if observed_only else F.lit(len(labels))
-    n = F.when(F.col("n") == 0, F.raise_error(F.lit("no examples to score")).cast("bigint")).otherwise(F.col("n"))
+    n = F.when(F.coalesce(F.col("n"), F.lit(0)) == 0, F.raise_error(F.lit("no examples to score")).cast("bigint")).otherwise(F.col("n"))
     return counts.select(
         *keys, n.alias("n"),
         F.round(_ratio(F.col("_correct"), F.col("n")), 4).alias("accuracy"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions.polarity import (
@@ -69,75 +69,64 @@ def compound_by_table(
 ) -> DataFrame:
     """``keys`` + ``compound`` with word valences from a table ``(token, valence)`` of any size.
 
-    ``keys`` identify a row.  Every word row carries its three predecessors, taken
-    from the word array in place.  One join finds the words of the table; Spark
+    ``keys`` identify a row.  Only a word and its position travel to the join; Spark
     broadcasts a small table and splits the partitions of frequent words of a large
-    one.  Only words found go on, and the window and the sum share one exchange on
-    ``keys``, so a group is the scored words of a single text.  ``lexicon`` supplies
-    the small word lists only.
+    one.  The words found come back to their text as one list of positions, where
+    their neighbours are read from the text itself.  ``lexicon`` supplies the small
+    word lists only.
     """
-    steps = range(1, len(BOOST_DECAY) + 1)
-    kinds = ["low", "word"]
-
-    def in_context(w: Column, low: Column) -> Column:
-        """Every word with its predecessors, so that no word row carries the whole text."""
-        def entry(token: Column, i: Column) -> Column:
-            before = [
-                F.get(array, i - d).alias(f"_{kind}{d}")
-                for kind, array in zip(kinds, (low, w)) for d in steps
-            ]
-            return F.struct(
-                i.alias("_pos"), token.alias("token"), F.get(w, i).alias("_word"), *before
-            )
+    lowered = F.transform(words(F.col(text_col)), F.lower)
+    tokens = rows.select(*keys, F.posexplode_outer(lowered).alias("_pos", "token")).filter(F.col("token").isNotNull())
+    found = tokens.join(valences.select("token", F.col("valence").cast("double").alias("_valence")), "token")
+    hits = found.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_pos", "token", "_valence"))).alias("_hits")
+    )
+    texts = rows.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    total = F.coalesce(_scored_hits(F.col("_text"), F.col("_hits"), lexicon), F.lit(0)) / F.lit(MICRO)
+    return texts.join(hits, list(keys), "left").select(
+        *keys, squash(total, emphasis(F.col("_text"))).alias("compound")
+    )
+
 
-        return F.struct(
-            (F.exists(w, is_capitals) & F.exists(w, lambda t: ~is_capitals(t))).alias("_mixed"),
-            F.array_position(
-                F.transform(low, lambda t: t.isin(*lexicon.contrasts)), F.lit(True)
-            ).alias("_turn"),
-            F.transform(low, entry).alias("_entries"),
-        )
-
-    arrays = bind(words(F.col(text_col)), lambda w: bind(F.transform(w, F.lower), lambda low: in_context(w, low)))
-    prepared = rows.select(*keys, arrays.alias("_text"))
-    entries = prepared.select(
-        *keys, F.col("_text._mixed").alias("_mixed"), F.col("_text._turn").alias("_turn"),
-        F.explode_outer("_text._entries").alias("_entry"),
-    ).filter(F.col("_entry").isNotNull())
-    spread = entries.select(*keys, "_mixed", "_turn", "_entry.*")
-    found = spread.join(valences.select("token", F.col("valence").cast("double").alias("_valence")), "token")
-
-    order = Window.partitionBy(*keys).orderBy("_pos")
-    found = found.withColumns({f"_at{d}": F.lag("_pos", d).over(order) for d in steps})
-
-    def known(distance: int) -> Column:
-        before = F.col("_pos") - distance
+def _scored_hits(text: Column, hits: Column, lexicon: Lexicon) -> Column:
+    """Sum of the hits' valences in their context, in whole micro-units; NULL without hits.
+
+    Hits are in the order of their positions, so the words with a valence among the
+    last few of a text are among the last few hits.
+    """
+    def known(pos: Column, j: Column, distance: int) -> Column:
         hit = F.lit(False)
         for d in range(1, distance + 1):
-            hit = hit | F.coalesce(F.col(f"_at{d}") == before, F.lit(False))
+            hit = hit | F.coalesce(F.get(hits, j - d)["_pos"] == pos - distance, F.lit(False))
         return hit
 
-    scored = found.filter(~F.col("token").isin(*lexicon.boosters))
-    start = F.col("_valence")
-    value = start + F.when(
-        F.col("_mixed") & is_capitals(F.col("_word")),
-        F.when(start > 0, CAPS_BOOST).otherwise(-CAPS_BOOST),
-    ).otherwise(0.0)
-    for d in steps:
-        scored = scored.withColumn(f"_value{d}", with_context(
-            value if d == 1 else F.col(f"_value{d - 1}"),
-            F.col(f"_low{d}"), F.col(f"_word{d}"), known(d), F.col("_mixed"), d, lexicon,
-        ))
-    at, turn = F.col("_pos") + 1, F.col("_turn")
-    side = (
-        F.when((turn == 0) | (turn == at), 1.0).when(at < turn, BEFORE_CONTRAST)
-        .otherwise(AFTER_CONTRAST)
-    )
-    totals = scored.groupBy(*keys).agg(
-        F.sum(to_micro(F.col(f"_value{len(steps)}") * side)).alias("_total")
-    )
-    texts = rows.select(*keys, emphasis(F.coalesce(F.col(text_col), F.lit(""))).alias("_extra"))
-    total = F.coalesce(F.col("_total"), F.lit(0)) / F.lit(MICRO)
-    return texts.join(totals, list(keys), "left").select(
-        *keys, squash(total, F.col("_extra")).alias("compound")
-    )
+    def in_text(w: Column, low: Column, mixed: Column, turn: Column) -> Column:
+        def one(h: Column, j: Column) -> Column:
+            pos, start = h["_pos"], h["_valence"]
+            value = start + F.when(
+                mixed & is_capitals(F.get(w, pos)), F.when(start > 0, CAPS_BOOST).otherwise(-CAPS_BOOST)
+            ).otherwise(0.0)
+
+            def step(value: Column, d: int) -> Column:
+                return bind(value, lambda v: with_context(
+                    v, F.get(low, pos - d), F.get(w, pos - d), known(pos, j, d), mixed, d, lexicon,
+                ))
+
+            for d in range(1, len(BOOST_DECAY) + 1):
+                value = step(value, d)
+            side = (
+                F.when((turn == 0) | (turn == pos + 1), 1.0).when(pos + 1 < turn, BEFORE_CONTRAST)
+                .otherwise(AFTER_CONTRAST)
+            )
+            return F.when(h["token"].isin(*lexicon.boosters), F.lit(0).cast("bigint")).otherwise(to_micro(value * side))
+
+        return F.aggregate(F.transform(hits, one), F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+    def with_flags(w: Column, low: Column) -> Column:
+        mixed = F.exists(w, is_capitals) & F.exists(w, lambda t: ~is_capitals(t))
+        turn = F.array_position(F.transform(low, lambda t: t.isin(*lexicon.contrasts)), F.lit(True))
+        return bind(mixed, lambda flag: bind(turn, lambda pivot: in_text(w, low, flag, pivot)))
+
+    return F.when(hits.isNotNull(), bind(
+        words(text), lambda w: bind(F.transform(w, F.lower), lambda low: with_flags(w, low))
+    ))
