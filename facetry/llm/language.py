@@ -107,19 +107,21 @@ def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarra
         df[row["slot"]] = row["n"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + 1
 
-    # Rank ids first: no text travels for rows outside the sample.
+    # Only texts below the threshold travel; of those, ids are ranked first.
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_ids"))  # a row per language
     order = F.xxhash64("doc_id")
     share = (order / F.lit(2.0**64)) + 0.5  # the hash on a scale of 0 to 1
-    sample_ids = (
-        rows.select("doc_id", "lang", order.alias("_order"), share.alias("_share"))
+    low = (
+        rows.select("doc_id", "lang", "text", order.alias("_order"), share.alias("_share"))
         .join(F.broadcast(sizes), "lang")
         .where(F.col("_share") * F.col("_ids") <= SPARE * SAMPLE_ROWS)
-        .select("doc_id", "lang", "_order").distinct()
+    )
+    sample_ids = (
+        low.select("doc_id", "lang", "_order").distinct()
         .withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "doc_id")))
         .where(F.col("_rank") <= SAMPLE_ROWS).select("doc_id", "lang")
     )
-    sample = rows.join(sample_ids, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(
+    sample = low.join(sample_ids, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(
         F.min("text").alias("text")
     )
 
