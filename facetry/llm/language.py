@@ -121,7 +121,8 @@ def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarra
         .withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "doc_id")))
         .where(F.col("_rank") <= SAMPLE_ROWS).select("doc_id", "lang")
     )
-    sample = low.join(sample_ids, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(
+    # The ids are distinct; a semi join would be pushed below the threshold and move every text.
+    sample = low.join(sample_ids, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(
         F.min("text").alias("text")
     )
 
