@@ -36,9 +36,12 @@ def period_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """``type, with_period, without_period`` of all words that hold a letter."""
     plain = F.regexp_replace(F.coalesce(text_col, F.lit("")), f"[{OTHER_SPACE}]", " ")
     words = texts.select(F.explode_outer(F.split(plain, " ")).alias("word"))
-    typed = words.select(word_type(F.col("word")).alias("type"), ends_in_period(F.col("word")).alias("dot"))
+    # The patterns are matched once per distinct word.
+    counted = words.groupBy("word").agg(F.count("*").alias("n"))
+    typed = counted.select(word_type(F.col("word")).alias("type"), ends_in_period(F.col("word")).alias("dot"), "n")
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("bigint")
     return typed.filter(F.col("type").rlike(r"\p{L}")).groupBy("type").agg(
-        F.count_if("dot").alias("with_period"), F.count_if(~F.col("dot")).alias("without_period")
+        total(F.col("dot")).alias("with_period"), total(~F.col("dot")).alias("without_period")
     )
 
 
@@ -76,7 +79,8 @@ def sentences_by_table(texts: DataFrame, abbreviations: DataFrame) -> DataFrame:
     """
     marked = F.regexp_replace("_text", sentence_boundary(()), "$0" + MARK)
     pieces = texts.select("_key", F.posexplode(F.split(marked, MARK)).alias("_pos", "_piece"))
-    last = F.regexp_extract(strip(F.col("_piece")), rf"([^\s{OTHER_SPACE}]+)$", 1)
+    # A pattern bound to the end would be tried from every character of a long piece.
+    last = F.substring_index(F.regexp_replace(strip(F.col("_piece")), f"[{OTHER_SPACE}]", " "), " ", -1)
     typed = pieces.withColumn("type", F.when(ends_in_period(last), word_type(last)))
     known = abbreviations.select("type", F.lit(True).alias("_goes_on"))
     found = lookup_join(typed, known, "type")
