@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions.polarity import DEFAULT_LEXICON, Lexicon
-from facetry.functions.text import OTHER_SPACE, PUNCTUATION
+from facetry.functions.text import OTHER_SPACE, PUNCTUATION, bind
 from facetry.operators.joins import lookup_join
 from facetry.operators.sentiment import compound_by_table
 
@@ -55,14 +55,19 @@ def join_phrases(texts: DataFrame, phrases: DataFrame, keys: Sequence[str], text
     lengths = sorted(r["n"] for r in known.select("n").distinct().collect())
     if not lengths:
         return texts.select(*keys, text_col)
-    rows = texts.select(*keys, pieces(F.col(text_col)).alias("_w"))
-    spots = rows.select(*keys, "_w", F.posexplode("_w").alias("_pos", "_first")).select(
-        *keys, "_pos", F.explode(F.array(*[
-            F.struct(F.lit(n).alias("n"), F.slice("_w", F.col("_pos") + 1, F.lit(n)).alias("w")) for n in lengths
-        ])).alias("_g"),
-    ).filter(F.size("_g.w") == F.col("_g.n")).select(
-        *keys, "_pos", F.col("_g.n").alias("_n"), spelling(F.col("_g.w")).alias("phrase")
-    )
+    # Candidates are spelt in the row, so that what is exploded is as long as the text and no
+    # candidate carries the words of its text.
+    def of_words(w: Column) -> Column:
+        def from_place(i: Column) -> Column:
+            return F.array(*[F.struct(F.lit(n).alias("_n"), F.when(
+                i + n <= F.size(w), spelling(F.array(*[F.get(w, i + k) for k in range(n)]))
+            ).alias("phrase")) for n in lengths])
+
+        return F.transform(w, lambda _, i: from_place(i))
+
+    spots = texts.select(*keys, F.posexplode(bind(pieces(F.col(text_col)), of_words)).alias("_pos", "_g")).select(
+        *keys, "_pos", F.inline("_g")
+    ).filter(F.col("phrase").isNotNull())
     hits = lookup_join(spots, known.select("phrase", "n"), "phrase", "inner").filter("n = _n")
     found = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_pos", (-F.col("_n")).alias("_less")))).alias("_hits"))
     start = F.struct(F.lit(0).alias("free"), F.array().cast("array<int>").alias("inner"))
