@@ -3,7 +3,7 @@
 Random indexing: every term has a fixed sparse pattern of +1 and -1, a context adds up the
 patterns of its terms, and a term's vector adds up its contexts without its own pattern.
 Terms that occur with the same terms get similar vectors.  No pair of terms is formed:
-the work is two aggregations over the (context, term) rows, whatever a context holds.
+the work is a few aggregations over the (context, term) rows, some of them by block of ``BLOCK`` dimensions, whatever a context holds.
 All sums are integers, so the vectors do not depend on the order of rows.
 """
 
@@ -14,15 +14,17 @@ from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetry.functions.text import bind
 from facetry.operators.joins import lookup_join
 from facetry.session import use_checkpoint_dir
 
 DIMENSIONS = 64
 MARKS = 4  # non-zero places of a pattern
+BLOCK = 8  # dimensions that are summed in one row
 WEIGHT = 1024  # what a context gives each of its terms, dealt over the other terms
 
 
@@ -48,36 +50,53 @@ def term_vectors(
     ``WEIGHT`` is dealt evenly over its other terms, rounded down, so long contexts do not
     outweigh short ones.  Rows without context or term are left out.  A context with very
     many terms is one row of ``dimensions`` sums, dealt over several tasks when joined.
+    The distinct rows are checkpointed, by a job that runs while the plan is made.
     """
-    pairs = mentions.select(F.col(context_col).alias("_context"), F.col(term_col).alias("_term")).dropna().distinct()
+    use_checkpoint_dir(mentions.sparkSession)
+    # Read for the contexts, for the number of contexts and for the sums; the mentions are worked out once.
+    pairs = mentions.select(F.col(context_col).alias("_context"), F.col(term_col).alias("_term")).dropna().distinct().checkpoint()
     marks = pairs.select("_context", "_term", F.inline(pattern(F.col("_term"), dimensions)))
-    per_dim = lambda i: F.coalesce(F.sum(F.when(F.col("_dim") == i, F.col("_sign"))), F.lit(0)).cast("bigint")
-    contexts = marks.groupBy("_context").agg(
-        F.floor(F.count("*") / MARKS).cast("bigint").alias("_terms"),
-        F.array(*[per_dim(i) for i in range(dimensions)]).alias("_all"),
+    # Blocks of a few sums: an aggregation with one column per dimension is too large to be compiled.
+    per_dim = lambda i: F.coalesce(F.sum(F.when(F.col("_dim") % BLOCK == i, F.col("_sign"))), F.lit(0)).cast("bigint")
+    blocks = marks.groupBy("_context", F.floor(F.col("_dim") / BLOCK).cast("int").alias("_block")).agg(
+        F.count("*").alias("_marks"), F.array(*[per_dim(i) for i in range(BLOCK)]).alias("_part")
     )
-    met = lookup_join(pairs, contexts, "_context", "inner")
+    contexts = blocks.groupBy("_context").agg(
+        F.floor(F.sum("_marks") / MARKS).cast("bigint").alias("_terms"),
+        F.collect_list(F.struct("_block", "_part")).alias("_all"),
+    )
+    # Terms in fewer contexts count for their contexts only.
+    often = pairs.groupBy("_term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= min_contexts)
+    wanted = lookup_join(pairs, often, "_term", "inner")
+    met = lookup_join(wanted, contexts, "_context", "inner")
     weight = F.when(F.col("_terms") > 1, F.floor(F.lit(WEIGHT) / (F.col("_terms") - 1))).otherwise(0).cast("bigint")
-    sums = met.withColumn("_weight", weight).groupBy("_term").agg(
-        F.count("*").alias("contexts"), F.sum("_weight").alias("_own"),
-        F.array(*[F.sum(F.col("_weight") * F.get("_all", F.lit(i))) for i in range(dimensions)]).alias("_sums"),
-    ).filter(F.col("contexts") >= min_contexts)
-    # A term's own marks came back once per context with the context's weight.
-    marked = sums.withColumn("_marks", pattern(F.col("_term"), dimensions))
-    own = lambda i: F.aggregate(
-        "_marks", F.lit(0), lambda a, m: a + F.when(m["_dim"] == i, m["_sign"]).otherwise(0)
+    sums = met.select("_term", "contexts", weight.alias("_weight"), F.inline("_all")).groupBy("_term", "_block").agg(
+        F.max("contexts").alias("contexts"), F.sum("_weight").alias("_own"),
+        F.array(*[F.sum(F.col("_weight") * F.get("_part", F.lit(i))) for i in range(BLOCK)]).alias("_sums"),
     )
-    return marked.select(
-        F.col("_term").alias(term_col), "contexts",
-        F.transform("_sums", lambda s, i: s - F.col("_own") * own(i)).alias("sums"),
+    none = F.array_repeat(F.lit(0).cast("bigint"), BLOCK)
+    whole = F.flatten(F.array(*[F.coalesce(F.try_element_at("_parts", F.lit(b)), none) for b in range(-(-dimensions // BLOCK))]))
+    # A term's own marks came back once per context with the context's weight; the blocks they are in have all of it.
+    terms = sums.groupBy("_term").agg(
+        F.max("contexts").alias("contexts"), F.max("_own").alias("_own"),
+        F.map_from_entries(F.collect_list(F.struct("_block", "_sums"))).alias("_parts"),
+    ).select("_term", "contexts", "_own", F.slice(whole, 1, dimensions).alias("_sums"))
+    own = lambda marks, i: F.aggregate(
+        marks, F.lit(0), lambda a, m: a + F.when(m["_dim"] == i, m["_sign"]).otherwise(0)
     )
+    # The pattern is bound, as it would be spelt out anew for every dimension.
+    return terms.select(F.col("_term").alias(term_col), "contexts", bind(
+        pattern(F.col("_term"), dimensions),
+        lambda marks: F.transform("_sums", lambda s, i: s - F.col("_own") * own(marks, i)),
+    ).alias("sums"))
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """Add ``vector``, the sums at length one; terms that occur with no other term are left out."""
     length = F.sqrt(F.aggregate("sums", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    long = vectors.withColumn("_length", length).filter("_length > 0")
-    return long.withColumn("vector", F.transform("sums", lambda x: x / F.col("_length"))).drop("_length")
+    # Bound, as it would be worked out anew for every dimension.
+    unit = bind(length, lambda n: F.transform("sums", lambda x: x / n))
+    return vectors.filter(length > 0).withColumn("vector", unit)
 
 
 @dataclass(frozen=True)
@@ -100,8 +119,10 @@ def cluster_terms(
     Without vectors nothing is fitted; ``k`` is then 0.
     """
     use_checkpoint_dir(vectors.sparkSession)
-    ready = unit_vectors(vectors).withColumn("_features", array_to_vector("vector")).checkpoint()
-    known = ready.select("vector").distinct().limit(max(ks)).count()
+    # Stored before their length is asked for in the filter and in the row, and after it without the columns no fit needs.
+    units = unit_vectors(vectors.select(term_col, "contexts", "sums").checkpoint())
+    ready = units.select(term_col, "contexts", array_to_vector("vector").alias("_features")).checkpoint()
+    known = ready.select(vector_to_array("_features")).distinct().limit(max(ks)).count()
     measure = ClusteringEvaluator(featuresCol="_features", predictionCol="cluster")
     best, figures = None, {}
     for k in sorted({min(k, known) for k in ks if known > 1}):

@@ -63,3 +63,13 @@ def test_no_terms(spark):
     none = term_vectors(spark.createDataFrame([], KINDS))
     found = cluster_terms(none)
     assert none.count() == 0 and found.k == 0 and found.terms.count() == 0
+
+
+def test_a_pattern_is_spelt_once_per_term(spark, capsys):
+    """The digests of a pattern were worked out for every dimension, which took most of the time."""
+    rows = spark.createDataFrame([(i % 3, f"term {i}") for i in range(9)], KINDS)
+    plan = term_vectors(rows, min_contexts=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform" in plan and "md5" in plan
+    for line in plan.splitlines():
+        # A digest below the lambda over the sums would stand in the aggregate of a dimension.
+        assert "aggregate(array(" not in line or "md5" not in line
