@@ -59,9 +59,18 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Features seen and their weights after ``epochs`` passes; the last coordinate is the intercept."""
-    z = np.zeros(DIMENSIONS + 1)
-    n = np.zeros(DIMENSIONS + 1)
+    """Features seen and their weights after ``epochs`` passes; the last coordinate is the intercept.
+
+    Only features of the sample have coordinates, so that a small sample takes little memory.
+    """
+    used = np.zeros(DIMENSIONS + 1, bool)
+    used[DIMENSIONS] = True
+    for index in rows:
+        used[index] = True
+    names = np.flatnonzero(used)
+    place = np.cumsum(used, dtype=np.int32) - 1
+    z = np.zeros(len(names))
+    n = np.zeros(len(names))
 
     def weights(zi, ni):
         return np.where(
@@ -71,7 +80,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tu
 
     for _ in range(epochs):
         for index, label in zip(rows, labels):
-            index = np.append(index.astype(np.int64), DIMENSIONS)
+            index = np.append(place[index], len(names) - 1)
             zi, ni = z[index], n[index]
             w = weights(zi, ni)
             gradient = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * (POSITIVE if label else 1)
@@ -79,7 +88,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tu
             z[index] = zi + gradient - (np.sqrt(grown) - np.sqrt(ni)) / ALPHA * w
             n[index] = grown
     seen = np.flatnonzero(n)
-    return seen, weights(z[seen], n[seen])
+    return names[seen], weights(z[seen], n[seen])
 
 
 def train(
@@ -134,29 +143,41 @@ def train(
     return found["feature"].to_numpy(np.int64), found["weight"].to_numpy(float)
 
 
-def dense(model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    out = np.zeros(DIMENSIONS + 1)
-    out[model[0]] = model[1]
-    return out
+class Weights:
+    """Weights by feature: which are not zero, and those in order, in an eighth of a dense table."""
+
+    def __init__(self, model: tuple[np.ndarray, np.ndarray]):
+        order = np.argsort(model[0], kind="stable")
+        self.names, self.values = model[0][order], model[1][order]
+        self.known = np.zeros(DIMENSIONS + 1, bool)
+        self.known[self.names] = self.values != 0
+
+    def __getitem__(self, index: np.ndarray) -> np.ndarray:
+        """Weights of known features."""
+        return self.values[np.searchsorted(self.names, index)]
+
+    @property
+    def intercept(self) -> float:
+        return float(self.values[-1]) if self.known[DIMENSIONS] else 0.0
 
 
-def margins(batch: pa.RecordBatch, weights: np.ndarray) -> np.ndarray:
+def margins(batch: pa.RecordBatch, weights: Weights) -> np.ndarray:
     """Log-odds of every text; the tiny offset makes a text without evidence not toxic."""
     index, owner = features(*column_buffers(batch.column("text")))
-    known = weights[index] != 0
+    known = weights.known[index]
     both = np.unique(owner[known] * DIMENSIONS + index[known])
     evidence = np.bincount(both // DIMENSIONS, weights[both % DIMENSIONS], batch.num_rows)
-    return np.clip(evidence + weights[DIMENSIONS] - 1e-9, -35, 35)
+    return np.clip(evidence + weights.intercept - 1e-9, -35, 35)
 
 
 def add_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """``doc_id, score, predicted`` for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    made: list[np.ndarray] = []
+    made: list[Weights] = []
 
     def score(batch):
         if not made:
-            made.append(dense(shared.value))
+            made.append(Weights(shared.value))
         p = 1 / (1 + np.exp(-margins(batch, made[0])))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
@@ -180,11 +201,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 5) -> Dat
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents not predicted toxic, unchanged.  Every label is learnt from."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    made: list[np.ndarray] = []
+    made: list[Weights] = []
 
     def clean(batch):
         if not made:
-            made.append(dense(shared.value))
+            made.append(Weights(shared.value))
         yield batch.filter(pa.array(margins(batch, made[0]) < 0))
 
     return scan(docs, docs.columns, clean, docs.schema)

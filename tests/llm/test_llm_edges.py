@@ -1,5 +1,9 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing column names."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +12,8 @@ from facetry.llm import (
     decontaminate, disclosure, exchange, language, packing, revisits, run_index, suffix_trees, token_groups, topk, toxicity,
 )
 
+from facetry.llm.kernels import scan
+
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, batch int, grp string, row long, "
     "score double, tokens string, _terms string, toxic int, label long, embedding string"
@@ -168,3 +174,23 @@ def test_top_k_odd(spark):
     out = topk.top_k(v, v.where(F.col("vec_id") % 100 == 0)).collect()
     assert {r["vec_id"] for r in out} == {4} and len(out) == 4
     assert topk.top_k(v.limit(0), v.limit(0)).collect() == []
+
+
+def test_toxicity_holds_only_known_features():
+    """A task held a dense table of all hashed features twice, whatever the sample."""
+    rows = [np.array([3, 900]), np.array([5], np.int64)]
+    tracemalloc.start()
+    seen, weights = toxicity.ftrl(rows, np.array([1.0, 0.0]))
+    model = toxicity.Weights((seen, weights + 1))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen.tolist() == [3, 5, 900, toxicity.DIMENSIONS]
+    assert model[np.array([5, 900])].tolist() == [weights[1] + 1, weights[2] + 1] and model.intercept == weights[3] + 1
+    assert most < 10 * toxicity.DIMENSIONS
+
+
+def test_batches_of_long_texts_are_small(spark):
+    """A task was sent 10,000 rows at once, whatever their length."""
+    docs = spark.range(0, 1000, 1, 1).select(F.repeat(F.lit("word "), 10_000).alias("text"))
+    sizes = lambda batch: iter([pa.RecordBatch.from_arrays([pa.array([batch.column(0).buffers()[2].size])], ["n"])])
+    assert scan(docs, ["text"], sizes, "n long").agg(F.max("n")).first()[0] < 10_000_000
