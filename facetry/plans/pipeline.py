@@ -76,6 +76,11 @@ def stored(rows: DataFrame, options: Options) -> DataFrame:
     return rows.checkpoint()
 
 
+def digest(text: Column) -> Column:
+    """128 bits of the SHA-256 digest; word rows carry it, so it is short and not spelt in hex."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def per_text(
     rows: DataFrame, text_col: str, answer: Callable[[DataFrame], DataFrame], options: Options = Options()
 ) -> DataFrame:
@@ -85,7 +90,7 @@ def per_text(
     that word rows do not carry their text; ids need not be unique, and a text that many
     rows share is answered once and dealt over several tasks when joined back.
     """
-    keyed = stored(rows.withColumn("_key", F.sha2(F.col(text_col), 256)), options)
+    keyed = stored(rows.withColumn("_key", digest(F.col(text_col))), options)
     texts = keyed.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.first(text_col).alias("_text"))
     answers = answer(texts)
     return lookup_join(keyed, answers, "_key").drop("_key")
@@ -140,7 +145,10 @@ def mention_rows(sentences: DataFrame, options: Options = Options()) -> DataFram
             F.col("sentence"), options.is_noun, options.min_term_length, options.max_term_words
         )
     if options.scorer is None:
-        mentions = explode_mentions(with_sentiment(sentences, "sentence", "aspect", options), terms)
+        scored = with_sentiment(sentences, "sentence", "aspect", options)
+        if options.keyword_table is not None:
+            return themed_mentions(scored.withColumn("_terms", terms), options)
+        mentions = explode_mentions(scored, terms)
     else:
         pairs = explode_mentions(sentences, terms)
         mentions = pairs.withColumn("_scored", options.scorer(F.col("sentence"), F.col("aspect")))
@@ -152,6 +160,24 @@ def mention_rows(sentences: DataFrame, options: Options = Options()) -> DataFram
     return add_theme_column(mentions, themes=options.themes).select(*MENTION_COLUMNS)
 
 
+def themed_mentions(sentences: DataFrame, options: Options) -> DataFrame:
+    """The mention table from sentences with ``_terms``, themes by the keyword table.
+
+    Lists of terms travel to the themes and back; a sentence becomes one row per term only
+    at the end, so that no step stores or moves its text as often as it has terms.
+    """
+    keyed = stored(sentences.withColumn("_key", digest(F.to_json("_terms"))), options)
+    lists = keyed.groupBy("_key").agg(F.first("_terms").alias("_terms"))
+    terms = lists.select("_key", F.posexplode_outer("_terms").alias("_pos", "aspect")).filter(F.col("aspect").isNotNull())
+    found = assign_themes_by_table(terms, options.keyword_table).groupBy("_key").agg(
+        F.sort_array(F.collect_list(F.struct("_pos", "aspect", "theme"))).alias("_found")
+    )
+    rows = lookup_join(keyed, found, "_key", "inner")
+    return rows.select(
+        *[c for c in MENTION_COLUMNS if c not in ("aspect", "theme")], F.explode("_found").alias("_f")
+    ).select("*", "_f.aspect", "_f.theme").select(*MENTION_COLUMNS)
+
+
 def table_terms(texts: DataFrame, options: Options) -> DataFrame:
     """``_key, _terms``: the terms of each text in order, from noun runs over table tags."""
     found = mentions_by_table(

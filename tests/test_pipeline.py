@@ -158,3 +158,17 @@ def test_dictionary_tables_replace_the_literals(spark):
     rows = sorted((r["review_id"], r["sentence_id"], r["aspect"], r["theme"], r["aspect_sentiment"]) for r in result.mentions.collect())
     one = [(7, 0, "zorp", "gadget", "positive"), (7, 1, "zorp", "gadget", "negative")]
     assert rows == sorted(one * 2)
+
+
+def test_themes_by_table_do_not_move_texts_per_term(spark):
+    """Every term's row was stored and joined with the sentence in it; now a sentence is one row until the end."""
+    words = ["".join(chr(97 + (i // 26 ** k) % 26) for k in range(4)) for i in range(300)]
+    rows = spark.createDataFrame([(1, "x", "of ".join(f"{w} " for w in words)), (2, "y", ""), (3, "z", "the")], "review_id int, product string, text string")
+    table = spark.createDataFrame([(1, "other", "aa"), (0, "first", "baa")], "priority int, theme string, keyword string")
+    reviews = load_reviews(rows)
+    plain = run(reviews, Options(themes={"first": ["baa"], "other": ["aa"]})).mentions
+    found = run(reviews, Options(keyword_table=table)).mentions
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect())) and found.count() > 200
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    last = [line for line in lines if "Generate" in line or "Join" in line][0]
+    assert "Generate" in last
