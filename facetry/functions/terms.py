@@ -95,14 +95,22 @@ def lower_title_start(sentence: Column) -> Column:
 
 
 def noun_runs(sentence: Column, is_noun: Callable[[Column], Column] = DEFAULT_RULES.is_noun) -> Column:
-    """Maximal runs of nouns, lower-cased and joined by one space.
+    """Maximal runs of nouns, lower-cased and joined by one space."""
+    return token_runs(sentence_tokens(sentence), is_noun)
+
+
+def sentence_tokens(sentence: Column) -> Column:
+    """Tokens of a sentence, the first one lower-cased when it is in title case."""
+    return tokens(bind(strip(sentence), lower_title_start))
+
+
+def token_runs(split: Column, is_noun: Callable[[Column], Column]) -> Column:
+    """``noun_runs`` of the tokens.
 
     Other tokens become a separator, so joining and splitting finds the runs in
     linear time without a nested regex.
     """
-    kept = F.transform(
-        tokens(bind(strip(sentence), lower_title_start)), lambda t: F.when(is_noun(t), t).otherwise(MARK)
-    )
+    kept = F.transform(split, lambda t: F.when(is_noun(t), t).otherwise(MARK))
     runs = F.split(F.lower(F.array_join(kept, " ")), MARK)
     return F.filter(F.transform(runs, lambda r: F.trim(r)), lambda r: r != "")
 
@@ -133,7 +141,15 @@ def aspect_terms(
     max_words: int = MAX_TERM_WORDS,
 ) -> Column:
     """Array of aspect terms of one sentence; blank gives an empty array."""
-    valid = F.filter(
-        noun_runs(sentence, is_noun), lambda t: is_valid_term(t, min_length, max_words)
-    )
+    return token_terms(sentence_tokens(sentence), is_noun, min_length, max_words)
+
+
+def token_terms(
+    split: Column,
+    is_noun: Callable[[Column], Column] = DEFAULT_RULES.is_noun,
+    min_length: int = MIN_TERM_LENGTH,
+    max_words: int = MAX_TERM_WORDS,
+) -> Column:
+    """``aspect_terms`` of the tokens of a sentence, for callers that read them more than once."""
+    valid = F.filter(token_runs(split, is_noun), lambda t: is_valid_term(t, min_length, max_words))
     return distinct_terms(valid)

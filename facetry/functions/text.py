@@ -10,7 +10,9 @@ import json
 import re
 import string
 from collections.abc import Callable, Sequence
+from functools import reduce
 from html.entities import html5
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,19 +24,22 @@ SPACE_CHARS = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 SPACE = r"\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # The same without the blank, and runs that are not already one blank: most text has
-# single blanks only, and leaving those alone saves most of the work.
+# single blanks only, and leaving those alone saves most of the work.  A class of many
+# ranges is tried range by range, so the printable characters are ruled out before it.
 OTHER_SPACE = SPACE.replace(r"\s", r"\t\n\f\r")
-SPACE_RUN = f"(?: [{SPACE}]|[{OTHER_SPACE}])[{SPACE}]*+"
+ODD_SPACE = f"(?![ -~])[{OTHER_SPACE}]"
+SPACE_RUN = f"(?![!-~])(?: (?![!-~])[{SPACE}]|{ODD_SPACE})[{SPACE}]*+"
 
 # The patterns that decide what counts as markup, URL and word.
 TAG_PATTERN = r"<[^>]+>"
 URL_PATTERN = rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+"
 LETTERS = r"a-zA-Z0-9\p{L}\p{N}"
-TOKEN_PATTERN = rf"[{LETTERS}]++(?:['\u2019\-]++[{LETTERS}]++)*+|[^{SPACE}{LETTERS}]"
+TOKEN_PATTERN = rf"[{LETTERS}]++(?:['\u2019\-]++[{LETTERS}]++)*+|(?! )[^{SPACE}{LETTERS}]"
 PUNCTUATION = string.punctuation
 _MARKS = re.sub(r"([\[\]\\^&-])", r"\\\1", PUNCTUATION)
 # A word between blanks with three or more characters from its first to its last unmarked one.
-MARKED_WORD = rf"(?<![^ ])[{_MARKS}]*+([^ {_MARKS}][^ ]+[^ {_MARKS}])[{_MARKS}]*+(?![^ ])"
+# One without any mark would be replaced by itself, so it is passed over.
+MARKED_WORD = rf"(?<![^ ])(?![^ {_MARKS}]++(?![^ ]))[{_MARKS}]*+([^ {_MARKS}][^ ]+[^ {_MARKS}])[{_MARKS}]*+(?![^ ])"
 
 # U+0001 marks a boundary between replace and split; a single plain character
 # lets `split` skip the regex engine.
@@ -145,9 +150,17 @@ def clean_text(text: Column) -> Column:
 
     Case and punctuation stay, because the sentence and sentiment rules use them.
     """
+    def dropped(value: Column, signs: Sequence[str], pattern: str) -> Column:
+        """Without the pattern's matches, each of which holds one of the signs."""
+        def body(t: Column) -> Column:
+            found = reduce(or_, [F.contains(t, F.lit(sign)) for sign in signs])
+            return F.when(found, F.regexp_replace(t, pattern, " ")).otherwise(t)
+
+        return bind(value, body)
+
     out = unescape_entities(F.coalesce(text.cast("string"), F.lit("")))
-    out = F.regexp_replace(out, TAG_PATTERN, " ")
-    out = F.regexp_replace(out, URL_PATTERN, " ")
+    out = dropped(out, ["<"], TAG_PATTERN)
+    out = dropped(out, ["http", "www."], URL_PATTERN)
     return F.trim(F.regexp_replace(out, SPACE_RUN, " "))
 
 
@@ -163,8 +176,9 @@ def sentence_boundary(abbreviations: Sequence[str] = DEFAULT_ABBREVIATIONS) -> s
     if abbreviations:
         guards += rf"(?<!{start}(?:{'|'.join(re.escape(a) for a in abbreviations)})\.)"
     gap = f"[{SPACE}]++"
+    # First of all the next character must not be a printable one other than the blank.
     return (
-        rf"(?<=[.!?][\"'”’)\]]{{0,3}}){guards}"
+        rf"(?![!-~])(?<=[.!?][\"'”’)\]]{{0,3}}){guards}"
         rf"(?:(?<!\.\.){gap}|(?<=\.\.){gap}(?!\p{{Ll}}))"
     )
 
@@ -181,7 +195,7 @@ def words(text: Column) -> Column:
     A word of two characters or fewer after stripping keeps its punctuation, so
     emoticons such as ``:)`` survive for the sentiment lexicon.
     """
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{OTHER_SPACE}]", " ")
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), ODD_SPACE, " ")
     return F.filter(F.split(F.regexp_replace(plain, MARKED_WORD, "$1"), " "), lambda w: w != "")
 
 

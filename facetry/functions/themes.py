@@ -18,8 +18,8 @@ def singular(word: Column) -> Column:
 
     return (
         F.when(word.endswith("ies") & (F.length(word) > 3), F.concat(cut(3), F.lit("y")))
-        .when(word.rlike("(s|x|z|ch|sh)es$"), cut(2))
-        .when(word.rlike("(^|[^s])s$") & (F.length(word) > 3), cut(1))
+        .when(word.endswith("es") & word.rlike("(s|x|z|ch|sh)es$"), cut(2))
+        .when(word.endswith("s") & ~word.endswith("ss") & (F.length(word) > 3), cut(1))
         .otherwise(word)
     )
 

@@ -26,8 +26,12 @@ def _label_counts(extra=None):
 
 def distribution(mentions: DataFrame, group_col: str = "aspect") -> DataFrame:
     """Unordered form of ``aspect_distribution``: one partial and one final aggregation."""
-    known = mentions.filter(F.col(group_col).isNotNull() & F.col("aspect_sentiment").isNotNull())
-    counts = known.groupBy(group_col).agg(*_label_counts(F.col("sentence").isNotNull()))
+    known = mentions.filter(F.col("aspect_sentiment").isNotNull())
+    # A test of the group before the grouping would be pushed below the projection that makes
+    # it, and find the theme of every mention a second time.
+    counts = known.groupBy(group_col).agg(
+        *_label_counts(F.col("sentence").isNotNull()), F.count(group_col).alias("_known")
+    ).filter(F.col("_known") > 0)
     total = F.col("positive") + F.col("neutral") + F.col("negative")
     return counts.select(
         group_col, *SENTIMENTS, total.alias("mentions"),
