@@ -48,7 +48,29 @@ def extraction_scores(gold: DataFrame, pred: DataFrame, keys: Sequence[str] = ()
         ).filter(F.col("term") != "")
         return rows.withColumn("_gold", F.lit(is_gold)).withColumn("_pred", F.lit(not is_gold))
 
-    both = side(gold, True).unionByName(side(pred, False))
+    return _cell_scores(side(gold, True).unionByName(side(pred, False)), keys)
+
+
+def list_scores(rows: DataFrame, sides: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """``extraction_scores`` where both sides come from one row.
+
+    ``sides`` makes ``array<array<string>>``: the gold terms and the predicted ones of the
+    row, in this order.  They are worked out together, in one scan.  Rows may share a
+    ``sentence_id``: their terms are one set, as in ``extraction_scores``.
+    """
+    lists = rows.select(
+        *keys, F.col("sentence_id").cast("string").alias("sentence_id"), F.posexplode_outer(sides).alias("_side", "_terms")
+    )
+    terms = lists.select(*keys, "sentence_id", "_side", F.explode_outer("_terms").alias("term"))
+    both = terms.select(
+        *keys, "sentence_id", F.lower(strip(F.col("term"))).alias("term"),
+        (F.col("_side") == 0).alias("_gold"), (F.col("_side") == 1).alias("_pred"),
+    ).filter(F.col("term") != "")
+    return _cell_scores(both, keys)
+
+
+def _cell_scores(both: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Scores of ``keys, sentence_id, term, _gold, _pred``."""
     cells = both.groupBy(*keys, "sentence_id", "term").agg(
         F.max("_gold").alias("_gold"), F.max("_pred").alias("_pred")
     )

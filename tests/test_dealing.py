@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from facetry.functions import text as X
+from facetry.operators import evaluation as E
 from facetry.operators import summary as S
 from facetry.operators.themes import add_theme_column
 from facetry.plans import queries as Q
@@ -40,6 +41,16 @@ def test_summary_finds_themes_once(spark):
     assert {r["theme"]: r["mentions"] for r in found.collect()} == {"camera": 1, "tent": 1}
 
 
+def test_term_scores_read_the_documents_once(spark, tmp_path):
+    one_file(tmp_path, 12)
+    found = Q.extraction_scores(spark, str(tmp_path))
+    assert plan_of(found).count("FileScan") == 1
+    gold = spark.createDataFrame([("1", ["A ", "b"]), ("1", ["a", " "]), ("2", None)], "sentence_id string, terms array<string>")
+    sides = F.array(F.col("terms"), F.array(F.lit("b"), F.lit("c"), F.lit(None).cast("string")))
+    rows = lambda column: gold.select("sentence_id", F.explode_outer(column).alias("term"))
+    assert E.list_scores(gold, sides).collect() == E.extraction_scores(rows(sides[0]), rows(sides[1])).collect()
+
+
 def test_marks_and_spaces_as_before(one):
     assert one(X.words, "(a-b). --ab-- 'abc'\u2003x... \x1c!y!z! abc") == ["a-b", "--ab--", "abc", "x...", "y!z", "abc"]
     assert one(X.clean_text, "a\u00a0b  c \x85 d\n<i>www.x.y\thttps://q r") == "a b c d r"
