@@ -20,7 +20,6 @@ counts.  Without training rows every score is just below 0.5, predicted 0.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,11 +120,29 @@ def train(
         "doc_id long, toxic int, _order long, features array<int>",
     )
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["_order", "doc_id"], kind="stable")
-        feature, w = ftrl(frame["features"].tolist(), frame["toxic"].to_numpy(float))
+    def learnt(rows: list[np.ndarray], toxic: list[int]) -> pa.RecordBatch:
+        feature, w = ftrl(rows, np.array(toxic, float))
         kept = np.flatnonzero(w)
-        return pd.DataFrame({"feature": feature[kept], "weight": w[kept]})
+        return pa.RecordBatch.from_arrays([pa.array(feature[kept]), pa.array(w[kept])], ["feature", "weight"])
+
+    def fit(batches):
+        """Weights of each shard; its rows come in order, in small batches, and are held once."""
+        at, held, toxic = None, [], []
+        for batch in batches:
+            lists = batch.column("features")
+            values = lists.values.to_numpy()
+            offsets = lists.offsets.to_pylist()
+            for i, (shard, label) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("toxic").to_pylist())):
+                if shard != at and held:
+                    yield learnt(held, toxic)
+                    held, toxic = [], []
+                at = shard
+                held.append(values[offsets[i] : offsets[i + 1]])
+                toxic.append(label)
+        if held:
+            yield learnt(held, toxic)
+        del held, toxic
+        pa.default_memory_pool().release_unused()
 
     # Stored once: the texts are read for their features, and the features for their number.
     sparse = keep(sparse.withColumn("shard", F.pmod(F.col("_order"), F.lit(shards))))
@@ -136,8 +153,9 @@ def train(
         .where(F.col("_before") < sample_features).select("doc_id")
     )
     found = (
-        sparse.join(F.broadcast(kept), "doc_id", "left_semi").groupBy("shard")
-        .applyInPandas(fit, "feature long, weight double")
+        sparse.join(F.broadcast(kept), "doc_id", "left_semi").select("shard", "_order", "doc_id", "toxic", "features")
+        .repartition(shards, "shard").sortWithinPartitions("shard", "_order", "doc_id")
+        .mapInArrow(fit, "feature long, weight double")
         .groupBy("feature").agg((F.sum("weight") / shards).alias("weight")).orderBy("feature").toPandas()
     )
     return found["feature"].to_numpy(np.int64), found["weight"].to_numpy(float)
