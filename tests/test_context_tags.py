@@ -90,3 +90,39 @@ def test_too_many_tags(spark):
     rows = [("s", i, "x", f"t{i}") for i in range(context_tags.MOST_TAGS + 1)]
     with pytest.raises(ValueError, match="at most"):
         context_tags.count_tags(spark.createDataFrame(rows, CORPUS), ["key"])
+
+
+def test_sentences_of_one_key_are_one(spark, taught):
+    """Rows that share a key are merged by places; with `keep` every row comes back beside its key's tags."""
+    rows = [(1, ["the", "to"]), (1, ["run", "walk"]), (2, ["the", "plan"]), (3, []), (None, ["to"])]
+    frame = spark.createDataFrame(rows, "_key int, _tokens array<string>").withColumn("n", F.size("_tokens"))
+    found = {r["_key"]: len(r["tags"]) for r in context_tags.tag_sentences(frame, taught[1]).collect()}
+    assert found == {1: 4, 2: 2, None: 1}
+    kept = context_tags.tag_sentences(frame, taught[1], keep=["n"]).collect()
+    assert sorted((r["_key"] or 0, r["n"], len(r["tags"])) for r in kept) == [(0, 1, 1), (1, 2, 4), (1, 2, 4), (2, 2, 2)]
+
+
+def test_counts_from_rows_of_sentences(spark, taught):
+    rows, model = taught
+    frame = spark.createDataFrame(rows + [("s0", 99, None, "NN"), ("s0", 98, "run", None)], CORPUS).groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "token", "tag"))).alias("words"))
+    found = context_tags.count_tags(frame, ["key"], words="words")
+    assert (found.tags, found.steps, found.unknown) == (model.tags, model.steps, model.unknown)
+    assert sorted(found.emissions.collect()) == sorted(model.emissions.collect())
+
+
+def test_no_token_is_moved_for_its_tag(spark, tmp_path):
+    """What is sent is documents, counts and the distinct tokens of blocks, not a row per token."""
+    from pyspark.sql import Row
+
+    from facetry.plans import queries as Q
+
+    text = "Alphabetical beta gamma delta. " * 40
+    spark.createDataFrame([Row(doc_id=i, text=text, lang="en", source="a", n_chars=9) for i in range(40)]).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    found = Q.context_mentions(spark, str(tmp_path))
+    assert found.count() == 20 * 40
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("hashpartitioning(key") == 0
+    assert "FlatMapCoGroupsInArrow" in plan
+    assert sum(r["n"] for r in Q.context_tags(spark, str(tmp_path)).collect()) == 20 * 40 * 5
