@@ -4,16 +4,16 @@ A word counts as an abbreviation by the log-likelihood test of Kiss and Strunk (
 its periods must be far more frequent than chance, where short words, inner periods and
 no occurrence without a period speak for it.  The counts are one aggregation over words
 and one over their sums, so the table can be learnt from a corpus of any size; splitting
-by the table is an equi-join on the words before candidate boundaries.
+by the table is an equi-join on the words before candidate boundaries, once per block of texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetry.functions.text import LETTERS, MARK, OTHER_SPACE, sentence_boundary, strip
-from facetry.operators.joins import lookup_join
+from facetry.functions.text import LETTERS, MARK, OTHER_SPACE, bind, sentence_boundary, strip
+from facetry.operators.joins import in_blocks, lookup_join
 
 #: Fixed values of the published method: likelihood of a period after an abbreviation, and the threshold.
 AFTER_ABBREVIATION = 0.99
@@ -71,27 +71,38 @@ def learn_abbreviations(texts: DataFrame, text_col: str = "text", threshold: flo
     return abbreviation_scores(period_counts(texts, text_col)).filter(F.col("score") >= threshold)
 
 
-def sentences_by_table(texts: DataFrame, abbreviations: DataFrame) -> DataFrame:
-    """``_key, _sentences`` for ``_key, _text`` with unique keys.
+def sentences_by_table(rows: DataFrame, abbreviations: DataFrame, text_col: str = "text", name: str = "_sentences") -> DataFrame:
+    """Adds ``name``, the sentences of a text in order; a NULL text has NULL.
 
     A text is cut at all candidate boundaries, then what follows an abbreviation is put
-    back.  ``abbreviations`` has a unique column ``type``.
+    back.  ``abbreviations`` has a unique column ``type``.  Texts go in blocks: only the
+    distinct words before boundaries of a block are looked up, and those that are
+    abbreviations come back to it, so a text is moved once and is cut in its row.
     """
-    marked = F.regexp_replace("_text", sentence_boundary(()), "$0" + MARK)
-    pieces = texts.select("_key", F.posexplode(F.split(marked, MARK)).alias("_pos", "_piece"))
-    # A pattern bound to the end would be tried from every character of a long piece.
-    last = F.substring_index(F.regexp_replace(strip(F.col("_piece")), f"[{OTHER_SPACE}]", " "), " ", -1)
-    typed = pieces.withColumn("type", F.when(ends_in_period(last), word_type(last)))
-    known = abbreviations.select("type", F.lit(True).alias("_goes_on"))
-    found = lookup_join(typed, known, "type")
-    # A text's pieces are one group, as its words are one row.
-    order = Window.partitionBy("_key").orderBy("_pos")
-    starts = F.when(F.lag("_goes_on").over(order).isNull(), 1).otherwise(0)
-    numbered = found.withColumn("_start", starts).withColumn("_sentence", F.sum("_start").over(order))
-    whole = numbered.groupBy("_key", "_sentence").agg(
-        F.sort_array(F.collect_list(F.struct("_pos", "_piece"))).alias("_pieces")
-    ).select("_key", "_sentence", strip(F.array_join(F.col("_pieces._piece"), "")).alias("_text"))
-    lists = whole.filter(F.col("_text") != "").groupBy("_key").agg(
-        F.sort_array(F.collect_list(F.struct("_sentence", "_text"))).alias("_found")
-    )
-    return lists.select("_key", F.col("_found._text").alias("_sentences"))
+    def pieces_of(text: Column) -> Column:
+        return F.split(F.regexp_replace(text, sentence_boundary(()), "$0" + MARK), MARK)
+
+    def kind(piece: Column) -> Column:
+        # A pattern bound to the end would be tried from every character of a long piece.
+        last = F.substring_index(F.regexp_replace(strip(piece), f"[{OTHER_SPACE}]", " "), " ", -1)
+        return bind(last, lambda w: F.when(ends_in_period(w), word_type(w)))
+
+    dealt = in_blocks(rows, name="_deal")
+    asked = dealt.select(
+        F.col("_deal").alias("_block"),
+        F.explode_outer(F.array_distinct(F.transform(pieces_of(F.col(text_col)), kind))).alias("type"),
+    ).filter(F.col("type").isNotNull()).distinct()
+    # A block asks once, so no word has more rows than there are blocks.
+    known = lookup_join(asked, abbreviations.select("type"), "type", "inner", salts=1)
+    lists = known.groupBy("_block").agg(F.collect_set("type").alias("_known"))
+    met = dealt.join(lists, F.col("_deal") == F.col("_block"), "left")
+
+    def joined(pieces: Column, kinds: Column) -> Column:
+        own = F.array_intersect(kinds, F.coalesce("_known", F.array().cast("array<string>")))
+        return bind(own, lambda here: F.array_join(F.zip_with(
+            pieces, kinds, lambda p, k: F.when(F.array_contains(here, k), p).otherwise(F.concat(p, F.lit(MARK)))
+        ), ""))
+
+    found = bind(pieces_of(F.col(text_col)), lambda p: bind(F.transform(p, kind), lambda k: joined(p, k)))
+    sentences = F.filter(F.transform(F.split(found, MARK), strip), lambda s: s != "")
+    return met.withColumn(name, sentences).select(*rows.columns, name)

@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetry.sources.reviews import BLOCKS
+
 SALTS = 4
 
 
+def in_blocks(rows: DataFrame, by: Sequence[str] = (), name: str = "_deal") -> DataFrame:
+    """The rows with the number of a block in ``name``, dealt by it; a block is in one task.
+
+    A row's block follows from a hash of the columns ``by``, by default of all that have
+    one.  What is found out per block meets its rows where they are, so they are moved once
+    for two readers.
+    """
+    usable = [c for c in rows.columns if _hashable(rows, c)]
+    blocks = BLOCKS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64(*(by or usable)), F.lit(blocks)).cast("int")).repartition(name)
+    # Always true.  It asks for all columns, as readers of different ones would each have the rows moved for them.
+    return dealt.filter((F.monotonically_increasing_id() >= 0) | (F.xxhash64(*usable) == 0))
+
+
 def lookup_join(
     rows: DataFrame, table: DataFrame, key: str, how: str = "left", salts: int = SALTS
 ) -> DataFrame:

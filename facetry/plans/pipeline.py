@@ -124,7 +124,7 @@ def learned_sentences(
     options: Options = Options(),
 ) -> DataFrame:
     """``explode_sentences`` with a table of abbreviations."""
-    split = per_text(reviews, text_col, lambda texts: sentences_by_table(texts, abbreviations), options)
+    split = sentences_by_table(stored(reviews, options), abbreviations, text_col)
     kept = [id_col] + [c for c in reviews.columns if c not in (id_col, text_col)]
     rows = split.select(*kept, F.posexplode_outer("_sentences").alias("sentence_id", "sentence"))
     return rows.filter(F.col("sentence_id").isNotNull())

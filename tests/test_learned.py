@@ -239,3 +239,18 @@ def test_deep_merge(spark):
     got = {r[0]: json.loads(r[1]) for r in nested.deep_merge(frame(old), frame(new)).selectExpr("id", "to_json(document)").collect()}
     assert got == {k: merged(old[k], new[k]) if k in old and k in new else old.get(k, new.get(k)) for k in {*old, *new}}
     assert nested.deep_merge(frame({}), frame({})).collect() == []
+
+
+def test_learnt_ends_move_a_text_once(spark, tmp_path):
+    """Texts were moved to the answers and back, and the answers once per salt."""
+    texts = [f"Dr. Kern {i} said no. etc. was new.  \x01 Fine (a.m.) it is." for i in range(20)] + [None, " ", "Ends in Dr."]
+    spark.createDataFrame(list(enumerate(texts)), "id int, text string").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    table = spark.createDataFrame([("dr",), ("etc",)], "type string")
+    found = boundaries.sentences_by_table(rows, table)
+    assert {r["id"]: r["_sentences"] for r in found.collect()} == {
+        **{i: [f"Dr. Kern {i} said no.", "etc. was new.", "Fine (a.m.)", "it is."] for i in range(20)}, 20: None, 21: [], 22: ["Ends in Dr."],
+    }
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Window" not in plan and "hashpartitioning(_key" not in plan
+    assert len([line for line in plan.splitlines() if "Exchange hashpartitioning(_deal" in line and "Reused" not in line]) == 1
