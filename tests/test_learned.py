@@ -62,6 +62,21 @@ def taught(spark):
     return frame, tagger.fit_tagger(frame, ["sentence_id"], shards=3)
 
 
+def test_features_are_kept_packed(spark, taught):
+    """Shards held ten numbers a token as they are; they are the same after packing, in little more than the text's size."""
+    texts = [t for t, in taught[0].select("text").collect()] + ["A a\u0130 B", "one"]
+    rows = spark.createDataFrame([(t, [0] * len((t or "").split())) for t in texts], "text string, labels array<int>").coalesce(1)
+    featured = rows.select(tagger.token_features(F.col("text"), 12).alias("features"), "labels")
+    plain = featured.toArrow().to_batches()
+    found = list(tagger._packed(tagger._pack(plain)))
+    for batch, (features, sizes, labels) in zip(plain, found, strict=True):
+        expected = tagger.unpacked(batch.column(0))
+        assert np.array_equal(features, expected[0]) and np.array_equal(sizes, expected[1]) and len(labels) == len(features)
+    stored = sum(b.nbytes for b in tagger._pack(plain))
+    assert stored < 0.2 * sum(b.nbytes for b in plain)
+    assert not list(tagger._packed(tagger._pack(featured.limit(0).toArrow().to_batches())))
+
+
 def test_tagger_learns(spark, taught):
     frame, model = taught
     dev = model.add_labels(frame.filter("fold = 'dev'")).collect()
