@@ -3,15 +3,18 @@
 Random indexing: every term has a fixed sparse pattern of +1 and -1, a context adds up the
 patterns of its terms, and a term's vector adds up its contexts without its own pattern.
 Terms that occur with the same terms get similar vectors.  No pair of terms is formed:
-the work is a few aggregations over the (context, term) rows, some of them by block of ``BLOCK`` dimensions, whatever a context holds.
+the work is in proportion to the (context, term) rows, whatever a context holds.
 All sums are integers, so the vectors do not depend on the order of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -20,11 +23,10 @@ from pyspark.sql import functions as F
 
 from facetry.functions.text import bind
 from facetry.operators.joins import lookup_join
-from facetry.session import use_checkpoint_dir
+from facetry.session import ship_package, use_checkpoint_dir
 
 DIMENSIONS = 64
 MARKS = 4  # non-zero places of a pattern
-BLOCK = 8  # dimensions that are summed in one row
 WEIGHT = 1024  # what a context gives each of its terms, dealt over the other terms
 
 
@@ -48,49 +50,132 @@ def term_vectors(
 
     ``sums`` has one bigint per dimension.  A context counts a term once, and its weight
     ``WEIGHT`` is dealt evenly over its other terms, rounded down, so long contexts do not
-    outweigh short ones.  Rows without context or term are left out.  A context with very
-    many terms is one row of ``dimensions`` sums, dealt over several tasks when joined.
-    The distinct rows are checkpointed, by a job that runs while the plan is made.
+    outweigh short ones.  Rows without context or term are left out.  (Context, term) rows
+    are moved twice at most: to their context, which one task holds, and as a term's sums
+    over a task's contexts, in as few bytes as these need, to their term.
     """
-    use_checkpoint_dir(mentions.sparkSession)
-    # Read for the contexts, for the number of contexts and for the sums; the mentions are worked out once.
-    pairs = mentions.select(F.col(context_col).alias("_context"), F.col(term_col).alias("_term")).dropna().distinct().checkpoint()
-    marks = pairs.select("_context", "_term", F.inline(pattern(F.col("_term"), dimensions)))
-    # Blocks of a few sums: an aggregation with one column per dimension is too large to be compiled.
-    per_dim = lambda i: F.coalesce(F.sum(F.when(F.col("_dim") % BLOCK == i, F.col("_sign"))), F.lit(0)).cast("bigint")
-    blocks = marks.groupBy("_context", F.floor(F.col("_dim") / BLOCK).cast("int").alias("_block")).agg(
-        F.count("*").alias("_marks"), F.array(*[per_dim(i) for i in range(BLOCK)]).alias("_part")
-    )
-    contexts = blocks.groupBy("_context").agg(
-        F.floor(F.sum("_marks") / MARKS).cast("bigint").alias("_terms"),
-        F.collect_list(F.struct("_block", "_part")).alias("_all"),
-    )
-    # Terms in fewer contexts count for their contexts only.
-    often = pairs.groupBy("_term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= min_contexts)
-    wanted = lookup_join(pairs, often, "_term", "inner")
-    met = lookup_join(wanted, contexts, "_context", "inner")
-    weight = F.when(F.col("_terms") > 1, F.floor(F.lit(WEIGHT) / (F.col("_terms") - 1))).otherwise(0).cast("bigint")
-    sums = met.select("_term", "contexts", weight.alias("_weight"), F.inline("_all")).groupBy("_term", "_block").agg(
-        F.max("contexts").alias("contexts"), F.sum("_weight").alias("_own"),
-        F.array(*[F.sum(F.col("_weight") * F.get("_part", F.lit(i))) for i in range(BLOCK)]).alias("_sums"),
-    )
-    none = F.array_repeat(F.lit(0).cast("bigint"), BLOCK)
-    whole = F.flatten(F.array(*[F.coalesce(F.try_element_at("_parts", F.lit(b)), none) for b in range(-(-dimensions // BLOCK))]))
-    # A term's own marks came back once per context with the context's weight; the blocks they are in have all of it.
-    terms = sums.groupBy("_term").agg(
-        F.max("contexts").alias("contexts"), F.max("_own").alias("_own"),
-        F.map_from_entries(F.collect_list(F.struct("_block", "_sums"))).alias("_parts"),
-    ).select("_term", "contexts", "_own", F.slice(whole, 1, dimensions).alias("_sums"))
+    ship_package(mentions.sparkSession)
+    # Repeats go before and after rows come together.
+    pairs = mentions.select(F.col(context_col).alias("_context"), F.col(term_col).alias("_term")).dropna()
+    marks = F.transform(pattern(F.col("_term"), dimensions), lambda m: m["_dim"] * 2 + F.when(m["_sign"] > 0, 1).otherwise(0))
+    rows = pairs.repartition("_context").distinct().sortWithinPartitions("_context").select("_context", "_term", marks.alias("_marks"))
+    parts = rows.mapInArrow(_context_sums(dimensions), PARTS)
+    whole = parts.repartition("_term").sortWithinPartitions("_term").mapInArrow(_added(dimensions), "_term string, contexts bigint, _own bigint, _sums array<bigint>")
     own = lambda marks, i: F.aggregate(
         marks, F.lit(0), lambda a, m: a + F.when(m["_dim"] == i, m["_sign"]).otherwise(0)
     )
+    # A term's own marks came back once per context with the context's weight.
     # The pattern is bound, as it would be spelt out anew for every dimension.
-    return terms.select(F.col("_term").alias(term_col), "contexts", bind(
+    return whole.filter(F.col("contexts") >= min_contexts).select(F.col("_term").alias(term_col), "contexts", bind(
         pattern(F.col("_term"), dimensions),
         lambda marks: F.transform("_sums", lambda s, i: s - F.col("_own") * own(marks, i)),
     ).alias("sums"))
 
 
+PARTS = "_term string, contexts bigint, own bigint, part binary"
+Batches = Iterator[pa.RecordBatch]
+
+
+def runs(batches: Batches, name: str) -> Iterator[pa.Table]:
+    """Rows that are ordered by a column, in tables that hold all rows of each of their values."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(name)
+        # The last value may go on in the next batch.
+        same = pc.equal(values, values[-1]).to_numpy(zero_copy_only=False)
+        cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if waiting and (cut or waiting[-1].column(name)[-1] != values[0]):
+            yield pa.Table.from_batches([*waiting, *([batch.slice(0, cut)] if cut else [])])
+            waiting = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        waiting.append(batch.slice(cut))
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def starts(column: pa.ChunkedArray) -> np.ndarray:
+    """Where a value other than the one before begins."""
+    codes = pa.concat_arrays(column.chunks).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+
+
+def _context_sums(dimensions: int) -> Callable[[Batches], Batches]:
+    """From rows ordered by context: sums of its contexts for every term, in parts of at most ``HELD`` terms."""
+    def run(batches):
+        numbers, sums, counts = {}, np.zeros((HELD, dimensions), np.int64), np.zeros((HELD, 2), np.int64)
+        for table in runs(batches, "_context"):
+            at = starts(table["_context"])
+            sizes = np.diff(np.append(at, table.num_rows))
+            group = np.repeat(np.arange(len(at)), sizes)
+            marks = pa.concat_arrays(table["_marks"].chunks).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            place = np.repeat(group, MARKS) * dimensions + (marks >> 1)
+            context = np.bincount(place, (marks & 1) * 2 - 1, len(at) * dimensions).astype(np.int64).reshape(-1, dimensions)
+            weight = np.where(sizes > 1, WEIGHT // np.maximum(sizes - 1, 1), 0)
+            context *= weight[:, None]
+            terms = table["_term"]
+            for first in range(0, table.num_rows, STEP):
+                here = slice(first, min(first + STEP, table.num_rows))
+                names = terms.slice(first, STEP).to_pylist()
+                if len(numbers) + len(names) > HELD:
+                    yield from packed(numbers, sums, counts)
+                    numbers.clear()
+                    sums[:], counts[:] = 0, 0
+                slot = np.array([numbers.setdefault(t, len(numbers)) for t in names], np.int64)
+                np.add.at(sums, slot, context[group[here]])
+                np.add.at(counts, slot, np.stack([np.ones(len(slot), np.int64), weight[group[here]]], axis=1))
+        if numbers:
+            yield from packed(numbers, sums, counts)
+
+    return run
+
+
+#: Terms whose sums a task holds, and rows added to them at one time.
+HELD = 1 << 16
+STEP = 1 << 13
+
+
+def packed(numbers: dict[str, int], sums: np.ndarray, counts: np.ndarray) -> Batches:
+    """Rows of ``PARTS``: a term's sums in the smallest integers that hold them all."""
+    names, n = list(numbers), len(numbers)
+    high, low = sums[:n].max(axis=1), sums[:n].min(axis=1)
+    parts = np.empty(n, object)
+    left = np.ones(n, bool)
+    for kind in (np.int8, np.int16, np.int32, np.int64):
+        fits = left & (high <= np.iinfo(kind).max) & (low >= np.iinfo(kind).min)
+        left &= ~fits
+        some = np.flatnonzero(fits)
+        parts[some] = [row.tobytes() for row in sums[some].astype(kind)]
+    yield pa.RecordBatch.from_arrays([
+        pa.array(names, pa.string()), pa.array(counts[:n, 0]), pa.array(counts[:n, 1]), pa.array(parts, pa.binary()),
+    ], ["_term", "contexts", "own", "part"])
+
+
+def _added(dimensions: int) -> Callable[[Batches], Batches]:
+    """From parts ordered by term: one row per term."""
+    def run(batches):
+        for table in runs(batches, "_term"):
+            at = starts(table["_term"])
+            group = np.repeat(np.arange(len(at)), np.diff(np.append(at, table.num_rows)))
+            column = pa.concat_arrays(table["part"].chunks)
+            widths = pc.binary_length(column).to_numpy(zero_copy_only=False) // dimensions
+            sums = np.zeros((len(at), dimensions), np.int64)
+            for width in np.unique(widths).tolist():
+                for some in np.array_split(np.flatnonzero(widths == width), len(widths) // STEP + 1):
+                    data = b"".join(column.take(pa.array(some)).to_pylist())
+                    np.add.at(sums, group[some], np.frombuffer(data, f"<i{width}").reshape(-1, dimensions))
+            add = lambda name: np.add.reduceat(table[name].to_numpy(), at)
+            ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * dimensions)
+            yield pa.RecordBatch.from_arrays([
+                pa.concat_arrays(table["_term"].chunks).take(pa.array(at)), pa.array(add("contexts")), pa.array(add("own")),
+                pa.ListArray.from_arrays(ends, pa.array(sums.ravel())),
+            ], ["_term", "contexts", "_own", "_sums"])
+
+    return run
+
+
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """Add ``vector``, the sums at length one; terms that occur with no other term are left out."""
     length = F.sqrt(F.aggregate("sums", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

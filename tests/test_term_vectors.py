@@ -73,3 +73,28 @@ def test_a_pattern_is_spelt_once_per_term(spark, capsys):
     for line in plan.splitlines():
         # A digest below the lambda over the sums would stand in the aggregate of a dimension.
         assert "aggregate(array(" not in line or "md5" not in line
+
+
+def test_rows_of_a_context_come_in_many_batches(spark):
+    """Terms of a context were moved once per mark and a term's sums once per block; now twice, whatever batches they come in."""
+    rng = random.Random(3)
+    rows = [(0 if rng.random() < 0.5 else rng.randrange(1, 9), f"t{rng.randrange(90)}") for _ in range(600)]
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(name, "7")
+    try:
+        found = term_vectors(spark.createDataFrame(rows, KINDS))
+        assert {r["aspect"]: (r["contexts"], r["sums"]) for r in found.collect()} == by_pairs(rows)
+    finally:
+        spark.conf.set(name, before)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") == 2 and "_salt" not in plan
+
+
+def test_sums_are_sent_in_the_bytes_they_need():
+    import numpy as np
+
+    from facetry.operators.term_vectors import packed
+
+    sums = np.array([[1, -128], [200, 0], [1 << 20, 0], [1 << 40, -1]])
+    (batch,) = packed({"a": 0, "b": 1, "c": 2, "d": 3}, sums, np.ones((4, 2), np.int64))
+    assert [len(x) for x in batch.column("part").to_pylist()] == [2, 4, 8, 16]
