@@ -24,6 +24,7 @@ from facetry.functions.terms import distinct_terms, is_valid_term
 from facetry.functions.text import MARK, bind
 from facetry.functions.wordlists import MAX_TERM_WORDS, MIN_TERM_LENGTH
 from facetry.operators.joins import lookup_join
+from facetry.operators.lists import whole
 from facetry.operators.tagger import viterbi
 from facetry.session import ship_package
 from facetry.sources.reviews import BLOCKS
@@ -146,11 +147,6 @@ def tag_sentences(
     return dealt.groupBy("_deal").cogroup(known.groupBy("_block")).applyInArrow(work, given)
 
 
-def whole(column: pa.ChunkedArray) -> pa.Array:
-    """A column of a table as one array."""
-    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-
-
 def tagged_terms(
     tokens: Column, tags: Column, min_length: int = MIN_TERM_LENGTH, max_words: int = MAX_TERM_WORDS
 ) -> Column:

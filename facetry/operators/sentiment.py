@@ -88,6 +88,22 @@ def compound_by_table(
     )
 
 
+def compound_by_values(text: Column, values: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+    """Compound score from the valence of each lower-case word of ``words(text)``, NULL for words without one."""
+    def hits(low: Column) -> Column:
+        known = F.transform(low, lambda t, i: F.when(
+            F.get(values, i).isNotNull(), F.struct(i.alias("_pos"), t.alias("token"), F.get(values, i).alias("_valence"))
+        ))
+        return F.filter(known, lambda h: h.isNotNull())
+
+    def score(t: Column) -> Column:
+        found = F.when(F.exists(values, lambda v: v.isNotNull()), hits(F.transform(words(t), F.lower)))
+        total = bind(found, lambda h: F.coalesce(_scored_hits(t, h, lexicon), F.lit(0))) / F.lit(MICRO)
+        return bind(total, lambda x: bind(emphasis(t), lambda extra: squash(x, extra)))
+
+    return bind(F.coalesce(text, F.lit("")), score)
+
+
 def _scored_hits(text: Column, hits: Column, lexicon: Lexicon) -> Column:
     """Sum of the hits' valences in their context, in whole micro-units; NULL without hits.
 

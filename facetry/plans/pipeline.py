@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.functions.polarity import DEFAULT_LEXICON, Lexicon, label_sentiment
-from facetry.functions.terms import DEFAULT_RULES, aspect_terms
+from facetry.functions.terms import DEFAULT_RULES, aspect_terms, sentence_tokens
+from facetry.functions.text import bind, words
 from facetry.functions.wordlists import (
     DEFAULT_ABBREVIATIONS,
     MAX_TERM_WORDS,
@@ -21,11 +23,12 @@ from facetry.functions.wordlists import (
 )
 from facetry.operators import summary
 from facetry.operators.boundaries import sentences_by_table
-from facetry.operators.joins import lookup_join
-from facetry.operators.mentions import explode_mentions, mentions_by_table
+from facetry.operators.context_tags import tagged_terms
+from facetry.operators.lists import lookup_lists
+from facetry.operators.mentions import explode_mentions
 from facetry.operators.prepare import clean_reviews
 from facetry.operators.sentences import explode_sentences
-from facetry.operators.sentiment import add_sentiment, compound_by_table
+from facetry.operators.sentiment import add_sentiment, compound_by_values
 from facetry.operators.tagger import Tagger
 from facetry.operators.themes import add_theme_column, assign_themes_by_table
 from facetry.session import use_checkpoint_dir
@@ -44,10 +47,11 @@ class Options:
     place of ``abbreviations``.  ``tagger`` is a trained extractor.  Hooks come before it,
     and it before tables.
 
-    A table step reads its rows twice, to collect their texts and to take the answers, and
-    steps follow each other, so without a cut the first scan is repeated with every step.
-    ``checkpoint`` stores the rows in front of each table step in ``spark.checkpoint.dir``:
-    every row is then worked out once, by a job that runs while the plan is made.
+    A table step deals its rows in blocks, asks the table for the distinct words of a block
+    and gives the answers to the rows where they are, so rows are moved once per step; steps
+    follow each other, and each is read by its words and by its rows.  ``checkpoint`` stores
+    the rows in front of each step under ``spark.checkpoint.dir``, compressed: every row is
+    then worked out once, by a job that runs while the plan is made.
     """
 
     lexicon: Lexicon = DEFAULT_LEXICON
@@ -69,43 +73,41 @@ class Options:
 
 
 def stored(rows: DataFrame, options: Options) -> DataFrame:
-    """The rows, behind a checkpoint if the options ask for it."""
+    """The rows, written and read back if the options ask for it; a checkpoint would keep them uncompressed."""
     if not options.checkpoint:
         return rows
-    use_checkpoint_dir(rows.sparkSession)
-    return rows.checkpoint()
+    spark = rows.sparkSession
+    use_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4()}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
 
 
-def digest(text: Column) -> Column:
-    """128 bits of the SHA-256 digest; word rows carry it, so it is short and not spelt in hex."""
-    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+def valences(options: Options) -> DataFrame:
+    return options.valence_table.select("token", F.col("valence").cast("double").alias("value"))
 
 
-def per_text(
-    rows: DataFrame, text_col: str, answer: Callable[[DataFrame], DataFrame], options: Options = Options()
-) -> DataFrame:
-    """Add columns that ``answer`` finds for the distinct texts.
+def whole_reviews(rows: DataFrame) -> list[str]:
+    """Columns by which the sentences of a review stay together; what they share then takes little room."""
+    return [c for c in ("review_id", "product", "rating", "date", "doc_compound") if c in rows.columns]
 
-    It gets ``_key, _text`` and returns ``_key`` with its columns.  The key is a digest, so
-    that word rows do not carry their text; ids need not be unique, and a text that many
-    rows share is answered once and dealt over several tasks when joined back.
-    """
-    keyed = stored(rows.withColumn("_key", digest(F.col(text_col))), options)
-    texts = keyed.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.first(text_col).alias("_text"))
-    answers = answer(texts)
-    return lookup_join(keyed, answers, "_key").drop("_key")
+
+def lowered(text_col: str) -> Column:
+    return F.transform(words(F.col(text_col)), F.lower)
 
 
-def with_sentiment(rows: DataFrame, text_col: str, prefix: str, options: Options) -> DataFrame:
-    """Add ``<prefix>_compound`` and ``<prefix>_sentiment`` from the lexicon or its table."""
+def with_sentiment(rows: DataFrame, text_col: str, prefix: str, options: Options, values: str | None = None) -> DataFrame:
+    """Add ``<prefix>_compound`` and ``<prefix>_sentiment`` from the lexicon or its table.
+
+    ``values``: a column of the words' valences, if they have been looked up.
+    """
     names, bounds = (f"{prefix}_compound", f"{prefix}_sentiment"), (options.positive_from, options.negative_from)
     if options.valence_table is None:
         return add_sentiment(rows, text_col, *names, options.lexicon, *bounds)
-    scored = per_text(rows, text_col, lambda texts: compound_by_table(
-        texts, options.valence_table, ["_key"], "_text", options.lexicon
-    ).withColumnRenamed("compound", names[0]), options)
-    known = scored.withColumn(names[0], F.coalesce(names[0], F.lit(0.0)))
-    return known.withColumn(names[1], label_sentiment(F.col(names[0]), *bounds))
+    if values is None:
+        rows, values = lookup_lists(stored(rows, options), {"_values": (lowered(text_col), valences(options))}), "_values"
+    scored = rows.withColumn(names[0], compound_by_values(F.col(text_col), F.col(values), options.lexicon)).drop(values)
+    return scored.withColumn(names[1], label_sentiment(F.col(names[0]), *bounds))
 
 
 def scored_reviews(reviews: DataFrame, options: Options = Options()) -> DataFrame:
@@ -132,20 +134,27 @@ def learned_sentences(
 
 def mention_rows(sentences: DataFrame, options: Options = Options()) -> DataFrame:
     """The mention table; without tables, rows never leave the task that holds their sentence."""
+    values = None
     if options.extractor is not None:
         terms = options.extractor(F.col("sentence"))
     elif options.tagger is not None:
         sentences = options.tagger.add_terms(sentences, "sentence", "_terms")
         terms = F.col("_terms")
     elif options.tag_table is not None:
-        sentences = per_text(sentences, "sentence", lambda texts: table_terms(texts, options), options)
+        # Tags and valences are looked up together, so that sentences are moved once for both.
+        wanted = {"_tags": (sentence_tokens(F.col("sentence")), options.tag_table.select("token", F.col("tag").alias("value")))}
+        if options.scorer is None and options.valence_table is not None:
+            values = "_values"
+            wanted[values] = lowered("sentence"), valences(options)
+        sentences = lookup_lists(stored(sentences, options), wanted, whole_reviews(sentences))
+        sentences = sentences.withColumn("_terms", table_terms(F.col("sentence"), F.col("_tags"), options)).drop("_tags")
         terms = F.col("_terms")
     else:
         terms = aspect_terms(
             F.col("sentence"), options.is_noun, options.min_term_length, options.max_term_words
         )
     if options.scorer is None:
-        scored = with_sentiment(sentences, "sentence", "aspect", options)
+        scored = with_sentiment(sentences, "sentence", "aspect", options, values)
         if options.keyword_table is not None:
             return themed_mentions(scored.withColumn("_terms", terms), options)
         mentions = explode_mentions(scored, terms)
@@ -163,29 +172,24 @@ def mention_rows(sentences: DataFrame, options: Options = Options()) -> DataFram
 def themed_mentions(sentences: DataFrame, options: Options) -> DataFrame:
     """The mention table from sentences with ``_terms``, themes by the keyword table.
 
-    Lists of terms travel to the themes and back; a sentence becomes one row per term only
-    at the end, so that no step stores or moves its text as often as it has terms.
+    Themes are found for the distinct terms and come back as a list beside the list of
+    terms; a sentence becomes one row per term only at the end, so that no step stores or
+    moves its text as often as it has terms.
     """
-    keyed = stored(sentences.withColumn("_key", digest(F.to_json("_terms"))), options)
-    lists = keyed.groupBy("_key").agg(F.first("_terms").alias("_terms"))
-    terms = lists.select("_key", F.posexplode_outer("_terms").alias("_pos", "aspect")).filter(F.col("aspect").isNotNull())
-    found = assign_themes_by_table(terms, options.keyword_table).groupBy("_key").agg(
-        F.sort_array(F.collect_list(F.struct("_pos", "aspect", "theme"))).alias("_found")
-    )
-    rows = lookup_join(keyed, found, "_key", "inner")
-    return rows.select(
-        *[c for c in MENTION_COLUMNS if c not in ("aspect", "theme")], F.explode("_found").alias("_f")
-    ).select("*", "_f.aspect", "_f.theme").select(*MENTION_COLUMNS)
-
-
-def table_terms(texts: DataFrame, options: Options) -> DataFrame:
-    """``_key, _terms``: the terms of each text in order, from noun runs over table tags."""
-    found = mentions_by_table(
-        texts, options.tag_table, ["_key"], "_text",
-        min_length=options.min_term_length, max_words=options.max_term_words,
-    )
-    lists = found.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("term_pos", "aspect"))).alias("_terms"))
-    return lists.select("_key", F.transform("_terms", lambda t: t["aspect"]).alias("_terms"))
+    rows = stored(sentences.select(*[c for c in MENTION_COLUMNS if c not in ("aspect", "theme")], "_terms"), options)
+    terms = rows.select(F.explode_outer("_terms").alias("token")).filter(F.col("token").isNotNull()).distinct()
+    themes = assign_themes_by_table(terms, options.keyword_table, "token", "value")
+    found = lookup_lists(rows, {"_themes": (F.col("_terms"), themes)}, whole_reviews(rows)).withColumn(
+        "_found", F.arrays_zip(F.col("_terms").alias("aspect"), F.col("_themes").alias("theme"))
+    ).drop("_terms", "_themes")
+    return found.select("*", F.explode("_found").alias("_f")).select("*", "_f.aspect", "_f.theme").select(*MENTION_COLUMNS)
+
+
+def table_terms(sentence: Column, tags: Column, options: Options) -> Column:
+    """The terms of a sentence in order, from noun runs over its tokens' tags; the rules tag tokens without one."""
+    return bind(sentence_tokens(sentence), lambda split: tagged_terms(
+        split, F.zip_with(split, tags, lambda w, t: F.coalesce(t, DEFAULT_RULES(w))), options.min_term_length, options.max_term_words
+    ))
 
 
 @dataclass(frozen=True)

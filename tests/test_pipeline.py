@@ -3,6 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from facetry.functions.wordlists import MENTION_COLUMNS
+from facetry.functions.polarity import Lexicon
 from facetry.operators.mentions import explode_mentions, mentions_by_table, noun_phrase_mentions
 from facetry.operators.models import extractor_hook, scorer_hook
 from facetry.plans.pipeline import Options, load_result, run
@@ -172,3 +173,37 @@ def test_themes_by_table_do_not_move_texts_per_term(spark):
     lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     last = [line for line in lines if "Generate" in line or "Join" in line][0]
     assert "Generate" in last
+
+
+def test_values_of_lists(spark):
+    """A token's every occurrence went to the tables and back; now a block's distinct ones do."""
+    from facetry.operators.lists import lookup_lists
+
+    rows = spark.createDataFrame(
+        [(1, ["a", "b", None, "a"]), (1, ["a", "b", None, "a"]), (None, []), (3, None), (4, ["x", "c"])], "id int, words array<string>"
+    ).withColumn("at", F.lit("2026-01-02 03:04:05").cast("timestamp"))
+    tags = spark.createDataFrame([("a", "NN"), ("c", None), ("z", "VB")], "token string, value string")
+    numbers = spark.createDataFrame([("b", 1.5), ("x", -0.1)], "token string, value double")
+    found = lookup_lists(rows, {"tag": (F.col("words"), tags), "n": (F.reverse("words"), numbers)})
+    assert found.dtypes == [*rows.dtypes, ("tag", "array<string>"), ("n", "array<double>")]
+    got = sorted((r["id"] or 0, r["words"], r["tag"], r["n"]) for r in found.collect())
+    one = (1, ["a", "b", None, "a"], ["NN", None, None, "NN"], [None, None, 1.5, None])
+    assert got == [(0, [], [], []), one, one, (3, None, [], []), (4, ["x", "c"], [None, None], [None, -0.1])]
+    assert {r["at"] for r in found.collect()} == {r["at"] for r in rows.collect()}
+
+
+def test_stored_steps_give_the_same(spark):
+    reviews = load_reviews(spark.createDataFrame(
+        [(7, "The zorp bleeps. A zorp glims!"), (7, "The zorp bleeps. A zorp glims!"), (None, "It BLEEPS."), (9, "Nothing.")],
+        "review_id int, text string"))
+    tables = dict(
+        valence_table=spark.createDataFrame([("bleeps", 3.0), ("glims", -3.0)], "token string, valence double"),
+        tag_table=spark.createDataFrame([("zorp", "NN"), ("bleeps", "XX"), ("glims", "XX"), ("the", "XX")], "token string, tag string"),
+        keyword_table=spark.createDataFrame([(0, "gadget", "orp")], "priority int, theme string, keyword string"),
+    )
+    plain = run(reviews, Options(lexicon=Lexicon(valence={"bleeps": 3.0, "glims": -3.0}), **{k: tables[k] for k in ("tag_table", "keyword_table")}))
+    kept = run(reviews, Options(checkpoint=True, lexicon=Lexicon(valence={}), **tables))
+    assert kept.mentions.count() > 3 and sorted(map(str, kept.mentions.collect())) == sorted(map(str, plain.mentions.collect()))
+    assert sorted(map(str, kept.reviews.collect())) == sorted(map(str, plain.reviews.collect()))
+    plan = kept.mentions._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "_pos" not in plan
