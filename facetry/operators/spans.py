@@ -61,8 +61,9 @@ def first_overlaps(
         F.greatest("_from", number * size).alias("_from"), F.least("_to", (number + 1) * size).alias("_to"),
     )
     lowest = clip.groupBy(*keys, "_range", "_cell", "_from", "_to").agg(F.min("idx").alias("_idx"))
-    # One row per range: the lowest index that covers it, and the clipped spans of each cell.
-    cells = lowest.groupBy(*keys, "_range", "_cell").agg(F.collect_list(F.struct("_from", "_to", "_idx")).alias("_spans"))
+    # One row per range: the lowest index that covers it, and the clipped spans of each cell.  All that
+    # follows is per range, so rows are dealt by it once.
+    cells = lowest.repartition(*keys, "_range").groupBy(*keys, "_range", "_cell").agg(F.collect_list(F.struct("_from", "_to", "_idx")).alias("_spans"))
     known = cells.groupBy(*keys, "_range").agg(
         F.min(F.when(F.col("_cell").isNull(), F.get("_spans", F.lit(0))["_idx"])).alias("_cover"),
         F.map_from_entries(F.collect_list(F.when(F.col("_cell").isNotNull(), F.struct("_cell", "_spans")))).alias("_cells"),
@@ -79,5 +80,10 @@ def first_overlaps(
     met = F.filter(near, lambda s: (start < s["_to"]) & (end > s["_from"]))
     first = F.array_min(F.transform(met, lambda s: s["_idx"]))
     hits = rows.join(known, [*keys, "_range"], "left").withColumn("_idx", F.least("_cover", F.when(F.col("_cells").isNotNull(), first)))
-    # A token of several ranges, or a repeated one, comes together again.
-    return hits.groupBy(*keys, "pos", "start", "end").agg(F.min("_idx").cast(spans.schema["idx"].dataType).alias("span_idx"))
+    # Repeated tokens come together where they were joined; only those of several ranges are moved again.
+    kind = spans.schema["idx"].dataType
+    once = hits.groupBy(*keys, "_range", "pos", "start", "end").agg(F.min("_idx").alias("_idx"))
+    several = F.coalesce((start < end) & (cut(wide, start) < cut(wide, end - 1)), F.lit(False))
+    apart = once.filter(several).groupBy(*keys, "pos", "start", "end").agg(F.min("_idx").alias("_idx"))
+    columns = [*keys, "pos", "start", "end", F.col("_idx").cast(kind).alias("span_idx")]
+    return once.filter(~several).select(*columns).unionByName(apart.select(*columns))

@@ -127,3 +127,19 @@ def test_no_spans_and_no_tokens(spark):
     none = spark.createDataFrame([], kinds.format("idx"))
     assert sorted((r["pos"], r["span_idx"]) for r in first_overlaps(tokens, none, ["sid"]).collect()) == [(0, None), (1, None), (2, None)]
     assert first_overlaps(tokens.limit(0), none, ["sid"]).count() == 0
+
+
+def test_tokens_are_moved_once(spark):
+    """Every token was moved again after the join; now only one that reaches over several ranges is, and still has one row."""
+    tokens = spark.createDataFrame(
+        [("a", 0, 0, 5), ("a", 0, 0, 5), ("a", 1, 60, 70), ("a", 2, 100, 300), (None, 3, 0, 5), (None, 3, 0, 5), ("a", 4, 7, 7), ("a", 5, None, 9), ("b", 0, 0, 5)],
+        "sid string, pos int, start int, end int")
+    spans = spark.createDataFrame([("a", 3, 2, 4), ("a", 1, 250, 260), ("a", 2, 110, 111), ("a", 5, 65, 66), (None, 0, 0, 9)], "sid string, idx int, start int, end int")
+    found = first_overlaps(tokens, spans, ["sid"], cell=8, wide=64)
+    got = sorted(found.collect(), key=lambda r: (r["sid"] or "", r["pos"]))
+    assert [(r["sid"], r["pos"], r["span_idx"]) for r in got] == [
+        (None, 3, None), ("a", 0, 3), ("a", 1, 5), ("a", 2, 1), ("a", 4, None), ("a", 5, None), ("b", 0, None)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("hashpartitioning(sid") and found.schema["span_idx"].dataType == spans.schema["idx"].dataType
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "pos#" in line.split("hashpartitioning(")[1]]
+    assert len(moved) <= 1
